@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lattiq.llm import decontamination
+from lattiq.llm import decontamination, topk_search
 
 QUERIES = {
+    "op1_exact_topk": topk_search.op1_exact_topk,
     "op6_decontamination": decontamination.op6_decontamination,
 }
 
 ORACLES = {
+    "op1_exact_topk": topk_search.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
 }
