@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lattiq.llm import decontamination, topk_search
+from lattiq.llm import decontamination, language_id, pieces, topk_search
 
 QUERIES = {
     "op1_exact_topk": topk_search.op1_exact_topk,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLES = {
