@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lattiq.llm import decontamination, html_text, language_id, line_dedup, pieces, topk_search
+from lattiq.llm import decontamination, html_text, jaccard_join, language_id, line_dedup, pieces, topk_search
 
 QUERIES = {
     "op1_exact_topk": topk_search.op1_exact_topk,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
@@ -17,5 +18,6 @@ ORACLES = {
     "op1_exact_topk": topk_search.ORACLE,
     "op5_html_extraction": html_text.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
