@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lattiq.llm import decontamination, html_text, jaccard_join, language_id, line_dedup, pieces, topk_search
+from lattiq.llm import decontamination, html_text, jaccard_join, language_id, line_dedup, pieces, secret_scan, topk_search, url_filter
 
 QUERIES = {
     "op1_exact_topk": topk_search.op1_exact_topk,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
