@@ -3,14 +3,15 @@
 Each word's script, found from code point ranges, leaves the languages that are written in it.
 Among these a word scores by its learned frequency, or, if it wasn't learned, by its character
 trigrams. Viterbi over the word scores, with a penalty for each switch, labels spans of one
-language. A text's language is the one whose spans hold the most words.
+language. A text's language is the one whose spans hold the most words; its score is the share of the
+text's words that stand in them and speak for some language.
 
 Viterbi is skipped only where it provably gives one span: if no other language gains more than half the
 penalty over any stretch of words, a path with r foreign stretches pays at least r - 1 or r switches and
 cannot win.
 
-Defined results: null text and text without a letter give ``und``, score 0 and no spans; letters of
-scripts that were never learned give the language with most labelled documents; a tie goes to
+Defined results: null text and text without a letter give ``und``, score 0 and no spans; a text in scripts
+that were never learned gives the language with most labelled documents, with score 0; a tie goes to
 the language with more labelled documents, then the smaller name; without labelled documents all is
 ``und``; repeated rows each get their row; a null id is never learned from and not held out; whole
 texts are read, however long; other columns are ignored.
@@ -245,12 +246,13 @@ def identify(texts: list[str | None], scores: _Scores, penalty: float) -> list[t
         at = at[at > 0]
         if len(at):
             found.append((k, scores.rows[at]))
-    for (k, _), path in zip(found, label_texts([x for _, x in found], penalty)):
+    for (k, own), path in zip(found, label_texts([x for _, x in found], penalty)):
         held = np.bincount(path, minlength=len(languages))
         top = int(held.argmax())
+        sure = np.count_nonzero(own[path == top].any(axis=1))  # words that speak for some language
         edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
         spans = [(languages[path[a]], a, b - a) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-        rows[k] = (languages[top], float(held[top] / len(path)), spans)
+        rows[k] = (languages[top], float(sure / len(path)), spans)
     return rows
 
 
