@@ -74,6 +74,7 @@ class Vocabulary:
             for p, _, kind in pieces
         ]
         self.longest = max(map(len, self.ids), default=1)
+        self.digest = hashlib.sha256(repr(pieces).encode()).digest()
         self.unknown = min((self.scores[k] for k in self.ids.values()), default=0) - 10
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.segments = self._segments()
@@ -165,16 +166,18 @@ class _Matcher:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        by_length: dict[int, list[tuple[int, int]]] = {}
+        # by length: the sorted hashes of all pieces' starts, and the piece that is that start (-1: none)
+        by_length: dict[int, dict[int, int]] = {}
         for piece, k in vocabulary.ids.items():
             key = 0
-            for c in piece:
+            for length, c in enumerate(piece, 1):
                 key = (key * _BASE + ord(c) + 1) & _MASK
-            by_length.setdefault(len(piece), []).append((key, k))
+                by_length.setdefault(length, {}).setdefault(key, -1)
+            by_length[len(piece)][key] = k
         self.tables = {}
         for length, found in by_length.items():
-            found.sort()
-            self.tables[length] = (np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int32))
+            keys = sorted(found)
+            self.tables[length] = (np.array(keys, np.uint64), np.array([found[x] for x in keys], np.int32))
         self.scores = np.array(vocabulary.scores, np.int64)
 
     def solve(self, segments: list[str]) -> list[tuple[int, bytes, float]]:
@@ -195,28 +198,35 @@ class _Matcher:
         return best[0][0], np.array(best[0][1], np.int32).tobytes(), best[0][0] - best[1][0] if len(best) > 1 else np.inf
 
     def _many(self, segments: list[str], width: int) -> list[tuple[int, bytes, float]]:
-        n, low, longest = len(segments), -(2**60), min(width, self.vocabulary.longest)
+        n, low = len(segments), -(2**60)
         codes = np.array(segments, f"U{width}").view(np.uint32).reshape(n, width).astype(np.uint64)
         sizes = np.fromiter(map(len, segments), np.int64, n)
         rows = np.arange(n)
+        # grow the starts of pieces that match at each place, until none does
+        row, start = np.nonzero(np.arange(width) < sizes[:, None])
+        key, found = np.zeros(len(row), np.uint64), []
+        for length in range(1, min(width, self.vocabulary.longest) + 1):
+            key = key * np.uint64(_BASE) + codes[row, start + length - 1] + np.uint64(1)
+            known, known_ids = self.tables[length]
+            at = np.searchsorted(known, key)
+            at[at == len(known)] = 0
+            same = known[at] == key
+            own, own_row, own_start = known_ids[at[same]], row[same], start[same]
+            piece = own >= 0
+            found.append((own_row[piece], own_start[piece], own[piece]))
+            more = own_start + length < sizes[own_row]
+            row, start, key = own_row[more], own_start[more], key[same][more]
+            if not len(row):
+                break
+        longest = len(found)
         # by start and length, and by end and falling length: the score of the piece there
         ids = np.full((n, width, longest), -1, np.int32)
         ending = np.full((n, width + 1, longest), low, np.int64)
         starting = np.full((n, width, longest), low, np.int64)
-        keys = np.zeros((n, width + 1), np.uint64)
-        for length in range(1, longest + 1):
-            keys = keys[:, : width - length + 1] * np.uint64(_BASE) + codes[:, length - 1 :] + np.uint64(1)
-            score = np.full(keys.shape, self.vocabulary.unknown if length == 1 else low)
-            if length in self.tables:
-                known, known_ids = self.tables[length]
-                at = np.searchsorted(known, keys)
-                at[at == len(known)] = 0
-                row, start = np.nonzero(known[at] == keys)
-                found = known_ids[at[row, start]]
-                ids[row, start, length - 1] = found
-                score[row, start] = self.scores[found]
-            ending[:, length:, longest - length] = score
-            starting[:, : width - length + 1, length - 1] = score
+        starting[:, :, 0] = ending[:, 1:, longest - 1] = self.vocabulary.unknown
+        for length, (row, start, own) in enumerate(found, 1):
+            ids[row, start, length - 1] = own
+            ending[row, start + length, longest - length] = starting[row, start, length - 1] = self.scores[own]
         ahead = np.full((n, longest + width + 1), low, np.int64)
         ahead[:, longest] = 0
         last = np.zeros((n, width + 1), np.int64)
@@ -292,8 +302,8 @@ class _Segments(dict):
         cut = list(map(self.pattern.findall, new))
         parts = self.parts
         fresh = list({x for own in cut for x in own if x not in parts})
-        for a in range(0, len(fresh), 4096):
-            parts.update(zip(fresh[a : a + 4096], self.matcher.solve(fresh[a : a + 4096])))
+        for a in range(0, len(fresh), 8192):
+            parts.update(zip(fresh[a : a + 8192], self.matcher.solve(fresh[a : a + 8192])))
         first = len(self.ids)
         solved = [[parts[x] for x in own] for own in cut]
         self.ids.extend([own[0][1] if len(own) == 1 else b"".join([x[1] for x in own]) for own in solved])
@@ -376,11 +386,23 @@ class Encoder:
         return len(ids) // 4, one, len(choices), [s for s, _ in choices], every.hexdigest(), same
 
 
+#: Encoders of this process, so that the tasks of a Python worker share what they have solved.
+_ENCODERS: dict[tuple[bytes, int], Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary, n: int) -> Encoder:
+    key = (vocabulary.digest, n)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary, n)
+    return _ENCODERS[key]
+
+
 def _encoded(texts: DataFrame, keep: list[str], schema: T.StructType, n: int, model_file: str, row) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
 
     def make():
-        encoder = Encoder(shared.value, n)
+        encoder = _encoder(shared.value, n)
         return lambda column: [row(encoder, t, own) for t, own in zip(column, encoder.split(column))]
 
     return map_columns(texts, ["text"], keep, schema, make)
