@@ -161,7 +161,8 @@ def locale(language: Column) -> Column:
 
 def english_name(names: Column) -> Column:
     """The English name in array<struct<locale, name>>: by the order of locales, else any en_, else the first."""
-    picks = [F.try_element_at(F.filter(names, lambda n, x=x: n["locale"] == x), F.lit(-1))["name"] for x in ENGLISH_LOCALES]
+    of = lambda locale: F.filter(names, lambda n: n["locale"] == locale)
+    picks = [F.try_element_at(of(x), F.lit(-1))["name"] for x in ENGLISH_LOCALES]
     other = F.try_element_at(F.filter(names, lambda n: n["locale"].startswith("en_")), F.lit(1))["name"]
     return F.coalesce(*picks, other, F.try_element_at(names, F.lit(1))["name"])
 
