@@ -10,6 +10,7 @@ players(id, name, club_id, country_team_id, competition_ids), rosters(owner_id,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,22 +190,22 @@ def allow_set(found: DataFrame, entities: DataFrame, context: str = "context") -
     return joined.select(context, F.explode("competition_ids").alias("id")).distinct()
 
 
-def ground_legs(legs: DataFrame, catalog: dict[str, DataFrame], markers: Column) -> DataFrame:
+def ground_legs(legs: DataFrame, catalog: dict[str, DataFrame], markers: Column, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The cascade for legs(query_id, leg_idx, region, competition, teams, players, subject_player): regions, teams, players under
     the confident teams, then competitions among the players' (else the teams') leagues.
 
-    Gives one row for each (query_id, leg_idx, cell, text): tier and candidates.
+    Gives one row for each (query_id, leg_idx, cell, text): tier and candidates. ``stage`` may write each step's rows away.
     """
     leg = ["query_id", "leg_idx"]
     context = F.concat_ws("/", *leg)
     rows = legs.withColumn("context", context)
     regions = rows.where("region IS NOT NULL AND region <> ''").select(*leg, "context", F.col("region").alias("text"))
-    region_found = regions.join(ground_regions(regions, catalog["branches"], catalog["region_aliases"]), "text")
+    region_found = stage(regions.join(ground_regions(regions, catalog["branches"], catalog["region_aliases"]), "text"))
     team_texts = rows.select(*leg, "context", F.explode("teams").alias("text"))
-    team_found = team_texts.join(ground_teams(team_texts, catalog["teams"], markers), "text")
+    team_found = stage(team_texts.join(ground_teams(team_texts, catalog["teams"], markers), "text"))
     sure = team_found.where("tier = 'confident'").select("context", F.explode("candidates").alias("c")).select("context", F.col("c.id").alias("team_id"))
     named = rows.select(*leg, "context", F.explode(F.array_distinct(F.concat("players", F.when(F.col("subject_player").isNotNull(), F.array("subject_player")).otherwise(F.array().cast("array<string>"))))).alias("text"))
-    player_found = named.join(ground_players(named, catalog["players"], sure), ["context", "text"])
+    player_found = stage(named.join(ground_players(named, catalog["players"], sure), ["context", "text"]))
     by_players, by_teams = allow_set(player_found, catalog["players"]), allow_set(team_found, catalog["teams"])
     allowed = by_players.unionByName(by_teams.join(by_players.select("context").distinct(), "context", "left_anti"))
     branch = region_found.where("tier = 'confident'").select("context", F.element_at("candidates", 1)["id"].alias("branch"))
@@ -212,7 +213,7 @@ def ground_legs(legs: DataFrame, catalog: dict[str, DataFrame], markers: Column)
     asked = rows.where("competition IS NOT NULL AND competition <> ''").select(*leg, "context", F.col("competition").alias("text"))
     asked = asked.join(branch, "context", "left").join(bound, "context", "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
     groups = ground_competitions(asked, catalog["groups"], catalog["rosters"], catalog["competition_aliases"], allowed)
-    comp_found = asked.select(*leg, "context", "text").join(groups, ["context", "text"])
+    comp_found = stage(asked.select(*leg, "context", "text").join(groups, ["context", "text"]))
     cells = [("region", region_found), ("team", team_found), ("player", player_found), ("competition", comp_found)]
     each = [df.select(*leg, F.lit(cell).alias("cell"), "text", "tier", "candidates") for cell, df in cells]
     return reduce(lambda a, b: a.unionByName(b), each)

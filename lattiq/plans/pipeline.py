@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,14 @@ def settled_legs(legs: DataFrame, settled: DataFrame, cells: DataFrame, players:
     ).drop("__by_text", "__homes")
 
 
+def _stage(df: DataFrame) -> DataFrame:
+    """A stage's rows, written to the checkpoint folder that the executors share, so that plans stay small."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattiq-"))
+    return df.checkpoint()
+
+
 def resolve(
     spark: SparkSession,
     plans: DataFrame,
@@ -79,14 +89,14 @@ def resolve(
     outcomes as in select_outcomes() with event_id, offer_id, label, criterion_id, tags and ord.
     """
     legs = read_plans(plans).withColumn("subject_player", F.when(F.col("subject_kind") == "player", F.col("subject_name")))
-    legs = legs.where(valid(legs))
+    legs = _stage(legs.where(valid(legs)))
     unknown = planner.unsupported(legs.select("query_id", "sport").distinct(), sports)
     open_queries = planner.incomplete(legs).where("incomplete").select("query_id")
-    ready = legs.join(unknown.select("query_id"), "query_id", "left_anti").join(open_queries, "query_id", "left_anti")
-    cells = grounding.ground_legs(ready, catalog, markers).withColumn("key", F.concat_ws("/", "query_id", "leg_idx", "cell", "text"))
+    ready = _stage(legs.join(unknown.select("query_id"), "query_id", "left_anti").join(open_queries, "query_id", "left_anti"))
+    cells = _stage(grounding.ground_legs(ready, catalog, markers, _stage).withColumn("key", F.concat_ws("/", "query_id", "leg_idx", "cell", "text")))
     settled = replay.settle_entities(cells, recorded_entities)
     bound = settled_legs(with_windows(ready, now), settled, cells.select("key", *LEG, "cell", "text"), catalog["players"])
-    bound = bound.withColumn("leg_level", F.coalesce("level", F.lit("fixture"))).drop("level")
+    bound = _stage(bound.withColumn("leg_level", F.coalesce("level", F.lit("fixture"))).drop("level"))
     members = events.select("event_id", F.explode("members").alias("participant_id")).distinct()
     listed = outcomes.select("offer_id", "event_id").distinct().join(events.select("event_id", "group_id"), "event_id")
     squads = planner.squads(catalog["rosters"].join(bound.where("leg_level = 'competition'").select(F.explode("team_ids").alias("owner_id")).distinct(), "owner_id", "left_semi"))
@@ -94,9 +104,10 @@ def resolve(
     inputs = planner.recall_inputs(bound.withColumns({"level": F.col("leg_level"), "concept": F.col("market_concept")})).join(extra, "query_id", "left")
     inputs = inputs.withColumn("participant_ids", F.array_distinct(F.concat("participant_ids", F.coalesce("__squad", F.array().cast(_IDS)))))
     fetched = planner.recall(inputs.withColumn("event_ids", F.array().cast(_IDS)), listed, members)
-    by_query = fetched.select("query_id", "event_id").distinct()
+    by_query = _stage(fetched.select("query_id", "event_id").distinct())
     pairs = bound.select(*LEG, "leg_level", "competition_id", "play_state", "team_ids", "window_start", "window_end", "after_hour", "before_hour", "relative", "pick_order", "pick_count")
     kept = scope.scope_events(pairs.join(by_query, "query_id").join(events, "event_id"), LEG).select(*LEG, "event_id")
+    kept = _stage(kept)
     legs_of = bound.select(
         *LEG,
         F.when(F.col("subject_kind").isin("player", "team"), F.col("subject_name")).alias("subject_name"),
@@ -106,14 +117,14 @@ def resolve(
     per_offer = outcomes.groupBy("offer_id", "event_id", "label").agg(F.collect_list(F.struct("participant", "participant_id", F.coalesce("english_label", "outcome_label").alias("label"))).alias("outcomes"))
     names = events.select("event_id", "event_name", "home_name", "away_name")
     priced = subject.keep_priced(kept.join(per_offer, "event_id").join(names, "event_id").join(legs_of, LEG)).select(*LEG, "offer_id", "event_id")
-    offered = priced.join(outcomes.drop("event_id"), "offer_id")
-    menus = menu.build_menu(offered, LEG)
+    offered = _stage(priced.join(outcomes.drop("event_id"), "offer_id"))
+    menus = _stage(menu.build_menu(offered, LEG))
     phrases = bound.where("market_concept <> 'main'").select(*LEG, F.col("market_concept").alias("phrase"))
     phrases = phrases.withColumn("key", replay.request_key("market", F.col("phrase")))
     picks = replay.pick_markets(phrases, menus.select(*LEG, "label", "outcome_labels"), recorded_markets, LEG, LEG)
     mains = offered.where(is_main(F.col("tags")) & F.col("criterion_id").isNotNull()).select(*LEG, "label").distinct().join(bound.where("market_concept = 'main'").select(*LEG), LEG)
     chosen = picks.where("label IS NOT NULL").select(*LEG, "label", "outcome_label").withColumnRenamed("outcome_label", "outcome_wanted")
-    chosen = chosen.unionByName(mains.withColumn("outcome_wanted", F.lit(None).cast("string")))
+    chosen = _stage(chosen.unionByName(mains.withColumn("outcome_wanted", F.lit(None).cast("string"))))
     specs = bound.select(
         *LEG,
         F.coalesce(F.col("line_num").cast("string"), F.col("line_txt")).alias("line_value"),
@@ -129,6 +140,7 @@ def resolve(
     rows = offered.join(chosen, [*LEG, "label"]).join(specs, LEG).join(teams, "event_id")
     side = F.when(F.col("subject_id") == F.col("__home"), "home").when(F.col("subject_id") == F.col("__away"), "away")
     found = selecting.select_outcomes(rows.withColumn("subject_on", side).drop("__home", "__away"), [*LEG, "label"], ["ord", "outcome_id"])
+    found = _stage(found)
     pool = found.where("in_pool")
     facts = pool.select("query_id", "leg_idx", "outcome_id", "is_selected", "offer_id", "event_id", F.struct("label", "criterion_id", "tags").alias("offer"), F.struct("english_label", "participant", "odds", "line").alias("outcome"))
     placed = facts.join(events.select("event_id", F.struct("event_name", "start", "state").alias("event")), "event_id")
