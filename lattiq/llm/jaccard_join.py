@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm._common import WordHashes, cut, gram_hashes, map_columns, small_batches, table, words
+from lattiq.llm._common import WordHashes, cut, gram_hashes, map_columns, small_batches, spread, table, words
 from lattiq.llm.components import connected_components
 
 #: Words of a shingle, and the similarity of a link as a fraction.
@@ -44,8 +44,11 @@ TARGET_RECALL = 0.999999
 LIMIT = 1024
 #: Splits on two more tokens before a bucket is compared block by block.
 DEPTH = 3
-#: Bytes of a sketch; shares of equal bytes from which nodes are candidates, and from which one is dropped for its pivot.
-SKETCH, CANDIDATE, CLOSE = 64, 0.55, 0.92
+#: Bytes of a sketch; share of equal bytes from which nodes are candidates.
+SKETCH, CANDIDATE = 64, 0.55
+#: The same for a large bucket's pivot: from NEAR on a node is linked to it, from CLOSE on it need not be compared with
+#: others. 1 - J is a metric, so a partner of a node with J 0.8 to the pivot has J 0.6 to it, far above NEAR.
+NEAR, CLOSE = 0.4, 0.8
 #: Rows up to which a counted side of a join is broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -218,7 +221,7 @@ def _candidate_links(nodes: DataFrame, limit: int, depth: int) -> DataFrame:
             heavy.join(_bounded(pivots), "key").withColumn("equal", _agreement(F.col("sketch"), F.col("pivot.sketch")))
         )
         links.append(
-            near.where((F.col("equal") >= math.ceil(CANDIDATE * SKETCH)) & (F.col("node") != F.col("pivot.node")))
+            near.where((F.col("equal") >= math.ceil(NEAR * SKETCH)) & (F.col("node") != F.col("pivot.node")))
             .select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
         )
         rest = near.where(F.col("equal") < math.ceil(CLOSE * SKETCH)).select("key", "node", "sketch")
@@ -387,7 +390,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class and number of links."""
-    classes = near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    classes = near_duplicate_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return classes.select("doc_id", "n_shingles", "class_id", "n_links")
 
 
