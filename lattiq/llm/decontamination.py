@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm._common import WordHashes, gram_hashes, map_columns, small_batches, table, words
+from lattiq.llm._common import WordHashes, gram_hashes, map_columns, small_batches, spread, table, words
 
 #: Words of a contamination window; a shorter item is one window of its own length.
 SPAN = 13
@@ -254,7 +254,8 @@ def _prints(rows: DataFrame, lengths: list[int], of_items: bool) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged against the whole benchmark."""
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return find_contamination(documents, table(spark, sf_dir, "benchmark"))
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

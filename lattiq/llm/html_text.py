@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm._common import map_columns, table
+from lattiq.llm._common import map_columns, spread, table
 
 #: Labelled pages that the weights are fitted on at most, chosen by a hash of their url.
 SAMPLE_PAGES = 400
@@ -250,7 +250,7 @@ def extract_text(pages: DataFrame, keep: list[str], weights: Weights) -> DataFra
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages")
-    return extract_text(pages, ["page_id", "url"], fit_weights(pages))
+    return extract_text(spread(pages.select("page_id", "url", "html")), ["page_id", "url"], fit_weights(pages))
 
 
 #: By plain patterns, which these pages allow: what stands in <article>, cut at its block tags.

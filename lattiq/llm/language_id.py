@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm._common import map_columns, table
+from lattiq.llm._common import map_columns, spread, table
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of their id.
 SAMPLE_DOCUMENTS = 8000
@@ -329,6 +329,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document; the model learns from the documents that aren't held out."""
     documents = table(spark, sf_dir, "documents")
     model = fit(documents.where(remainder() != 1))
-    return identify_languages(documents, model).select(
+    return identify_languages(spread(documents.select("doc_id", "text")), model).select(
         "doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )

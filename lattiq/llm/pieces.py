@@ -28,10 +28,9 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm._common import map_columns, table
+from lattiq.llm._common import map_columns, spread, table
 
 #: The vocabulary file; the driver reads it and its pieces are broadcast.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -433,4 +432,4 @@ def decode(pieces: DataFrame, keep: list[str], model_file: str = MODEL_FILE) ->
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best segmentations, as counts, scores and hashes."""
-    return encode_digest(table(spark, sf_dir, "documents").select("doc_id", F.col("text")), ["doc_id"])
+    return encode_digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
