@@ -99,7 +99,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") > 0.04, F.array(F.lit("MAIN"))).otherwise(F.array(F.lit("MAIN_LINE"))).alias("tags"),
         F.col("p_type").alias("market"),
         F.when(F.col("p_type").isin("SMALL", "LARGE"), F.concat(F.lit(" "), F.element_at(F.split("p_name", " "), 2))).alias("variant"),
-        (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("outcome_id"),
+        (((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")) * 10000 + F.col("l_suppkey")).alias("outcome_id"),
         kind.alias("kind"),
         F.when(flag == "A", "Over").when(flag == "R", "Under").when(open_item, wins).otherwise("2").alias("english_label"),
         F.lower(F.col("l_shipdate").cast("string")).alias("outcome_label"),
@@ -116,7 +116,7 @@ OUTCOMES = """v_outcome AS (SELECT *, CASE WHEN variant IS NOT NULL THEN market
   SELECT l_orderkey AS event_id, l_orderkey * 10 + code AS offer_id, CASE WHEN l_partkey % 43 <> 0 THEN code END AS criterion_id,
   CAST(CASE WHEN p_type = 'PROMO' THEN 3 ELSE code + 10 END AS INTEGER) AS offer_type, CASE WHEN l_tax > 0.04 THEN ['MAIN'] ELSE ['MAIN_LINE'] END AS tags,
   p_type AS market, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN ' ' || string_split(p_name, ' ')[2] END AS variant,
-  l_orderkey * 10000000 + l_partkey * 100 + l_linenumber AS outcome_id,
+  ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS outcome_id,
   CASE WHEN l_returnflag = 'A' THEN 'OT_OVER' WHEN l_returnflag = 'R' THEN 'OT_UNDER' WHEN l_linestatus = 'O' THEN 'OT_UNTYPED' ELSE 'OT_TWO' END AS kind,
   CASE WHEN l_returnflag = 'A' THEN 'Over' WHEN l_returnflag = 'R' THEN 'Under' WHEN l_linestatus = 'O' THEN CASE WHEN l_suppkey % 2 = 0 THEN s_name || ' wins' ELSE s_name END ELSE '2' END AS english_label,
   CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN s_name END AS participant, l_suppkey AS participant_id,

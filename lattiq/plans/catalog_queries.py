@@ -318,13 +318,13 @@ def _coupons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     """(refs, outcomes, picked): an order's line items as a coupon, fetched for its customer; the picks are by rule."""
     items = outcomes(spark, sf_dir).where("event_id < 3000")
     refs = items.select(F.col("event_id").alias("coupon_id"), "outcome_id", F.when(F.col("outcome_id") % 3 != 0, F.col("offer_id")).alias("offer_id"), F.col("outcome_id").alias("ord"))
-    known = items.select("outcome_id", "offer_id", F.col("participant_id").alias("event_id"), "criterion_id", F.col("label").alias("market_label"), F.col("english_label").alias("outcome_label"))
+    known = items.select("outcome_id", "offer_id", F.col("participant_id").alias("event_id"), "criterion_id", F.col("label").alias("market_label"), F.col("english_label").alias("outcome_label")).dropDuplicates(["outcome_id"])
     queries = events(spark, sf_dir).where("event_id < 3000").select(F.col("home_id").alias("query_id"), F.col("event_id").alias("coupon_id"))
-    picked = queries.withColumns({"event_ids": F.array(F.lit(3), F.lit(5)), "criterion_ids": F.array(F.lit(4)), "offer_ids": F.array(F.col("coupon_id") * 10 + 1), "outcome_ids": F.array(F.col("coupon_id") * 10000000 + 1)})
+    picked = queries.withColumns({"event_ids": F.array(F.lit(3), F.lit(5)), "criterion_ids": F.array(F.lit(4)), "offer_ids": F.array(F.col("coupon_id") * 10 + 1), "outcome_ids": F.array(((F.col("coupon_id") * 100000 + 5) * 10 + 1) * 10000 + 3)})
     return refs, known, picked
 
 
-_SCORES = """sc AS (SELECT o_custkey AS query_id, o.event_id AS coupon_id, CAST(0 AS BIGINT) AS exact, count(*) FILTER (WHERE offer_id = o.event_id * 10 + 1) AS same_offer, count(*) FILTER (WHERE participant_id IN (3, 5)) AS shown_event, count(*) FILTER (WHERE criterion_id = 4) AS same_market FROM v_outcome o JOIN orders ON o_orderkey = o.event_id WHERE o.event_id < 3000 GROUP BY 1, 2)"""
+_SCORES = """sc AS (SELECT o_custkey AS query_id, o.event_id AS coupon_id, count(*) FILTER (WHERE outcome_id = ((o.event_id * 100000 + 5) * 10 + 1) * 10000 + 3) AS exact, count(*) FILTER (WHERE offer_id = o.event_id * 10 + 1) AS same_offer, count(*) FILTER (WHERE participant_id IN (3, 5)) AS shown_event, count(*) FILTER (WHERE criterion_id = 4) AS same_market FROM v_outcome o JOIN orders ON o_orderkey = o.event_id WHERE o.event_id < 3000 GROUP BY 1, 2)"""
 
 
 @query(sql("SELECT query_id, coupon_id, exact, same_offer, shown_event, same_market FROM sc", OUTCOMES, _SCORES))
@@ -332,7 +332,7 @@ def agg_coupon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combos.score_coupons(*_coupons(spark, sf_dir))
 
 
-@query(sql("SELECT query_id, coupon_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, same_offer DESC, shown_event DESC, same_market DESC, CASE WHEN coupon_id % 2 = 0 THEN 1 ELSE 0 END DESC, coupon_id % 7, coupon_id) AS place FROM sc WHERE same_offer > 0 OR same_market > 0 OR shown_event > 0) WHERE place <= 3", OUTCOMES, _SCORES))
+@query(sql("SELECT query_id, coupon_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, same_offer DESC, shown_event DESC, same_market DESC, CASE WHEN coupon_id % 2 = 0 THEN 1 ELSE 0 END DESC, coupon_id % 7, coupon_id) AS place FROM sc WHERE exact > 0 OR same_offer > 0 OR same_market > 0 OR shown_event > 0) WHERE place <= 3", OUTCOMES, _SCORES))
 def win_coupon_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = combos.score_coupons(*_coupons(spark, sf_dir))
     rows = scores.withColumns({"on_shown_event": F.col("shown_event") > 0, "custom": F.col("coupon_id") % 2 == 0, "price": F.col("coupon_id") % 7})
