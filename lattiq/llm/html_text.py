@@ -11,7 +11,7 @@ Elements that never hold article text (scripts, menus, footers, forms and the li
 notices, comments and the like by class, id or role) count as one tag and give no words, wherever they stand.
 
 Defined results: null or empty html, and a page without words, give the empty text; character references
-are decoded once, broken ones stay; a tag that is never closed ends with the page; a removed element
+are decoded once, broken ones stay; a quote in a tag counts only after an equals sign; a tag that is never closed ends with the page; a removed element
 without an end tag counts as an ordinary tag; <br> is white space; equal sums take the earliest and then
 the longest run; whole pages are read; repeated rows each get their row; other columns are ignored.
 """
@@ -51,7 +51,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 LABEL_TAGS = frozenset(["article", "main"])
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 _MARKED = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none")

@@ -149,6 +149,7 @@ def test_html():
     for empty in (None, "", "   ", "<p></p>", "<script>only", "<"):
         assert html_text.main_text(empty, weights) in ("", "<")
     assert html_text.main_text("plain words stay", weights) == "plain words stay"
+    assert html_text.main_text("<p title=it's>one's own</p><p data-x='a>b' y=\"c>d\">two</p>", weights) == "one's own\n\ntwo"
 
 
 def test_html_weights_from_labelled_pages():
