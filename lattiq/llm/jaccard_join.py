@@ -208,18 +208,18 @@ def _candidate_links(nodes: DataFrame, limit: int, depth: int) -> DataFrame:
     )
     links, buckets = [], []
     for level in range(depth + 1):
-        large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+        # a bucket's size, and the node with its lowest hash as its pivot: fixed-width sums for every key
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("low")).where(F.col("n") > limit)
+        large = cut(sizes.select("key", "low"))
         if large.isEmpty():
             buckets.append(rows.select("key", F.lit(None).cast("int").alias("side"), "node", "sketch"))
             break
-        small = _bounded(large)
-        light = rows.join(small.select("key"), "key", "left_anti")
+        hashed = nodes.select(F.xxhash64("node").alias("low"), F.struct("node", "sketch").alias("pivot"))
+        pivots = cut(hashed.join(_bounded(large), "low").dropDuplicates(["key"]).select("key", "pivot"))
+        marked = cut(rows.join(_bounded(pivots), "key", "left"))
+        light = marked.where(F.col("pivot").isNull())
         buckets.append(light.select("key", F.lit(None).cast("int").alias("side"), "node", "sketch"))
-        heavy = rows.join(small.select("key"), "key", "left_semi")
-        pivots = cut(heavy.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("pivot")))
-        near = cut(
-            heavy.join(_bounded(pivots), "key").withColumn("equal", _agreement(F.col("sketch"), F.col("pivot.sketch")))
-        )
+        near = marked.where(F.col("pivot").isNotNull()).withColumn("equal", _agreement(F.col("sketch"), F.col("pivot.sketch")))
         links.append(
             near.where((F.col("equal") >= math.ceil(NEAR * SKETCH)) & (F.col("node") != F.col("pivot.node")))
             .select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
