@@ -316,10 +316,10 @@ def agg_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _coupons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(refs, outcomes, picked): an order's line items as a coupon, fetched for its customer; the picks are by rule."""
-    items = outcomes(spark, sf_dir).where("event_id < 3000")
+    items = outcomes(spark, sf_dir)
     refs = items.select(F.col("event_id").alias("coupon_id"), "outcome_id", F.when(F.col("outcome_id") % 3 != 0, F.col("offer_id")).alias("offer_id"), F.col("outcome_id").alias("ord"))
     known = items.select("outcome_id", "offer_id", F.col("participant_id").alias("event_id"), "criterion_id", F.col("label").alias("market_label"), F.col("english_label").alias("outcome_label")).dropDuplicates(["outcome_id"])
-    queries = events(spark, sf_dir).where("event_id < 3000").select(F.col("home_id").alias("query_id"), F.col("event_id").alias("coupon_id"))
+    queries = events(spark, sf_dir).select(F.col("home_id").alias("query_id"), F.col("event_id").alias("coupon_id"))
     picked = queries.withColumns({"event_ids": F.array(F.lit(3), F.lit(5)), "criterion_ids": F.array(F.lit(4)), "offer_ids": F.array(F.col("coupon_id") * 10 + 1), "outcome_ids": F.array(((F.col("coupon_id") * 100000 + 5) * 10 + 1) * 10000 + 3)})
     return refs, known, picked
 
