@@ -11,6 +11,8 @@ from lattiq.operators.planner import last_of
 
 #: Suggestions that a query shows at most, counted in places that show anything.
 BUDGET = 3
+#: Counted rows of related markets up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def place_outcomes(picks: DataFrame, outcomes: DataFrame, events: DataFrame) -> DataFrame:
@@ -28,11 +30,14 @@ def suggestions(related: DataFrame, offers: DataFrame, shown: DataFrame, budget:
     offer_id). An offer is shown once, at its first place; a place whose offers are all shown already spends nothing.
     So an offer belongs to its first place, and the first places that own any are the budget's.
     """
-    rows = related.join(offers, ["query_id", "leg_idx", "label"]).join(shown, ["query_id", "offer_id"], "left_anti")
+    few = F.broadcast if related.count() <= BROADCAST_ROWS else lambda df: df
+    rows = offers.join(few(related), ["query_id", "leg_idx", "label"]).join(shown, ["query_id", "offer_id"], "left_anti")
     first = Window.partitionBy("query_id", "offer_id").orderBy("rank", "leg_idx")
     own = rows.withColumn("__at", F.row_number().over(first)).where("__at = 1").drop("__at")
+    # a query has at most as many places as related markets, and any number of offers
     place = F.dense_rank().over(Window.partitionBy("query_id").orderBy("rank", "leg_idx"))
-    return own.withColumn("place", place).where(F.col("place") <= budget)
+    places = own.select("query_id", "rank", "leg_idx").distinct().withColumn("place", place).where(F.col("place") <= budget)
+    return own.join(few(places), ["query_id", "rank", "leg_idx"])
 
 
 def notes(legs: DataFrame) -> DataFrame:

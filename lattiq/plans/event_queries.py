@@ -250,9 +250,9 @@ _RELATED_SQL = values(_RELATED, "r(query_id, leg_idx, rank, label)", ["VARCHAR",
  AND (r.query_id <> 'q1' OR o.event_id % 2 = 0) WHERE o.offer_id % 5 <> 0)) WHERE n = 1) WHERE place <= 3""", OUTCOMES, _RELATED_SQL))
 def win_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     related = spark.createDataFrame(_RELATED, "query_id string, leg_idx int, rank int, label string")
-    own = outcomes(spark, sf_dir).where("event_id < 40").select("label", "offer_id", "event_id").distinct()
+    own = outcomes(spark, sf_dir).select("label", "offer_id", "event_id").distinct()
     offers = related.select("query_id", "leg_idx").distinct().join(F.broadcast(related.select("query_id", "leg_idx", "label").distinct()), ["query_id", "leg_idx"])
-    offers = offers.join(own, "label").where("query_id <> 'q1' OR event_id % 2 = 0").select("query_id", "leg_idx", "label", "offer_id")
+    offers = own.join(F.broadcast(offers), "label").where("query_id <> 'q1' OR event_id % 2 = 0").select("query_id", "leg_idx", "label", "offer_id")
     shown = offers.where("offer_id % 5 = 0").select("query_id", "offer_id").distinct()
     return assemble.suggestions(related, offers, shown).select("query_id", "leg_idx", "rank", "label", "offer_id")
 

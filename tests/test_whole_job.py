@@ -33,3 +33,7 @@ def same_as_whole_sql(spark):
 @pytest.mark.parametrize("name", ["agg_coupon_score", "win_coupon_rank"])
 def test_coupons_of_all_events(name, same_as_whole_sql):
     same_as_whole_sql(name, " WHERE o.event_id < 3000")
+
+
+def test_offers_of_all_events(same_as_whole_sql):
+    same_as_whole_sql("win_round_robin", " WHERE event_id < 40")
