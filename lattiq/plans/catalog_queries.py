@@ -403,7 +403,7 @@ def cmp_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def jon_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     gold = items.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("idx"), F.array("p_type").alias("accept"))
     predicted = items.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("idx"), F.col("p_type").alias("market"))
     return evaluation.pair_selectors(gold, predicted)

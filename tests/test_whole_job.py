@@ -37,3 +37,21 @@ def test_coupons_of_all_events(name, same_as_whole_sql):
 
 def test_offers_of_all_events(same_as_whole_sql):
     same_as_whole_sql("win_round_robin", " WHERE event_id < 40")
+
+
+def test_pairs_of_all_orders(spark, tmp_path):
+    """Against the greedy rule in plain Python, on orders with keys on either side of 2,000."""
+    parts = [(1, "SMALL"), (2, "SMALL"), (3, "LARGE"), (4, "PROMO"), (5, "LARGE")]
+    items = [(k, part, "ANR"[(k + part) % 3]) for k in (1, 2, 1999, 2000, 5001, 600000) for part, _ in parts]
+    spark.createDataFrame(parts, "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    kinds, wanted = dict(parts), set()
+    for k in {k for k, _, _ in items}:
+        free = sorted(p for o, p, flag in items if o == k and flag != "A")
+        for gold in sorted(p for o, p, flag in items if o == k and flag == "A"):
+            taken = next((p for p in free if kinds[p] == kinds[gold]), None)
+            free = [p for p in free if p != taken]
+            wanted.add((k, gold, taken))
+    found = queries.QUERIES["jon_greedy_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.gold_idx, r.pred_idx) for r in found} == wanted and len(found) == len(wanted)
+    assert any(k >= 2000 and p is not None for k, _, p in wanted)
