@@ -69,7 +69,7 @@ def prj_english_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000 AND c_custkey % 50 = 0)")
 def jon_semi_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_name", F.array().cast("array<bigint>").alias("path"))
-    seen = read(spark, sf_dir, "customer").where("c_acctbal > 5000 AND c_custkey % 50 = 0").select(F.col("c_nationkey").alias("id"))
+    seen = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("id")).distinct()
     return nodes.join(seen, "id", "left_semi").select(F.col("id").alias("n_nationkey"))
 
 
@@ -101,7 +101,7 @@ def jon_roster_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT CAST(club_id AS VARCHAR) AS context, CAST(id AS BIGINT) AS id FROM (SELECT DISTINCT club_id, unnest(competition_ids) AS id FROM pl WHERE club_id < 4)", _PLAYERS))
 def jon_allow_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = _players(spark, sf_dir)
-    found = players.where("club_id < 4").select(F.col("club_id").cast("string").alias("context"), F.array(F.struct("id", F.lit(1.0).alias("score"))).alias("candidates"))
+    found = players.select(F.col("club_id").cast("string").alias("context"), F.array(F.struct("id", F.lit(1.0).alias("score"))).alias("candidates"))
     return grounding.allow_set(found, players)
 
 

@@ -55,3 +55,8 @@ def test_pairs_of_all_orders(spark, tmp_path):
     found = queries.QUERIES["jon_greedy_pairs"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.gold_idx, r.pred_idx) for r in found} == wanted and len(found) == len(wanted)
     assert any(k >= 2000 and p is not None for k, _, p in wanted)
+
+
+@pytest.mark.parametrize("name, subset", [("jon_semi_whitelist", " AND c_custkey % 50 = 0"), ("jon_allow_set", " WHERE club_id < 4")])
+def test_whole_sets(name, subset, same_as_whole_sql):
+    same_as_whole_sql(name, subset)
