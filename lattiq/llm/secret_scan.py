@@ -1,6 +1,7 @@
 """Secret scan: patterns find candidates, a random forest removes false positives; DataFrame operations alone.
 
-Candidates are tokens of known formats and values assigned to names such as token or password. The forest
+Candidates are tokens of known formats, values assigned to names with a part such as token or password, bearer
+tokens, and passwords in urls. The forest
 looks at a candidate's length, transitions between character classes, coverage by dictionary words, digits
 and entropy, at path marks next to it, and at the words before it. It is fitted on labelled
 findings; without any given, on a fixed set generated by rule: random tokens and assigned random values
@@ -21,20 +22,40 @@ from lattiq.llm._common import cut, table
 from lattiq.llm.url_filter import entropy
 
 # Public token formats, names that secrets are assigned to, and words of placeholders.
+# What precedes a value in the formats with free values. A name is a run of letters, digits, _ and -, in which one of the words
+# ends a part (snake, kebab or camel case); the lookahead and the possessive run keep this linear in the run's length.
+_SCHEME = r"(?:(?:bearer|basic)[ \t]+)?"
+_NAME = (
+    r"(?<![a-z0-9_-])(?=[a-z0-9_-]*?(?:token|secret|passwd|password|passphrase|pwd|authorization|credential|(?:api|access|auth|private|secret|signing|encryption|account)[_-]?key)"
+    r"s?(?-i:(?![a-z])))[a-z0-9_-]++"
+)
+HEADS = {
+    "assigned": rf"(?i:{_NAME}[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?{_SCHEME})",
+    "bearer": r"(?i:\bbearer[ \t]+)",
+    "url_password": r"(?i:\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]*:)",
+}
 FORMATS = {
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
+    "github_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36}\b|github_pat_[A-Za-z0-9_]{22,})",
+    "gitlab_token": r"\bglpat-[A-Za-z0-9_-]{20,}",
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
+    "stripe_key": r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
+    "sk_key": r"\bsk-[A-Za-z0-9_-]{20,}",
+    "npm_token": r"\bnpm_[A-Za-z0-9]{36}\b",
+    "hf_token": r"\bhf_[A-Za-z0-9]{30,}",
+    "sendgrid_key": r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-    "assigned": r"(?i:\b(?:[a-z0-9]+[_-])?(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)\b[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?)[^\s\"',;<>]{6,}",
+    "assigned": HEADS["assigned"] + r"[^\s\"',;<>]{6,}",
+    "bearer": HEADS["bearer"] + r"[A-Za-z0-9._~+/=-]{16,}",
+    "url_password": HEADS["url_password"] + r"[^\s/@\"'<>]{3,}(?=@)",
 }
 DICTIONARY = (
     "password|passwd|changeme|example|sample|secret|token|dummy|placeholder|default|admin|root|user|test|your|here|insert|"
     "enter|none|null|true|false|string|value|public|private|access|config|letmein|welcome|qwerty|master|demo|fake|todo|key|api"
 )
-NAMES = r"(?i)(?:token|secret|passw|pwd|key|credential|auth)"
+NAMES = r"(?i)(?:token|secret|passw|passphrase|pwd|key|credential|auth|bearer|://[^\s/]*:$)"
 CALM = r"(?i)(?:example|sample|dummy|placeholder|commit|sha1|sha256|checksum|digest|uuid|revision|e\.g|docs?)"
 
 #: Characters kept on either side of a candidate.
@@ -49,10 +70,11 @@ _MARK = "\u0001"
 def find_candidates(documents: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of documents(text, ...) with start, kind, value, before and after of each candidate."""
     text = F.translate("text", _MARK, " ")
-    hints = ["AKIA", "ASIA", "gh", "xox", "AIza", "eyJ", "-----BEGIN", "=", ":"]
+    hints = ["AKIA", "ASIA", "gh", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "sk-", "npm_", "hf_", "SG.", "AIza", "eyJ", "-----BEGIN", "=", ":"]
     hinted = F.lit(False)
     for hint in hints:
         hinted = hinted | F.contains(F.col("text"), F.lit(hint))
+    hinted = hinted | F.contains(F.lower("text"), F.lit("bearer"))
     rows = documents.where(hinted).select(F.struct(*keep).alias("__kept"), text.alias("text")).where(F.col("text").rlike(_ANY))
     parts = F.split(F.regexp_replace("text", f"({_ANY})", f"{_MARK}$1{_MARK}"), _MARK, -1)
     cut_up = rows.select("__kept", parts.alias("parts"))
@@ -61,22 +83,25 @@ def find_candidates(documents: DataFrame, keep: list[str]) -> DataFrame:
     match, before = F.element_at("parts", F.col("k") + 1), F.element_at("parts", F.col("k"))
     after = F.element_at("parts", F.col("k") + 2)
     ahead = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    head = F.regexp_extract("match", "^" + FORMATS["assigned"].replace(r"[^\s\"',;<>]{6,}", ""), 0)
     kind = F.lit("assigned")
     for name, pattern in FORMATS.items():
-        if name != "assigned":
+        if name not in HEADS:
             kind = F.when(F.col("match").rlike(f"^(?:{pattern})$"), name).otherwise(kind)
+        elif name != "assigned":
+            kind = F.when(F.col("match").rlike("^" + HEADS[name]), name).otherwise(kind)
+    head = F.lit("")
+    for name, pattern in HEADS.items():
+        head = F.when(F.col("kind") == name, F.regexp_extract("match", "^" + pattern, 0)).otherwise(head)
     spread = found.select(
         "__kept", match.alias("match"), ahead.alias("ahead"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("after")
-    ).withColumns({"kind": kind, "head": head})
-    assigned = F.col("kind") == "assigned"
-    name_length = F.when(assigned, F.length("head")).otherwise(0)
+    ).withColumn("kind", kind).withColumn("head", head)
+    name_length = F.length("head")
     return spread.select(
         "__kept.*",
         (F.col("ahead") + name_length).alias("start"),
         "kind",
         F.substring("match", name_length + 1, F.length("match")).alias("value"),
-        F.when(assigned, F.concat("left", "head")).otherwise(F.col("left")).alias("before"),
+        F.concat("left", "head").alias("before"),
         "after",
     )
 
@@ -97,7 +122,7 @@ def _features(value: Column, before: Column, after: Column, kind: Column) -> dic
         "f_path": (before.rlike(r"[/\\]$") | after.rlike(r"^[/\\]") | value.rlike(r"[/\\].*[/\\]|\$\{|\{\{|^<|\.\.\.")).cast("double"),
         "f_named": before.rlike(NAMES).cast("double"),
         "f_calm": (before.rlike(CALM) | value.rlike(CALM)).cast("double"),
-        "f_format": (~kind.isin("assigned")).cast("double"),
+        "f_format": (~kind.isin(*HEADS)).cast("double"),
     }
 
 

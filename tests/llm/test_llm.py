@@ -97,6 +97,20 @@ def test_secrets(spark):
     assert right >= 1150
 
 
+def test_secret_candidates(spark):
+    value = "q7Zt4Kx9Lm2Vb8Nc5Rw1"
+    heads = ["aws_secret_access_key = ", "AWS_SECRET_ACCESS_KEY=", "DB_ADMIN_PASSWORD=", 'secret_key = "', "private_key: ", 'clientSecret: "', 'accessToken="', '{"accessTokenValue": "', "x-my-auth-token-2: "]
+    heads += ["Authorization: Bearer ", "authorization: Basic ", "auth_token=Bearer ", "send bearer ", "postgres://admin:", "https://:"]
+    texts = [f"see {h}{value}@host/x" if "://" in h else f"see {h}{value} then" for h in heads]
+    formats = ["sk_live_" + value, "rk_test_" + value, "github_pat_" + value * 2, "glpat-" + value, "sk-" + value, "npm_" + (value * 2)[:36], "hf_" + value * 2, f"SG.{value}.{value}"]
+    wanted = {(k, t.index(value), value) for k, t in enumerate(texts)} | {(100 + k, 4, f) for k, f in enumerate(formats)}
+    plain = [(200, "secretary: Johnson tokenizer=fastmode see http://host:8080/a@b and bearer of news")]
+    rows = list(enumerate(texts)) + [(100 + k, f"use {f} in") for k, f in enumerate(formats)] + plain
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert {(r.doc_id, r.start, r.value) for r in found} == wanted
+    assert all(r.is_secret for r in found)
+
+
 # ---- SentencePiece ----
 
 
