@@ -144,6 +144,14 @@ def resolve(
     pool = found.where("in_pool")
     facts = pool.select("query_id", "leg_idx", "outcome_id", "is_selected", "offer_id", "event_id", F.struct("label", "criterion_id", "tags").alias("offer"), F.struct("english_label", "participant", "odds", "line").alias("outcome"))
     placed = facts.join(events.select("event_id", F.struct("event_name", "start", "state").alias("event")), "event_id")
+    related = _stage(picks.select(*LEG, F.posexplode("related").alias("rank", "label")))
+    near = outcomes.join(pool.select(*LEG, "event_id").distinct(), "event_id").join(related.select(*LEG, "label"), [*LEG, "label"])
+    trimmed = _stage(selecting.trim_field(near.join(specs.select(*LEG, "subject", "subject_id"), LEG), [*LEG, "offer_id"], ["ord", "outcome_id"]))
+    listed_once = trimmed.select(*LEG, "label", "offer_id").distinct()
+    suggested = assemble.suggestions(related, listed_once, pool.select("query_id", "offer_id").distinct()).select(*LEG, "rank", "label", "offer_id")
+    shaped = F.array_sort(F.collect_list(F.struct("ord", "outcome_id", F.struct("english_label", "participant", "odds", "line").alias("outcome"))))
+    shown = suggested.join(trimmed, [*LEG, "label", "offer_id"]).groupBy("query_id", "rank", "leg_idx", "event_id", "offer_id", "label")
+    additional = shown.agg(shaped.alias("outcomes"))
     told = bound.select(*LEG, "time_unresolved", (F.col("window_start").isNotNull() | F.col("window_end").isNotNull()).alias("has_window"), "other_sports")
     status = found.groupBy(*LEG).agg(F.max("fallback").alias("fallback"), F.bool_or("in_pool").alias("found"))
     seen = kept.select(*LEG).distinct().withColumn("had_fixture", F.lit(True))
@@ -164,7 +172,7 @@ def resolve(
     said = assemble.notes(state)
     for rows_of, code in ((unknown, "unsupported_sport"), (open_queries, "incomplete")):
         said = said.unionByName(rows_of.select("query_id", F.lit("clarification").alias("kind"), F.lit(None).cast("int").alias("leg_idx"), F.lit(code).alias("code")))
-    return {"legs": bound, "cells": cells, "settled": settled, "menus": menus, "picks": chosen, "selection": found, "envelopes": assemble.envelopes(placed, None, said)}
+    return {"legs": bound, "cells": cells, "settled": settled, "menus": menus, "picks": chosen, "selection": found, "envelopes": assemble.envelopes(placed, additional, said)}
 
 
 #: (query_id, leg_idx, label, line, odds_min) for the legs of bindings.LEGS.

@@ -1,10 +1,15 @@
 """Queries over all of their rows, where the registered SQL keeps a subset of them."""
 
+import datetime
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lattiq.plans import queries
+from lattiq.operators import replay
+from lattiq.plans import pipeline, queries
 from tests.conftest import TABLES, plain
+from tests.test_operators import NOW, catalog
 
 #: Larger than the other tests' tables, so that every subset shows.
 MORE = "/root/testdata/sf0.01"
@@ -60,3 +65,23 @@ def test_pairs_of_all_orders(spark, tmp_path):
 @pytest.mark.parametrize("name, subset", [("jon_semi_whitelist", " AND c_custkey % 50 = 0"), ("jon_allow_set", " WHERE club_id < 4")])
 def test_whole_sets(name, subset, same_as_whole_sql):
     same_as_whole_sql(name, subset)
+
+
+def test_resolve_suggests_related_markets(spark):
+    start = datetime.datetime(2026, 6, 26, 18)
+    events = spark.createDataFrame(
+        [(901, "Reds - Blues", "Reds", "Blues", start, "NOT_STARTED", "fixture", 10, [1, 2], [1, 2])],
+        "event_id long, event_name string, home_name string, away_name string, start timestamp_ntz, state string, level string, group_id long, teams array<long>, members array<long>",
+    )
+    names = "offer_id long, event_id long, criterion_id long, offer_type int, tags array<string>, label string, ord int, outcome_id long, kind string, english_label string, outcome_label string, participant string, participant_id long, odds long, line long, home_score string, away_score string"
+    rows = [(9010, 901, 5, 6, ["MAIN"], "Total Goals", k, 90100 + k, "OT_OVER" if k == 1 else "OT_UNDER", "Over" if k == 1 else "Under", None, None, None, 1500, 2500, None, None) for k in (1, 2)]
+    for at, label in enumerate(("Corners", "Cards", "Throws"), 1):
+        rows += [(9010 + at, 901, 5 + at, 2, [], label, k, 90100 + at * 10 + k, None, f"{label} {k}", None, None, None, 2000 + k, None, None, None) for k in (1, 2)]
+    plan = '{"status":"ok","sport":"football","selectors":[{"subject":{"kind":"event"},"market_concept":"total goals","line":"2.5","competition":"Cup","teams":["Reds"],"level":"fixture"}]}'
+    phrase = spark.createDataFrame([("total goals",)], "phrase string")
+    markets = phrase.select(replay.request_key("market", F.col("phrase")).alias("key"), F.lit("Total Goals").alias("label"), F.lit("exact").alias("match"), F.lit(None).cast("string").alias("outcome_label"), F.array(F.lit("Cards"), F.lit("Corners")).alias("related"))
+    entities = spark.createDataFrame([], "key string, pass int, action string, id long, phrase string, question string")
+    asked = spark.createDataFrame([("q1", plan)], "query_id string, plan string")
+    tables = pipeline.resolve(spark, asked, catalog(spark), events, spark.createDataFrame(rows, names), markets, entities, spark.createDataFrame([("football",)], "sport string"), F.lit(NOW).cast("timestamp_ntz"), F.create_map(F.lit("u21"), F.lit("u21")))
+    answer = tables["envelopes"].first()
+    assert [(a.rank, a.label, a.offer_id, [o.outcome_id for o in a.outcomes]) for a in answer.additional] == [(0, "Cards", 9012, [90121, 90122]), (1, "Corners", 9011, [90111, 90112])]
