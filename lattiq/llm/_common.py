@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +37,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder; one is set only where the cluster names none, as in tests."""
+    """The checkpoint folder; one is made only where none is named and driver and executors are one process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattiq-"))
     return context.getCheckpointDir()
 
@@ -51,6 +53,29 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Bits of a key filter for each key, of one of its blocks, and its most blocks (64 MB in all).
+KEY_BITS, BLOCK_BITS, MOST_BLOCKS = 16, 32768, 16384
+
+
+def split_by_keys(rows: DataFrame, own: Column, keys: DataFrame, theirs: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be among the keys', rows whose hash is not); keys are written already.
+
+    The keys' hashes become bits of blocks, which are broadcast: at most 64 MB, whatever the number of keys. With more keys than bits the
+    first part holds more rows than it need, never fewer, so that an exact join of it alone is right. It moves few
+    of the texts where few have a key.
+    """
+    blocks = min(max(1, -(-keys.count() * KEY_BITS // BLOCK_BITS)), MOST_BLOCKS)
+    place = lambda hashed: F.pmod(hashed, F.lit(blocks * BLOCK_BITS))
+    bits = keys.select(place(theirs).alias("at")).select(F.bitmap_bucket_number("at").alias("__block"), F.bitmap_bit_position("at").alias("bit"))
+    bits = cut(bits.repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__bits")))
+    at = F.bitmap_bit_position(place(own))
+    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(own)) == F.col("__block"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    columns = [rows[f"`{c}`"] for c in rows.columns]
+    return marked.where(hit).select(*columns), marked.where(~hit).select(*columns)
+
+
 def map_columns(
     df: DataFrame,
     inputs: list[str],

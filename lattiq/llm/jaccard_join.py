@@ -9,8 +9,9 @@
    as the target recall asks for.
 3. Nodes whose sketches agree enough are candidates. Each bucket passes on one link for each node it
    connects, never its pairs; connected components of these give groups in which all similar pairs lie.
-4. Within each group the whole shingle sets are compared exactly, in blocks of bounded size. That gives the
-   links, their number for each document, and the final classes.
+4. Within each group the whole shingle sets are compared exactly. Groups beyond ``LIMIT`` nodes are dealt into blocks
+   by size and hash, and a block meets only those whose sizes still allow a link. That gives the links, their number
+   for each document, and the final classes.
 
 A class is a connected component of links with Jaccard similarity of at least 4/5; its id is its smallest
 doc_id. n_links is the number of other documents linked to a document, copies among them.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattiq.llm._common import WordHashes, cut, gram_hashes, map_columns, small_batches, spread, table, words
+from lattiq.llm._common import WordHashes, cut, gram_hashes, map_columns, small_batches, split_by_keys, spread, table, words
 from lattiq.llm.components import connected_components
 
 #: Words of a shingle, and the similarity of a link as a fraction.
@@ -255,20 +256,12 @@ def _candidate_links(nodes: DataFrame, limit: int, depth: int) -> DataFrame:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact links within blocks. Columns: group, a, b (the blocks that meet), side, node, n_copies, text.
+    """Exact links within blocks. Columns: group, a, b (the blocks that meet), side, node, n_copies, shingles.
 
     Gives for each node its links in copies (links) and a smaller node that it is connected to (parent).
     """
-    hashes = WordHashes()
-
-    def sized(source):
-        # whole texts become shingles at once, so that a block is held as numbers
-        for batch in source:
-            sets = [shingles(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.large_binary()))
-
     num, den = SIMILARITY
-    for group in _groups(sized(batches), 3):
+    for group in _groups(batches, 3):
         nodes, sides, copies = group["node"], group["side"], np.array(group["n_copies"], np.int64)
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
         n = len(nodes)
@@ -309,10 +302,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def near_duplicate_classes(
-    documents: DataFrame, recall: float = TARGET_RECALL, limit: int = LIMIT, depth: int = DEPTH
-) -> DataFrame:
-    """(doc_id, mark, n_shingles, class_id, n_links) for each row of documents(doc_id, text, ...); mark is xxhash64(text)."""
+def _shingle_sets(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns and ``shingles``, the sorted hashes of a text as bytes: each text is read once, however many blocks it meets."""
+
+    def make():
+        hashes = WordHashes()
+        return lambda found: [(shingles(t, hashes).tobytes(),) for t in found]
+
+    return map_columns(texts, ["text"], keep, T.StructType([T.StructField("shingles", T.BinaryType())]), make)
+
+
+def _blocks(sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rows of groups of more than one block, once for each block that they meet.
+
+    A band holds sizes within a factor of 1 / similarity, so that linked nodes are in one band or in two next to each other. bands(group,
+    band, parts) says into how many blocks a band is dealt.
+    """
+    own = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = sets.join(bands, ["group", "band"]).withColumn("own", own).drop("parts")
+    near = placed.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    met = near.join(bands.withColumnsRenamed({"band": "near"}), ["group", "near"])
+    return met.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.col("near") * (1 << 32) + k)))
+
+
+def _classified(documents: DataFrame, recall: float, limit: int, depth: int) -> DataFrame:
+    """The columns of near_duplicate_classes(), and ``chosen``: the first key (no_id, doc_id, mark) of the class, null without words."""
     small_batches(documents.sparkSession)
     prints = cut(fingerprints(documents, runs_for(recall, depth=depth)))
     shaped = prints.where("node IS NOT NULL")
@@ -320,52 +334,54 @@ def near_duplicate_classes(
     nodes = cut(
         shaped.groupBy("node").agg(
             F.min("doc_id").alias("first_id"),
-            F.min(F.struct("doc_id", "mark")).alias("one"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("one"),
             F.min("roots").alias("roots"),
             F.min("sketch").alias("sketch"),
+            F.min("n_shingles").alias("size"),
             F.count("*").alias("n_copies"),
         )
     )
     candidates = connected_components(_candidate_links(nodes.select("node", "roots", "sketch"), limit, depth))
-    members = nodes.select("node", "one", "n_copies").join(candidates.withColumnRenamed("label", "group"), "node")
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / limit).cast("int").alias("count"))
-    members = cut(members.join(sizes, "group"))
-    wanted = _bounded(members.select("group", "count", "node", "n_copies", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark")))
-    marked = documents.select("doc_id", F.xxhash64("text").alias("own_mark"), "text")
-    texts = marked.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))).dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("count")).cast("int")
-    pairs = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-    blocks = pairs.select(
-        "group",
-        F.least("own", "other").alias("a"),
-        F.greatest("own", "other").alias("b"),
-        F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int")).alias("side"),
-        "node",
-        "n_copies",
-        "text",
-    )
+    band = F.floor(F.log("size") / math.log(SIMILARITY[1] / SIMILARITY[0])).alias("band")
+    members = nodes.select("node", "one", "n_copies", band).join(candidates.withColumnRenamed("label", "group"), "node")
+    members = cut(members)
+    sizes = cut(members.groupBy("group").agg(F.ceil(F.count("*") / limit).cast("int").alias("count")))
+    members = cut(members.join(sizes, "group").select("group", "count", "band", "node", "n_copies", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("own_mark")))
+    marked = documents.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    maybe, _ = split_by_keys(marked, F.xxhash64("doc_id", "mark"), members, F.xxhash64("id", "own_mark"))
+    texts = maybe.join(members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"])
+    carried = ["group", "count", "band", "node", "n_copies"]
+    sets = cut(_shingle_sets(texts, carried))
+    none = F.lit(0).cast("long")
+    blocks = sets.where("count = 1").select("group", none.alias("a"), none.alias("b"), F.lit(None).cast("int").alias("side"), "node", "n_copies", "shingles")
+    split = cut(sizes.where("count > 1"))
+    several = not split.isEmpty()
+    if several:
+        bands = cut(members.where("count > 1").groupBy("group", "band").agg(F.ceil(F.count("*") / limit).alias("parts")))
+        apart = F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int"))
+        met = _blocks(sets.where("count > 1"), bands)
+        blocks = blocks.unionByName(met.select("group", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), apart.alias("side"), "node", "n_copies", "shingles"))
     ordered = blocks.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "side", "node")
     verified = cut(ordered.mapInArrow(_verified, "group binary, node binary, parent binary, links long"))
-    split = sizes.where("count > 1")
     links = verified.where("node <> parent").select("group", F.col("node").alias("a"), F.col("parent").alias("b"))
-    if split.isEmpty():
-        labels = verified.select("node", F.col("parent").alias("label"))
-    else:
+    if several:
         # groups of one block are settled; the blocks of the others are put together
         apart = links.join(split, "group", "left_semi")
         whole = verified.join(split, "group", "left_anti").select("node", F.col("parent").alias("label"))
         labels = whole.unionByName(connected_components(apart))
+    else:
+        labels = verified.select("node", F.col("parent").alias("label"))
     counted = verified.groupBy("node").agg(F.sum("links").alias("links"))
     placed = (
-        nodes.select("node", "first_id", "n_copies")
+        nodes.select("node", "first_id", "one", "n_copies")
         .join(labels, "node", "left")
         .join(counted, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
     placed = cut(placed)
-    ids = placed.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    ids = placed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min("one").alias("chosen"))
     known = placed.join(ids, "label").select(
-        F.col("node").alias("own_node"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")
+        F.col("node").alias("own_node"), "class_id", "chosen", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")
     )
     return prints.join(known, F.col("node") == F.col("own_node"), "left").select(
         "doc_id",
@@ -373,19 +389,35 @@ def near_duplicate_classes(
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "chosen",
     )
 
 
+def near_duplicate_classes(
+    documents: DataFrame, recall: float = TARGET_RECALL, limit: int = LIMIT, depth: int = DEPTH
+) -> DataFrame:
+    """(doc_id, mark, n_shingles, class_id, n_links) for each row of documents(doc_id, text, ...); mark is xxhash64(text)."""
+    return _classified(documents, recall, limit, depth).drop("chosen")
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each class (that with the class's id), and all documents without words, with all their columns."""
-    classes = cut(near_duplicate_classes(documents))
-    stays = F.col("class_id").eqNullSafe(F.col("doc_id"))
-    kept = classes.where(stays).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    repeated = not kept.groupBy("__id", "__mark").count().where("count > 1").isEmpty()
-    kept = cut(kept.distinct())
-    same = documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__mark"))
-    rows = documents.join(_bounded(kept), same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    """One row of each class (the first by doc_id, null last, then mark), and all documents without words, with all their columns.
+
+    Of rows that repeat the first's doc_id and text, one stays. Only rows that may go are moved (``split_by_keys``).
+    """
+    classes = cut(_classified(documents, TARGET_RECALL, LIMIT, DEPTH))
+    own = [F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")]
+    first = F.col("chosen.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("chosen.mark") == F.col("mark"))
+    worded = classes.where("chosen IS NOT NULL")
+    go = worded.where(~first).select(*own).distinct().withColumn("__once", F.lit(False))
+    repeated = worded.where(first).groupBy(*own).count().where("count > 1").select("__id", "__mark", F.lit(True).alias("__once"))
+    keys = cut(go.unionByName(repeated))
+    mark = F.xxhash64(documents["text"])
+    maybe, stay = split_by_keys(documents, F.xxhash64(documents["doc_id"], mark), keys, F.xxhash64("__id", "__mark"))
+    met = maybe.join(keys, maybe["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(maybe["text"]) == F.col("__mark")), "left")
+    columns = [maybe[f"`{c}`"] for c in documents.columns]
+    once = met.where("__once").dropDuplicates(["__id", "__mark"])
+    return stay.unionByName(met.where("__once IS NULL").select(*columns)).unionByName(once.select(*columns))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm import components, decontamination, html_text, jaccard_join, language_id, line_dedup, pieces, queries, secret_scan, topk_search, trees, url_filter, warc
-from lattiq.llm._common import words
+from lattiq.llm._common import split_by_keys, words
 from tests.conftest import DATA
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -308,9 +308,24 @@ def test_keep_one(spark):
     frame = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, label int")
     kept = jaccard_join.keep_one(frame)
     assert sorted(x.doc_id for x in kept.collect()) == [1, 2, 4, 5, 6] and kept.columns == frame.columns
+    text = prose(3, 90)
+    rows = [(1, text), (1, text + " extra"), (2, text), (None, text + " extra"), (None, "alone in here"), (None, "alone in here"), (7, None), (7, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, label int")).collect()
+    assert sorted(x.doc_id or 0 for x in kept) == [0, 1, 7, 7]
     assert jaccard_join.near_duplicate_classes(frame.limit(0)).count() == 0
 
 
+def test_split_by_keys(spark):
+    rows = spark.range(20000).withColumn("text", F.concat(F.lit("t"), "id"))
+    keys = spark.range(0, 20000, 7).withColumnRenamed("id", "k")
+    maybe, rest = split_by_keys(rows, F.xxhash64("id"), keys, F.xxhash64("k"))
+    maybe, rest = {x.id for x in maybe.collect()}, {x.id for x in rest.collect()}
+    assert maybe >= set(range(0, 20000, 7)) and maybe | rest == set(range(20000)) and not maybe & rest
+    assert len(maybe) < 20000 / 7 * 1.6
+    maybe, rest = split_by_keys(rows, F.xxhash64("id"), keys.limit(0), F.xxhash64("k"))
+    assert maybe.count() == 0 and rest.count() == 20000
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(None, 3), (7, 7)]
