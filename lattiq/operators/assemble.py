@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +68,19 @@ def notes(legs: DataFrame) -> DataFrame:
     return found.select("query_id", "n.kind", "n.leg_idx", "n.code").distinct()
 
 
-def envelopes(placed: DataFrame, additional: DataFrame | None, said: DataFrame, combinations: DataFrame | None = None) -> DataFrame:
-    """One row for each query: events, results (highlighted offers with their outcomes, by event), additional, notes, clarification, combinations.
+def referenced(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows(query_id, event_id, ...) of events that hold a placed outcome of the query."""
+    return rows.join(placed.select("query_id", "event_id").distinct(), ["query_id", "event_id"], "left_semi")
+
 
-    placed(query_id, event_id, event, offer_id, offer, outcome_id, outcome, is_selected, leg_idx).
+def envelopes(
+    placed: DataFrame, additional: DataFrame | None, said: DataFrame, combinations: DataFrame | None = None, queries: DataFrame | None = None, other_events: DataFrame | None = None
+) -> DataFrame:
+    """One row for each query: events, results (highlighted offers with their outcomes, by event), additional, notes, clarification, combinations
+    and combination_events (of ``other_events``: what combinations name and the results don't show).
+
+    placed(query_id, event_id, event, offer_id, offer, outcome_id, outcome, is_selected, leg_idx). With queries(query_id) each of these has a row, others
+    none.
     """
     outcome = F.struct("outcome_id", "outcome", "is_selected")
     offers = placed.groupBy("query_id", "event_id", "offer_id").agg(
@@ -90,14 +97,13 @@ def envelopes(placed: DataFrame, additional: DataFrame | None, said: DataFrame,
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "clarification", F.col("code")))), " ").alias("clarification"),
     )
     out = body.join(lines, "query_id", "full")
-    extras = [("additional", additional), ("combinations", combinations)]
+    extras = [("additional", additional), ("combinations", combinations), ("combination_events", other_events)]
     for name, extra in extras:
         if extra is not None:
             columns = [c for c in extra.columns if c != "query_id"]
             out = out.join(extra.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)), "query_id", "full")
-    return out.withColumn("clarification", F.nullif(F.col("clarification"), F.lit("")))
-
+    if queries is not None:
+        out = queries.select("query_id").distinct().join(out, "query_id", "left")
+    lists = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in out.schema if f.dataType.typeName() == "array"}
+    return out.withColumns({**lists, "clarification": F.nullif(F.col("clarification"), F.lit(""))})
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """All rows of frames with the same columns."""
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -48,3 +48,9 @@ def shape_coupons(ranked: DataFrame, refs: DataFrame, outcomes: DataFrame, picke
     rows = ranked.join(refs, "coupon_id").join(named, "outcome_id").join(picked.select("query_id", "coupon_id", "outcome_ids"), ["query_id", "coupon_id"])
     leg = F.struct("ord", "market_label", "outcome_label", F.array_contains("outcome_ids", F.col("outcome_id")).alias("matched"))
     return rows.groupBy("query_id", "coupon_id", "place", "price", F.coalesce("tag", F.lit("AUTO")).alias("tag")).agg(F.array_sort(F.collect_list(leg)).alias("legs"))
+
+
+def combination_events(shaped: DataFrame, refs: DataFrame, outcomes: DataFrame, shown: DataFrame) -> DataFrame:
+    """(query_id, event_id): the events that a query's combinations name and that it doesn't show. shaped(query_id, coupon_id), shown(query_id, event_id)."""
+    named = shaped.select("query_id", "coupon_id").join(refs, "coupon_id").join(outcomes.select("outcome_id", "event_id"), "outcome_id")
+    return named.where("event_id IS NOT NULL").select("query_id", "event_id").distinct().join(shown, ["query_id", "event_id"], "left_anti")

@@ -7,6 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.functions.offering import truncated
+from lattiq.functions.timewin import within
+from lattiq.operators.scope import right_state
+
+#: Events of one request for offers: fewer if no offer types bound the answer.
+BATCH_TYPED, BATCH_UNTYPED = 3, 2
 #: Members of a team that are fetched for a competition-wide question.
 SQUAD = 5
 
@@ -80,6 +86,40 @@ def recall(inputs: DataFrame, offers: DataFrame, members: DataFrame) -> DataFram
     return first_of(every, ["query_id", "offer_id"], ["__rank"]).drop("__rank")
 
 
+def events_of_groups(events: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups(query_id, group_id, ...) with every event of the group: a list that is never cut."""
+    return groups.join(events, "group_id")
+
+
+def fan_out(groups: DataFrame, events: DataFrame, typed: bool = False, most_events: int | None = None) -> DataFrame:
+    """The requests that complete a cut answer of a group: its events that may fit, dealt into batches.
+
+    groups(query_id, group_id, levels, play_state, window_start, window_end); events(event_id, group_id, level, state, start). Events of
+    an unknown level, and without a start, stay. Gives query_id, group_id, event_id, batch (from 0, by event_id) and capped: whether
+    ``most_events`` left events of the group out.
+    """
+    rows = events_of_groups(events, groups)
+    level = F.col("level").isNull() | (F.size("levels") == 0) | F.array_contains("levels", F.col("level"))
+    kept = rows.where(level & right_state(F.col("state"), F.col("play_state")) & within(F.col("start"), F.col("window_start"), F.col("window_end")))
+    own = Window.partitionBy("query_id", "group_id")
+    placed = kept.withColumns({"__at": F.row_number().over(own.orderBy("event_id")), "__n": F.count("*").over(own)})
+    if most_events is not None:
+        placed = placed.where(F.col("__at") <= most_events)
+    size = BATCH_TYPED if typed else BATCH_UNTYPED
+    capped = F.lit(False) if most_events is None else F.col("__n") > most_events
+    return placed.select("query_id", "group_id", "event_id", F.floor((F.col("__at") - 1) / size).cast("int").alias("batch"), capped.alias("capped"))
+
+
+def fetch_flags(tasks: DataFrame) -> DataFrame:
+    """(query_id, truncated, failed) from what each request reported: tasks(query_id, route, total, returned, failed).
+
+    A cut answer of a group is completed by its fan-out (route ``fanout``, whose own cuts count), so it alone is no cut; any failed
+    request makes the query's data incomplete.
+    """
+    cut = (F.col("route") != "group") & truncated(F.col("total"), F.col("returned"))
+    return tasks.groupBy("query_id").agg(F.bool_or(F.coalesce(cut, F.lit(False))).alias("truncated"), F.bool_or(F.coalesce("failed", F.lit(False))).alias("failed"))
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -15,6 +15,17 @@ def request_key(kind: str, *fields: Column) -> Column:
     return cache_key(F.lit(kind), F.to_json(F.struct(*fields)))
 
 
+def market_key(phrase: Column, labels: Column) -> Column:
+    """The key of a market request: the phrase and the menu's labels in any order, so that another menu asks anew."""
+    return request_key("market", phrase.alias("phrase"), F.array_sort(labels).alias("menu"))
+
+
+def entity_key(query: Column, cell: Column, text: Column, candidates: Column) -> Column:
+    """The key of an entity request: the query, the cell's kind and text, and the candidates that are shown."""
+    shown = F.transform(F.slice(candidates, 1, 5), lambda c: c["id"])
+    return request_key("entity", query.alias("query"), cell.alias("cell"), text.alias("text"), shown.alias("candidates"))
+
+
 def answer(requests: DataFrame, recorded: DataFrame) -> DataFrame:
     """requests(key, ...) with output, and pending where none is recorded. recorded(key, output)."""
     found = recorded.groupBy("key").agg(F.min("output").alias("output"))
@@ -53,8 +64,8 @@ def pick_markets(phrases: DataFrame, labels: DataFrame, recorded: DataFrame, key
 def settle_entities(cells: DataFrame, decisions: DataFrame, reground: DataFrame | None = None) -> DataFrame:
     """Doubtful cells settled by recorded decisions in two passes.
 
-    cells(key, tier, candidates), decisions(key, pass, action (pick, reexpress or clarify), id, phrase, question), reground(phrase, tier, candidates): the
-    phrases of pass 1 grounded again. A pick among the first five settles; a phrase that grounds confidently settles;
+    cells(key, tier, candidates), decisions(key, pass, action (pick, reexpress or clarify), id, phrase, question), reground(phrase, tier, candidates; and
+    key, if a phrase's grounding depends on its cell): the phrases of pass 1 grounded again. A pick among the first five settles; a phrase that grounds confidently settles;
     then a valid pick of pass 2; else the cell is to be clarified. Without any record the first candidate
     is taken, and a cell without candidates clarified, both marked as fallback.
     """
@@ -65,8 +76,9 @@ def settle_entities(cells: DataFrame, decisions: DataFrame, reground: DataFrame
     )
     rows = cells.join(step(1), "key", "left").join(step(2), "key", "left")
     if reground is not None:
-        again = first_of(reground, ["phrase"], ["tier"]).select(F.col("phrase").alias("phrase_1"), F.when(sure, first).alias("again"))
-        rows = rows.join(again, "phrase_1", "left")
+        own = ["key"] if "key" in reground.columns else []
+        again = first_of(reground, [*own, "phrase"], ["tier", "candidates"]).select(*own, F.col("phrase").alias("phrase_1"), F.when(sure, first).alias("again"))
+        rows = rows.join(again, [*own, "phrase_1"], "left")
     else:
         rows = rows.withColumn("again", F.lit(None).cast("bigint"))
     shown = F.transform(F.slice("candidates", 1, 5), lambda c: c["id"])

@@ -9,6 +9,7 @@ from lattiq.functions import offering, text
 from lattiq.operators import assemble, combos, etl, evaluation, grounding, menu, planner, replay
 from lattiq.plans import pipeline
 from lattiq.plans.bindings import EVENTS, FOLD, GROUPS, OUTCOMES, content, events, groups, outcomes, query, read, sql, values
+from lattiq.streaming import stages
 
 # ---- sources and trees ----
 
@@ -447,10 +448,12 @@ def cmp_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.next_fixtures(spark, sf_dir)
 
 
-@query()
-def stm_stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattiq.streaming import stages
+@query(pipeline.ANSWERS_SQL)
+def cmp_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.answers(spark, sf_dir)
 
-    plans = pipeline.sample_plans(spark)
-    seen = [(k, name) for k, (name, _) in enumerate(stages.run(lambda: {"plans": plans, "answer": pipeline.next_fixtures(spark, sf_dir)}))]
+
+@query("SELECT * FROM (VALUES (0, 'resolving'), (1, 'routing'), (2, 'disambiguating'), (3, 'searching'), (4, 'done')) AS t(position, stage)")
+def stm_stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = [(k, name) for k, (name, _) in enumerate(stages.run(lambda: pipeline.answer_samples(spark, sf_dir)))]
     return spark.createDataFrame(seen, "position int, stage string")

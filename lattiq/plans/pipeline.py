@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.functions import timewin
-from lattiq.functions.offering import is_main
-from lattiq.operators import assemble, grounding, menu, planner, replay, scope, selecting, subject
+from lattiq.functions import text, timewin
+from lattiq.functions.offering import bet_phrase, is_main
+from lattiq.operators import assemble, combos, grounding, menu, planner, replay, scope, selecting, subject
 from lattiq.plans import bindings
-from lattiq.sources.plans import read_plans, valid
+from lattiq.sources.plans import read_plans, unreadable
 
 LEG = ["query_id", "leg_idx"]
+#: Legs of a query that ask the same of the same events share a menu.
+GROUP = ["query_id", "leg_group"]
 _IDS = "array<bigint>"
 
 
@@ -49,29 +53,82 @@ def settled_legs(legs: DataFrame, settled: DataFrame, cells: DataFrame, players:
         F.max(F.when(F.col("cell") == "competition", F.col("id"))).alias("competition_id"),
         of("team").alias("team_ids"),
         of("player").alias("player_ids"),
-        F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("cell").isin("team", "player"), F.struct(F.concat_ws(":", "cell", "text").alias("k"), F.col("id").alias("v")))))).alias("__by_text"),
+        F.array_sort(F.collect_set(F.when(F.col("cell").isin("team", "player"), F.struct(F.concat_ws(":", "cell", text.fold(F.col("text"))).alias("k"), F.col("id").alias("v"))))).alias("__by_text"),
         F.array_distinct(F.flatten(F.collect_list("__teams"))).alias("__homes"),
     )
     none = F.array().cast(_IDS)
     joined = legs.join(found, LEG, "left").withColumns({c: F.coalesce(c, none) for c in ("team_ids", "player_ids", "__homes")})
-    named = F.concat_ws(":", F.col("subject_kind"), F.col("subject_name"))
+    named = F.concat_ws(":", F.col("subject_kind"), text.fold(F.col("subject_name")))
     return joined.withColumns(
         {
-            "subject_id": F.try_element_at("__by_text", named),
+            "subject_id": F.try_element_at(F.filter("__by_text", lambda e: e["k"] == named), F.lit(1))["v"],
             "participant_ids": F.array_distinct(F.concat("team_ids", "player_ids", F.when(F.size("player_ids") > 0, F.col("__homes")).otherwise(none))),
         }
     ).drop("__by_text", "__homes")
 
 
 def _stage(df: DataFrame) -> DataFrame:
-    """A stage's rows, written to the checkpoint folder that the executors share, so that plans stay small."""
+    """A stage's rows, written to the checkpoint folder that the executors share, so that plans stay small.
+
+    A folder of its own is made only where none is named and driver and executors are one process, as in tests.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattiq-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattiq-"))
     return df.checkpoint()
 
 
-def resolve(
+def _reworded(ready: DataFrame, cells: DataFrame, decisions: DataFrame, catalog: dict[str, DataFrame], markers: Column) -> DataFrame:
+    """(key, phrase, tier, candidates): the cells that a recorded decision words anew, grounded again in their own legs."""
+    said = planner.first_of(decisions.where((F.col("pass") == 1) & (F.col("action") == "reexpress")), ["key"], ["phrase"]).select("key", "phrase")
+    again = _stage(cells.join(said, "key").select("key", *LEG, "cell", "text", "phrase"))
+    if again.isEmpty():
+        return again.select("key", "phrase").join(cells.select("key", "tier", "candidates").limit(0), "key")
+    swaps = again.groupBy(*LEG).agg(F.collect_set(F.struct("cell", "text", "phrase")).alias("__swaps"))
+    worded = lambda cell, x: F.coalesce(F.try_element_at(F.filter("__swaps", lambda w: (w["cell"] == cell) & (w["text"] == x)), F.lit(1))["phrase"], x)
+    legs = ready.join(swaps, LEG).withColumns(
+        {
+            "region": worded("region", F.col("region")),
+            "competition": worded("competition", F.col("competition")),
+            "teams": F.transform("teams", lambda x: worded("team", x)),
+            "players": F.transform("players", lambda x: worded("player", x)),
+            "subject_player": worded("player", F.col("subject_player")),
+        }
+    )
+    found = grounding.ground_legs(legs.drop("__swaps"), catalog, markers, _stage)
+    return again.join(found.withColumnRenamed("text", "phrase"), [*LEG, "cell", "phrase"]).select("key", "phrase", "tier", "candidates")
+
+
+def _combined(bound: DataFrame, fetched: DataFrame, events: DataFrame, kept: DataFrame, chosen: DataFrame, coupons: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(combinations, events that only they name) of each query: coupons of its legs' competitions, else of the groups of what was fetched.
+
+    coupons: coupons(coupon_id, group_id, event_ids, custom, price, tag), refs(coupon_id, outcome_id, offer_id, ord) and outcomes(outcome_id,
+    offer_id, event_id, criterion_id, market_label, outcome_label). A coupon without events is none.
+    """
+    own = bound.where("competition_id IS NOT NULL").select("query_id", F.col("competition_id").alias("group_id")).distinct()
+    active = fetched.join(own.select("query_id").distinct(), "query_id", "left_anti").join(events.select("event_id", "group_id"), "event_id").where("group_id IS NOT NULL")
+    groups = own.unionByName(active.select("query_id", "group_id").distinct())
+    shown = kept.select("query_id", "event_id").distinct()
+    picks = chosen.groupBy("query_id").agg(*[F.collect_set(c).alias(f"{c}s") for c in ("outcome_id", "offer_id")], F.collect_set("criterion_id").alias("criterion_ids"))
+    none = F.array().cast(_IDS)
+    seen = shown.groupBy("query_id").agg(F.collect_set("event_id").alias("shown_ids"))
+    offered = coupons["coupons"].where(F.size("event_ids") > 0)
+    picked = groups.join(offered.select("coupon_id", "group_id"), "group_id").select("query_id", "coupon_id").distinct().join(picks, "query_id", "left").join(seen, "query_id", "left")
+    picked = _stage(picked.select("query_id", "coupon_id", *[F.coalesce(c, none).alias(c) for c in ("outcome_ids", "offer_ids", "criterion_ids")], F.coalesce("shown_ids", none).alias("event_ids")))
+    scores = combos.score_coupons(coupons["refs"], coupons["outcomes"], picked)
+    facts = offered.select("coupon_id", "custom", "price", "tag", F.col("event_ids").alias("__events")).dropDuplicates(["coupon_id"])
+    on_shown = F.arrays_overlap("__events", "event_ids").alias("on_shown_event")
+    rows = scores.join(picked.select("query_id", "coupon_id", "event_ids"), ["query_id", "coupon_id"]).join(facts, "coupon_id")
+    ranked = _stage(combos.rank_coupons(rows.select(*scores.columns, "custom", "price", "tag", on_shown)))
+    shaped = combos.shape_coupons(ranked, coupons["refs"], coupons["outcomes"], picked)
+    ordered = shaped.select("query_id", "place", "coupon_id", "price", "tag", "legs")
+    return ordered, combos.combination_events(ranked, coupons["refs"], coupons["outcomes"], shown)
+
+
+def resolve_stages(
     spark: SparkSession,
     plans: DataFrame,
     catalog: dict[str, DataFrame],
@@ -82,53 +139,83 @@ def resolve(
     sports: DataFrame,
     now: Column,
     markers: Column,
-) -> dict[str, DataFrame]:
-    """The stages' tables; ``envelopes`` holds the answers.
+    coupons: dict[str, DataFrame] | None = None,
+    fetches: DataFrame | None = None,
+    individual: Column | None = None,
+) -> Iterator[tuple[str, dict[str, DataFrame]]]:
+    """(stage, tables so far), each as soon as its rows are written; after ``done``, ``envelopes`` holds one answer for each query of plans.
 
     plans(query_id, plan as JSON); catalog as in grounding; events(event_id, event_name, home_name, away_name, start, state, level, group_id, teams, members);
-    outcomes as in select_outcomes() with event_id, offer_id, label, criterion_id, tags and ord.
+    outcomes as in select_outcomes() with event_id, offer_id, label, criterion_id, tags and ord; coupons as in _combined();
+    fetches as in planner.fetch_flags(), if the data came from requests that may be cut or fail; individual: whether a sport is one of single
+    players. Recorded decisions are looked up by replay.market_key() and replay.entity_key().
+
+    A plan that can't be read, or holds a leg that no plan may, gets the clarification ``invalid_plan``; one that names nothing
+    ``incomplete``; else one of a sport that isn't known ``unsupported_sport``.
     """
-    legs = read_plans(plans).withColumn("subject_player", F.when(F.col("subject_kind") == "player", F.col("subject_name")))
-    legs = _stage(legs.where(valid(legs)))
-    unknown = planner.unsupported(legs.select("query_id", "sport").distinct(), sports)
-    open_queries = planner.incomplete(legs).where("incomplete").select("query_id")
-    ready = _stage(legs.join(unknown.select("query_id"), "query_id", "left_anti").join(open_queries, "query_id", "left_anti"))
-    cells = _stage(grounding.ground_legs(ready, catalog, markers, _stage).withColumn("key", F.concat_ws("/", "query_id", "leg_idx", "cell", "text")))
-    settled = replay.settle_entities(cells, recorded_entities)
+    tables: dict[str, DataFrame] = {}
+    every = read_plans(plans).withColumn("subject_player", F.when(F.col("subject_kind") == "player", F.col("subject_name")))
+    every = _stage(every)
+    refused = _stage(unreadable(plans, every))
+    legs = every.join(refused, "query_id", "left_anti")
+    open_queries = _stage(planner.incomplete(legs).where("incomplete").select("query_id"))
+    closed = legs.join(open_queries, "query_id", "left_anti")
+    unknown = _stage(planner.unsupported(closed.select("query_id", "sport").distinct(), sports))
+    ready = _stage(closed.join(unknown.select("query_id"), "query_id", "left_anti"))
+    yield "resolving", tables
+    cells = grounding.ground_legs(ready, catalog, markers, _stage)
+    cells = _stage(cells.withColumn("key", replay.entity_key(F.col("query_id"), F.col("cell"), F.col("text"), F.col("candidates"))))
+    tables["cells"] = cells
+    settled = _stage(replay.settle_entities(cells.select("key", "tier", "candidates").dropDuplicates(["key"]), recorded_entities, _reworded(ready, cells, recorded_entities, catalog, markers)))
+    tables["settled"] = settled
     bound = settled_legs(with_windows(ready, now), settled, cells.select("key", *LEG, "cell", "text"), catalog["players"])
-    bound = _stage(bound.withColumn("leg_level", F.coalesce("level", F.lit("fixture"))).drop("level"))
+    bound = bound.withColumn("leg_level", F.coalesce("level", F.lit("fixture"))).drop("level")
+    own_name = F.when(F.col("subject_kind").isin("player", "team"), F.col("subject_name"))
+    own_side = F.when(F.col("subject_kind") == "either_match_team", F.col("subject_side"))
+    bound = bound.withColumns({"own_name": own_name, "own_side": own_side})
+    timing = ["window_start", "window_end", "after_hour", "before_hour", "relative", "pick_order", "pick_count"]
+    bound = _stage(planner.signature(bound, ["own_name", "own_side", "subject_id", "leg_level", "competition_id", "stage", "play_state", *timing], ["team_ids"]))
+    tables["legs"] = bound
+    yield "routing", tables
     members = events.select("event_id", F.explode("members").alias("participant_id")).distinct()
     listed = outcomes.select("offer_id", "event_id").distinct().join(events.select("event_id", "group_id"), "event_id")
-    squads = planner.squads(catalog["rosters"].join(bound.where("leg_level = 'competition'").select(F.explode("team_ids").alias("owner_id")).distinct(), "owner_id", "left_semi"))
-    extra = bound.where("leg_level = 'competition'").select("query_id", F.explode("team_ids").alias("owner_id")).join(squads, "owner_id").groupBy("query_id").agg(F.collect_set("player_id").alias("__squad"))
+    wide = bound.where("leg_level = 'competition'").select("query_id", F.explode("team_ids").alias("owner_id")).distinct()
+    squads = planner.squads(catalog["rosters"].join(wide.select("owner_id").distinct(), "owner_id", "left_semi"))
+    extra = wide.join(squads, "owner_id").groupBy("query_id").agg(F.collect_set("player_id").alias("__squad"))
     inputs = planner.recall_inputs(bound.withColumns({"level": F.col("leg_level"), "concept": F.col("market_concept")})).join(extra, "query_id", "left")
     inputs = inputs.withColumn("participant_ids", F.array_distinct(F.concat("participant_ids", F.coalesce("__squad", F.array().cast(_IDS)))))
     fetched = planner.recall(inputs.withColumn("event_ids", F.array().cast(_IDS)), listed, members)
     by_query = _stage(fetched.select("query_id", "event_id").distinct())
-    pairs = bound.select(*LEG, "leg_level", "competition_id", "play_state", "team_ids", "window_start", "window_end", "after_hour", "before_hour", "relative", "pick_order", "pick_count")
-    kept = scope.scope_events(pairs.join(by_query, "query_id").join(events, "event_id"), LEG).select(*LEG, "event_id")
-    kept = _stage(kept)
-    legs_of = bound.select(
-        *LEG,
-        F.when(F.col("subject_kind").isin("player", "team"), F.col("subject_name")).alias("subject_name"),
-        F.when(F.col("subject_kind") == "either_match_team", F.col("subject_side")).alias("subject_side"),
-        "subject_id",
-    )
-    per_offer = outcomes.groupBy("offer_id", "event_id", "label").agg(F.collect_list(F.struct("participant", "participant_id", F.coalesce("english_label", "outcome_label").alias("label"))).alias("outcomes"))
+    asks = planner.first_of(bound, GROUP, ["leg_idx"]).select(*GROUP, "leg_level", "competition_id", "play_state", "team_ids", "own_name", "own_side", "subject_id", *timing)
+    asks = _stage(asks)
+    pairs = asks.drop("own_name", "own_side", "subject_id").join(by_query, "query_id").join(events, "event_id")
+    kept = _stage(scope.scope_events(pairs, GROUP).select(*GROUP, "event_id"))
+    subjects = asks.select(*GROUP, F.col("own_name").alias("subject_name"), F.col("own_side").alias("subject_side"), "subject_id")
+    named = F.struct("participant", "participant_id", F.coalesce("english_label", "outcome_label").alias("label"))
+    per_offer = outcomes.join(kept.select("event_id").distinct(), "event_id", "left_semi").groupBy("offer_id", "event_id", "label").agg(F.collect_list(named).alias("outcomes"))
     names = events.select("event_id", "event_name", "home_name", "away_name")
-    priced = subject.keep_priced(kept.join(per_offer, "event_id").join(names, "event_id").join(legs_of, LEG)).select(*LEG, "offer_id", "event_id")
-    offered = _stage(priced.join(outcomes.drop("event_id"), "offer_id"))
-    menus = _stage(menu.build_menu(offered, LEG))
-    phrases = bound.where("market_concept <> 'main'").select(*LEG, F.col("market_concept").alias("phrase"))
-    phrases = phrases.withColumn("key", replay.request_key("market", F.col("phrase")))
-    picks = replay.pick_markets(phrases, menus.select(*LEG, "label", "outcome_labels"), recorded_markets, LEG, LEG)
-    mains = offered.where(is_main(F.col("tags")) & F.col("criterion_id").isNotNull()).select(*LEG, "label").distinct().join(bound.where("market_concept = 'main'").select(*LEG), LEG)
-    chosen = picks.where("label IS NOT NULL").select(*LEG, "label", "outcome_label").withColumnRenamed("outcome_label", "outcome_wanted")
-    chosen = _stage(chosen.unionByName(mains.withColumn("outcome_wanted", F.lit(None).cast("string"))))
+    priced = subject.keep_priced(kept.join(per_offer, "event_id").join(names, "event_id").join(subjects, GROUP)).select(*GROUP, "offer_id", "event_id", "label")
+    offered = _stage(priced.join(outcomes, ["offer_id", "event_id", "label"]))
+    menus = _stage(menu.build_menu(offered, GROUP))
+    tables["menus"] = menus
+    yield "disambiguating", tables
+    said_by = bet_phrase(F.col("market_concept"), F.col("subject_kind"), F.lit(False) if individual is None else individual)
+    phrases = bound.where("market_concept <> 'main'").select(*LEG, "leg_group", said_by.alias("phrase"))
+    shown = menus.groupBy(*GROUP).agg(F.collect_set("label").alias("__menu"))
+    key = replay.market_key(F.col("phrase"), F.coalesce("__menu", F.array().cast("array<string>")))
+    phrases = _stage(phrases.join(shown, GROUP, "left").withColumn("key", key).drop("__menu"))
+    picks = _stage(replay.pick_markets(phrases, menus.select(*GROUP, "label", "outcome_labels"), recorded_markets, LEG, GROUP))
+    mains = offered.where(is_main(F.col("tags")) & F.col("criterion_id").isNotNull()).select(*GROUP, "label").distinct()
+    mains = mains.join(bound.where("market_concept = 'main'").select(*LEG, "leg_group"), GROUP)
+    chosen = picks.where("label IS NOT NULL").select(*LEG, "leg_group", "label", F.col("outcome_label").alias("outcome_wanted"))
+    chosen = chosen.withColumn("only_main", F.lit(False))
+    chosen = _stage(chosen.unionByName(mains.select(*LEG, "leg_group", "label", F.lit(None).cast("string").alias("outcome_wanted"), F.lit(True).alias("only_main"))))
+    tables["picks"] = chosen
+    yield "searching", tables
     specs = bound.select(
         *LEG,
         F.coalesce(F.col("line_num").cast("string"), F.col("line_txt")).alias("line_value"),
-        F.when(F.col("subject_kind").isin("player", "team"), F.col("subject_name")).when(F.col("subject_kind") == "either_match_team", F.col("subject_side")).alias("subject"),
+        F.coalesce("own_name", "own_side").alias("subject"),
         "subject_id",
         "odds_min",
         "odds_max",
@@ -136,43 +223,161 @@ def resolve(
         "odds_sort",
         F.col("count").alias("pick_n"),
     )
-    teams = events.select("event_id", "home_name", "away_name", F.element_at("members", 1).alias("__home"), F.try_element_at("members", F.lit(2)).alias("__away"))
-    rows = offered.join(chosen, [*LEG, "label"]).join(specs, LEG).join(teams, "event_id")
+    teams = events.select("event_id", "home_name", "away_name", F.try_element_at("members", F.lit(1)).alias("__home"), F.try_element_at("members", F.lit(2)).alias("__away"))
+    main_offer = is_main(F.col("tags")) & F.col("criterion_id").isNotNull()
+    rows = offered.join(chosen, [*GROUP, "label"]).where(~F.col("only_main") | main_offer).drop("only_main").join(specs, LEG).join(teams, "event_id")
     side = F.when(F.col("subject_id") == F.col("__home"), "home").when(F.col("subject_id") == F.col("__away"), "away")
     found = selecting.select_outcomes(rows.withColumn("subject_on", side).drop("__home", "__away"), [*LEG, "label"], ["ord", "outcome_id"])
     found = _stage(found)
+    tables["selection"] = found
     pool = found.where("in_pool")
     facts = pool.select("query_id", "leg_idx", "outcome_id", "is_selected", "offer_id", "event_id", F.struct("label", "criterion_id", "tags").alias("offer"), F.struct("english_label", "participant", "odds", "line").alias("outcome"))
     placed = facts.join(events.select("event_id", F.struct("event_name", "start", "state").alias("event")), "event_id")
-    related = _stage(picks.select(*LEG, F.posexplode("related").alias("rank", "label")))
-    near = outcomes.join(pool.select(*LEG, "event_id").distinct(), "event_id").join(related.select(*LEG, "label"), [*LEG, "label"])
+    related = _stage(picks.select(*LEG, "leg_group", F.posexplode("related").alias("rank", "label")))
+    near = offered.join(related.select(*LEG, "leg_group", "label"), [*GROUP, "label"]).join(pool.select(*LEG, "event_id").distinct(), [*LEG, "event_id"], "left_semi")
     trimmed = _stage(selecting.trim_field(near.join(specs.select(*LEG, "subject", "subject_id"), LEG), [*LEG, "offer_id"], ["ord", "outcome_id"]))
     listed_once = trimmed.select(*LEG, "label", "offer_id").distinct()
-    suggested = assemble.suggestions(related, listed_once, pool.select("query_id", "offer_id").distinct()).select(*LEG, "rank", "label", "offer_id")
+    suggested = assemble.suggestions(related.drop("leg_group"), listed_once, pool.select("query_id", "offer_id").distinct()).select(*LEG, "rank", "label", "offer_id")
     shaped = F.array_sort(F.collect_list(F.struct("ord", "outcome_id", F.struct("english_label", "participant", "odds", "line").alias("outcome"))))
-    shown = suggested.join(trimmed, [*LEG, "label", "offer_id"]).groupBy("query_id", "rank", "leg_idx", "event_id", "offer_id", "label")
-    additional = shown.agg(shaped.alias("outcomes"))
-    told = bound.select(*LEG, "time_unresolved", (F.col("window_start").isNotNull() | F.col("window_end").isNotNull()).alias("has_window"), "other_sports")
+    additional = suggested.join(trimmed, [*LEG, "label", "offer_id"]).groupBy("query_id", "rank", "leg_idx", "event_id", "offer_id", "label").agg(shaped.alias("outcomes"))
+    told = bound.select(*LEG, "leg_group", "time_unresolved", (F.col("window_start").isNotNull() | F.col("window_end").isNotNull()).alias("has_window"), "other_sports")
     status = found.groupBy(*LEG).agg(F.max("fallback").alias("fallback"), F.bool_or("in_pool").alias("found"))
-    seen = kept.select(*LEG).distinct().withColumn("had_fixture", F.lit(True))
-    state = told.join(status, LEG, "left").join(seen, LEG, "left").join(chosen.select(*LEG).distinct().withColumn("picked", F.lit(True)), LEG, "left")
+    on_events = placed.select(*LEG).distinct().withColumn("placed", F.lit(True))
+    seen = kept.select(*GROUP).distinct().withColumn("had_fixture", F.lit(True))
+    state = told.join(status, LEG, "left").join(on_events, LEG, "left").join(seen, GROUP, "left").join(chosen.select(*LEG).distinct().withColumn("picked", F.lit(True)), LEG, "left")
+    if fetches is not None:
+        state = state.join(planner.fetch_flags(fetches), "query_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     state = state.select(
         *LEG,
         F.when(F.coalesce("picked", F.lit(False)), "exact").otherwise("none").alias("match"),
-        F.coalesce("had_fixture", F.lit(False)).alias("had_fixture"),
+        flag("had_fixture"),
         "fallback",
-        F.coalesce("found", F.lit(False)).alias("found"),
-        F.coalesce("found", F.lit(False)).alias("placed"),
+        flag("found"),
+        flag("placed"),
         "time_unresolved",
         "has_window",
         "other_sports",
-        F.lit(False).alias("truncated"),
-        F.lit(False).alias("failed"),
+        *[flag(c) if fetches is not None else F.lit(False).alias(c) for c in ("truncated", "failed")],
     )
-    said = assemble.notes(state)
-    for rows_of, code in ((unknown, "unsupported_sport"), (open_queries, "incomplete")):
-        said = said.unionByName(rows_of.select("query_id", F.lit("clarification").alias("kind"), F.lit(None).cast("int").alias("leg_idx"), F.lit(code).alias("code")))
-    return {"legs": bound, "cells": cells, "settled": settled, "menus": menus, "picks": chosen, "selection": found, "envelopes": assemble.envelopes(placed, additional, said)}
+    unsettled = cells.join(settled.where("id IS NULL"), "key").select("query_id", F.lit("clarification").alias("kind"), "leg_idx", F.col("question").alias("code")).distinct()
+    # where nothing is known to fetch, the question is all there is to say
+    idle = inputs.where((F.size("participant_ids") == 0) & (F.size("group_ids") == 0)).select("query_id").join(unsettled, "query_id", "left_semi")
+    said = assemble.notes(state.join(idle, "query_id", "left_anti")).unionByName(unsettled)
+    gates = [(refused, F.col("code")), (unknown, F.lit("unsupported_sport")), (open_queries, F.lit("incomplete"))]
+    for rows_of, code in gates:
+        said = said.unionByName(rows_of.select("query_id", F.lit("clarification").alias("kind"), F.lit(None).cast("int").alias("leg_idx"), code.alias("code")))
+    combinations = others = None
+    if coupons is not None:
+        combinations, others = _combined(bound, by_query, events, kept, found.where("is_selected"), coupons)
+        others = others.join(events.select("event_id", "event_name", "start", "state"), "event_id")
+    tables["envelopes"] = assemble.envelopes(placed, additional, said, combinations, plans, others)
+    yield "done", tables
+
+
+def resolve(*inputs, **more) -> dict[str, DataFrame]:
+    """All tables of resolve_stages(), whose arguments it takes."""
+    tables: dict[str, DataFrame] = {}
+    for _, tables in resolve_stages(*inputs, **more):
+        pass
+    return tables
+
+
+#: Queries over the test tables: query_id, gate (what they are stopped by), team, competition, play_state, level, market, line, odds_min.
+SAMPLES = [
+    ("a1", None, "Customer#000000007", None, None, "fixture", "ECONOMY", 20.5, None),
+    ("a2", None, None, "NATION_7", "live", "fixture", "STANDARD", 10.0, 60.0),
+    ("a3", None, None, "NATION_12", None, "competition", "main", None, None),
+    ("a4", None, "customer 000000011", None, "prematch", "fixture", "MEDIUM", None, 5.0),
+    ("a5", None, None, "NATION_20", None, "fixture", "MEDIUM", 33.0, 1000000.0),
+    ("a6", None, None, "NATION_5", None, "fixture", "throw-ins", None, None),
+    ("b1", "unsupported_sport", "Customer#000000007", None, None, "fixture", "ECONOMY", None, None),
+    ("b2", "incomplete", None, None, None, "fixture", "ECONOMY", None, None),
+    ("b3", "invalid_plan", "Customer#000000007", None, None, "fixture", "ECONOMY", None, None),
+    ("b4", "invalid_plan", None, None, None, None, None, None, None),
+    ("b5", "which one is meant?", "Nobody United", None, None, "fixture", "ECONOMY", None, None),
+]
+
+
+def sample_queries(spark: SparkSession) -> DataFrame:
+    """(query_id, plan) of SAMPLES: b3 has a soft subject of one kind, b4 isn't JSON."""
+    rows = []
+    for name, gate, team, competition, state, level, market, line, low in SAMPLES:
+        subject_of = {"kind": "soft", "kinds": ["player"]} if name == "b3" else {"kind": "event"}
+        leg = {"subject": subject_of, "market_concept": market, "level": level, "teams": [team] if team else [], "competition": competition, "play_state": state}
+        leg |= {"line": str(line)} if line is not None else {}
+        leg |= {"odds": {"min": low}} if low is not None else {}
+        plan = json.dumps({"status": "ok", "sport": "golf" if gate == "unsupported_sport" else "football", "otherSports": ["tennis"] if name == "a1" else [], "selectors": [leg]})
+        rows.append((name, "{not json" if name == "b4" else plan))
+    return spark.createDataFrame(rows, "query_id string, plan string")
+
+
+def table_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(catalog, events, outcomes) of the test tables: nations are competitions, customers teams, suppliers players of the customer of their key."""
+    nation, customer, supplier = (bindings.read(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    group = lambda c: (F.col(c) + 1000).cast("long")
+    none = spark.createDataFrame([], "key string, value string")
+    catalog = {
+        "groups": nation.select(group("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") + 100).cast("long").alias("branch")),
+        "branches": bindings.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("long").alias("id"), F.col("r_name").alias("name")),
+        "teams": customer.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.array(group("c_nationkey")).alias("competition_ids"), F.array().cast(_IDS).alias("group_ids"), F.lit(None).cast("string").alias("variant")),
+        "players": supplier.select(
+            (F.col("s_suppkey") + 1_000_000_000).cast("long").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("long").alias("club_id"), F.lit(None).cast("long").alias("country_team_id"), F.array(group("s_nationkey")).alias("competition_ids")
+        ),
+        "rosters": customer.select(group("c_nationkey").alias("owner_id"), F.col("c_custkey").cast("long").alias("player_id")),
+        "region_aliases": none,
+        "competition_aliases": none,
+    }
+    known = bindings.events(spark, sf_dir).withColumns({"members": F.array("home_id", "away_id").cast(_IDS), "teams": F.col("teams").cast(_IDS)})
+    return catalog, known, bindings.outcomes(spark, sf_dir).withColumn("ord", F.col("outcome_id"))
+
+
+def answer_samples(spark: SparkSession, sf_dir: str) -> Iterator[tuple[str, dict[str, DataFrame]]]:
+    """resolve_stages() of SAMPLES over the test tables, without recorded decisions."""
+    catalog, known, offered = table_inputs(spark, sf_dir)
+    markets = spark.createDataFrame([], "key string, label string, match string, outcome_label string, related array<string>")
+    entities = spark.createDataFrame([], "key string, pass int, action string, id long, phrase string, question string")
+    sports, now = spark.createDataFrame([("football",)], "sport string"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    return resolve_stages(spark, sample_queries(spark), catalog, known, offered, markets, entities, sports, now, F.create_map(F.lit("u21"), F.lit("u21")))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resolve() answers to SAMPLES: one row for each, with the sizes of its results and the selected outcomes."""
+    for _, tables in answer_samples(spark, sf_dir):
+        pass
+    offers = F.flatten(F.transform("results", lambda r: r["highlighted"]))
+    held = F.flatten(F.transform(offers, lambda h: h["outcomes"]))
+    taken = F.transform(F.filter(held, lambda o: o["is_selected"]), lambda o: o["outcome_id"])
+    size = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
+    return tables["envelopes"].select(
+        "query_id", "clarification", F.array_join("notes", ",").alias("notes"), size("events").alias("events"), size(offers).alias("offers"), size(held).alias("outcomes"), size(taken).alias("selected"), F.array_min(taken).alias("first_selected")
+    )
+
+
+def _answers_sql() -> str:
+    asked = bindings.values(SAMPLES, "q(query_id, gate, team, comp, play_state, lvl, want, line_num, odds_min)", ["VARCHAR"] * 7 + ["DOUBLE", "DOUBLE"])
+    steps = [
+        """lg AS (SELECT q.*, c_custkey AS team_id, n_nationkey + 1000 AS comp_id FROM q LEFT JOIN customer ON replace(lower(c_name), '#', ' ') = replace(lower(team), '#', ' ') LEFT JOIN nation ON n_name = comp WHERE gate IS NULL)""",
+        """ev AS (SELECT lg.*, e.event_id, e.level FROM lg JOIN v_event e ON CASE WHEN team IS NOT NULL THEN team_id IN (home_id, away_id) ELSE e.group_id = comp_id END
+ WHERE (e.level IS NULL OR e.level = lvl) AND (comp_id IS NULL OR e.group_id IS NULL OR e.group_id = comp_id)
+ AND CASE play_state WHEN 'live' THEN state IS DISTINCT FROM 'NOT_STARTED' WHEN 'prematch' THEN state IS NOT DISTINCT FROM 'NOT_STARTED' ELSE true END AND (lvl <> 'fixture' OR team_id IS NULL OR len(teams) = 0 OR list_contains(teams, team_id)))""",
+        "ofr AS (SELECT query_id, want, line_num, odds_min, o.* FROM ev JOIN v_outcome o USING (event_id))",
+        "pk AS (SELECT DISTINCT query_id, label FROM ofr WHERE criterion_id IS NOT NULL AND CASE WHEN want = 'main' THEN list_contains(tags, 'MAIN') ELSE label = want END)",
+        """rw AS (SELECT *, odds IS NULL OR odds_min IS NULL OR odds / 1000.0 >= odds_min AS pool, CASE WHEN sided >= 2 AND smin = smax AND kind = 'OT_TWO' THEN -line / 1000.0 ELSE line / 1000.0 END AS eff FROM (
+ SELECT ofr.*, count(CASE WHEN kind = 'OT_TWO' THEN line END) OVER w AS sided, min(CASE WHEN kind = 'OT_TWO' THEN line END) OVER w AS smin, max(CASE WHEN kind = 'OT_TWO' THEN line END) OVER w AS smax FROM ofr JOIN pk USING (query_id, label)
+ WHERE want <> 'main' OR (list_contains(tags, 'MAIN') AND criterion_id IS NOT NULL) WINDOW w AS (PARTITION BY query_id, label, offer_id)))""",
+        """sl AS (SELECT *, (line_num IS NULL OR any_line) AND pool AND n = 1 AS taken, pool AND (line_num IS NULL OR any_line) AS shown FROM (SELECT *, bool_or(pool AND eff IS NOT NULL) OVER (PARTITION BY query_id, label) AS any_line,
+ row_number() OVER (PARTITION BY query_id, label, pool ORDER BY CASE WHEN line_num IS NULL THEN 0 WHEN eff IS NULL THEN 2 WHEN eff = line_num THEN 0 ELSE 1 END, abs(eff - line_num) NULLS LAST, outcome_id) AS n FROM rw))""",
+        """ag AS (SELECT query_id, count(DISTINCT event_id) FILTER (WHERE shown) AS events, count(DISTINCT offer_id) FILTER (WHERE shown) AS offers, count(*) FILTER (WHERE shown) AS outcomes, count(*) FILTER (WHERE taken) AS selected, min(outcome_id) FILTER (WHERE taken) AS first_selected,
+ CASE WHEN NOT bool_or(pool) THEN 'odds_absent' WHEN any_value(line_num) IS NOT NULL AND NOT bool_or(any_line) THEN 'line_absent' END AS missing FROM sl GROUP BY 1)""",
+    ]
+    body = """SELECT q.query_id, CASE WHEN q.gate IS NOT NULL THEN q.gate WHEN q.query_id NOT IN (SELECT query_id FROM ev) THEN 'no_fixture' WHEN q.query_id NOT IN (SELECT query_id FROM pk) THEN 'no_market' END AS clarification,
+ CASE WHEN q.gate IS NOT NULL THEN '' ELSE array_to_string(list_sort(list_filter([missing, CASE WHEN q.query_id = 'a1' THEN 'other_sports' END], lambda x: x IS NOT NULL)), ',') END AS notes,
+ coalesce(events, 0) AS events, coalesce(offers, 0) AS offers, coalesce(outcomes, 0) AS outcomes, coalesce(selected, 0) AS selected, first_selected FROM q LEFT JOIN ag USING (query_id)"""
+    return bindings.sql(body, bindings.EVENTS, bindings.OUTCOMES, asked, *steps)
+
+
+ANSWERS_SQL = _answers_sql()
 
 
 #: (query_id, leg_idx, label, line, odds_min) for the legs of bindings.LEGS.

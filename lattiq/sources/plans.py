@@ -89,6 +89,22 @@ def read_plans(rows: DataFrame, json: str = "plan") -> DataFrame:
 
 
 def valid(legs: DataFrame) -> Column:
-    """Whether a repaired leg is one that a plan may hold: odds in order, and at least two kinds of a soft subject."""
+    """Whether a repaired leg is one that a plan may hold: odds in order, and at least two kinds of a soft subject. A leg without a subject is one."""
     odds = F.coalesce(F.col("odds_min") <= F.col("odds_max"), F.lit(True))
-    return odds & ((F.col("subject_kind") != "soft") | (F.size("subject_kinds") >= 2))
+    return odds & (~F.col("subject_kind").eqNullSafe(F.lit("soft")) | (F.size("subject_kinds") >= 2))
+
+
+def unreadable(rows: DataFrame, legs: DataFrame, json: str = "plan") -> DataFrame:
+    """(query_id, code) of the queries that give nothing to answer.
+
+    ``invalid_plan``: no plan, text that isn't one, no sport, or a leg that no plan may hold (the whole plan is refused); ``incomplete``: a plan
+    without legs. legs are read_plans() of the rows.
+    """
+    unwrapped = F.coalesce(F.from_json(F.concat(F.lit('{"x":'), F.col(json), F.lit("}")), "x string")["x"], F.col(json))
+    sport = F.from_json(unwrapped, PLAN)["sport"]
+    bad = legs.where(~valid(legs)).select("query_id").distinct().withColumn("__bad", F.lit(True))
+    some = legs.select("query_id").distinct().withColumn("__legs", F.lit(True))
+    every = rows.groupBy("query_id").agg(F.bool_or(F.coalesce(sport != "", F.lit(False))).alias("__read"))
+    joined = every.join(bad, "query_id", "left").join(some, "query_id", "left")
+    code = F.when(~F.col("__read") | F.col("__bad").isNotNull(), "invalid_plan").when(F.col("__legs").isNull(), "incomplete")
+    return joined.select("query_id", code.alias("code")).where("code IS NOT NULL")

@@ -13,18 +13,18 @@ from lattiq.operators import scope
 STAGES = ["resolving", "routing", "disambiguating", "searching", "done"]
 
 
-def run(job: Callable[[], dict[str, DataFrame]]) -> Iterator[tuple[str, object]]:
-    """(stage, payload) as a run goes on; ``done`` carries the tables, ``error`` the message of what was raised."""
-    yield STAGES[0], None
+def run(job: Callable[[], Iterator[tuple[str, dict[str, DataFrame]]] | dict[str, DataFrame]]) -> Iterator[tuple[str, object]]:
+    """(stage, payload) of a run such as pipeline.resolve_stages(), each as its rows are written.
+
+    ``done`` carries the tables, ``error`` (the last one) the message of what was raised; the others carry nothing. A job
+    that gives its tables at once has passed all stages when they are told.
+    """
     try:
-        yield STAGES[1], None
-        tables = job()
-        yield STAGES[2], None
-        yield STAGES[3], None
+        steps = job()
+        for stage, tables in [(s, steps) for s in STAGES] if isinstance(steps, dict) else steps:
+            yield stage, tables if stage == STAGES[-1] else None
     except Exception as e:  # the consumer gets the failure as the last stage
         yield "error", str(e)
-        return
-    yield STAGES[4], tables
 
 
 def watch_events(spark: SparkSession, path: str, schema: str, play_state: str) -> DataFrame:

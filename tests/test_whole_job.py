@@ -79,9 +79,29 @@ def test_resolve_suggests_related_markets(spark):
         rows += [(9010 + at, 901, 5 + at, 2, [], label, k, 90100 + at * 10 + k, None, f"{label} {k}", None, None, None, 2000 + k, None, None, None) for k in (1, 2)]
     plan = '{"status":"ok","sport":"football","selectors":[{"subject":{"kind":"event"},"market_concept":"total goals","line":"2.5","competition":"Cup","teams":["Reds"],"level":"fixture"}]}'
     phrase = spark.createDataFrame([("total goals",)], "phrase string")
-    markets = phrase.select(replay.request_key("market", F.col("phrase")).alias("key"), F.lit("Total Goals").alias("label"), F.lit("exact").alias("match"), F.lit(None).cast("string").alias("outcome_label"), F.array(F.lit("Cards"), F.lit("Corners")).alias("related"))
+    menu = F.array(*map(F.lit, ("Total Goals", "Throws", "Corners", "Cards")))
+    markets = phrase.select(replay.market_key(F.col("phrase"), menu).alias("key"), F.lit("Total Goals").alias("label"), F.lit("exact").alias("match"), F.lit(None).cast("string").alias("outcome_label"), F.array(F.lit("Cards"), F.lit("Corners")).alias("related"))
     entities = spark.createDataFrame([], "key string, pass int, action string, id long, phrase string, question string")
-    asked = spark.createDataFrame([("q1", plan)], "query_id string, plan string")
-    tables = pipeline.resolve(spark, asked, catalog(spark), events, spark.createDataFrame(rows, names), markets, entities, spark.createDataFrame([("football",)], "sport string"), F.lit(NOW).cast("timestamp_ntz"), F.create_map(F.lit("u21"), F.lit("u21")))
-    answer = tables["envelopes"].first()
+    entities = entities.unionByName(spark.createDataFrame([("Kup", "Cup")], "said string, phrase string").select(
+        replay.entity_key(F.lit("q2"), F.lit("competition"), F.col("said"), F.array().cast("array<struct<id:bigint,score:double>>")).alias("key"),
+        F.lit(1).alias("pass"), F.lit("reexpress").alias("action"), F.lit(None).cast("long").alias("id"), "phrase", F.lit(None).cast("string").alias("question")))
+    other = plan.replace("total goals", "corners").replace('"Cup"', '"Kup"')
+    broken = plan.replace('"kind":"event"', '"kind":"soft","kinds":["x"]')
+    asked = spark.createDataFrame([("q1", plan), ("q2", other), ("q3", broken), ("q4", None), ("q5", '{"sport":"football","selectors":[]}')], "query_id string, plan string")
+    coupons = {
+        "coupons": spark.createDataFrame([(1, 10, [901, 950], False, 4000, None), (2, 10, [], True, 2000, "CUSTOM"), (3, 77, [901], True, 2000, "CUSTOM")], "coupon_id long, group_id long, event_ids array<long>, custom boolean, price long, tag string"),
+        "refs": spark.createDataFrame([(1, 90101, None, 0), (1, 95001, None, 1), (2, 90101, None, 0), (3, 90101, None, 0)], "coupon_id long, outcome_id long, offer_id long, ord int"),
+        "outcomes": spark.createDataFrame([(90101, 9010, 901, 5, "Total Goals", "Over"), (95001, 9500, 950, 5, "Total Goals", "Under")], "outcome_id long, offer_id long, event_id long, criterion_id long, market_label string, outcome_label string"),
+    }
+    events = events.unionByName(events.withColumns({"event_id": F.lit(950).cast("long"), "group_id": F.lit(99).cast("long"), "teams": F.array().cast("array<bigint>"), "members": F.array().cast("array<bigint>")}))
+    fetches = spark.createDataFrame([("q1", "group", 5000, 2000, False), ("q1", "participant", None, 2000, False), ("q2", "group", 5000, 2000, False), ("q2", "fanout", 9, 9, True)], "query_id string, route string, total long, returned long, failed boolean")
+    tables = pipeline.resolve(spark, asked, catalog(spark), events, spark.createDataFrame(rows, names), markets, entities, spark.createDataFrame([("football",)], "sport string"), F.lit(NOW).cast("timestamp_ntz"), F.create_map(F.lit("u21"), F.lit("u21")), coupons=coupons, fetches=fetches)
+    found = {r.query_id: r for r in tables["envelopes"].collect()}
+    assert {q: found[q].clarification for q in found} == {"q1": None, "q2": None, "q3": "invalid_plan", "q4": "invalid_plan", "q5": "incomplete"}
+    assert found["q1"].notes == ["truncated"] and found["q2"].notes == ["line_absent", "partly_failed"]
+    assert [(c.coupon_id, c.tag, [(x.outcome_label, x.matched) for x in c.legs]) for c in found["q1"].combinations] == [(1, "AUTO", [("Over", True), ("Under", False)])]
+    assert [e.event_id for e in found["q1"].combination_events] == [950]
+    settled = {r.key: r.settled_by for r in tables["settled"].where("settled_by = 'recorded'").collect()}
+    assert len(settled) == 1 and tables["legs"].where("query_id = 'q2'").first().competition_id == 10
+    answer = found["q1"]
     assert [(a.rank, a.label, a.offer_id, [o.outcome_id for o in a.outcomes]) for a in answer.additional] == [(0, "Cards", 9012, [90121, 90122]), (1, "Corners", 9011, [90111, 90112])]
