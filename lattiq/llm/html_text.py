@@ -4,16 +4,19 @@ A page is read as tags and words. A word scores positive and a tag negative; a l
 contiguous run with the highest sum, and its blocks are the text. The weights come from pages whose
 markup names their article (one closed <article> or <main>): a structured perceptron lowers the
 weight of each tag and word that the scan took wrongly, and raises that of each it missed. A word's
-weight depends on its block's tag and stays above zero, a tag's stays below. The labelling tags
-themselves score nothing, as do tags within elements that never hold content.
+weight depends on its block's tag and stays above zero, a tag's stays below; a tag that no mistake has
+taught has the mean weight of its class (block or inline). The labelling tags score nothing. On a
+page that marks its article, the mark counts: tags inside cost nothing and words outside count against a run.
 
-Elements that never hold article text (scripts, menus, footers, forms and the like by tag, adverts,
-notices, comments and the like by class, id or role) count as one tag and give no words, wherever they stand.
+Elements that never hold article text (scripts, menus, footers, forms and the like by tag; containers whose whole class, id or role
+names an advert, notice, comments and the like, or outside the article a usual compound of these; hidden ones) give no
+words. They are never paragraphs, headings or inline text by such a name, nor what holds the marked article.
 
 Defined results: null or empty html, and a page without words, give the empty text; character references
 are decoded once, broken ones stay; a quote in a tag counts only after an equals sign; a tag that is never closed ends with the page; a removed element
-without an end tag counts as an ordinary tag; <br> is white space; equal sums take the earliest and then
-the longest run; whole pages are read; repeated rows each get their row; other columns are ignored.
+without an end tag counts as an ordinary tag; <br> is white space; a removed inline element (a button, a script) doesn't end its block; equal sums
+take the earliest and then the longest run; whole pages are read; repeated rows each get their row; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,22 +31,31 @@ from pyspark.sql import types as T
 
 from lattiq.llm._common import map_columns, spread, table
 
-#: Labelled pages that the weights are fitted on at most, chosen by a hash of their url.
-SAMPLE_PAGES = 400
+#: Labelled pages that the weights are fitted on at most, chosen by a hash of the page, and characters of each: longer ones are no samples.
+SAMPLE_PAGES, SAMPLE_CHARS = 400, 200_000
 #: Passes of the perceptron over them.
 ROUNDS = 5
 
-# Elements without article text; marks of such elements in class, id or role; raw text; block elements.
+# Elements without article text, those of them that stand in running text; elements that names can remove.
 REMOVED_TAGS = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea menu dialog iframe object svg canvas".split()
 )
-REMOVED_MARKS = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|footer|masthead|sidebar|aside|"
-    r"cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|"
-    r"disqus|replies|login|search|contentinfo|complementary|navigation)(?:$|[\s_-])"
+INLINE_REMOVED = frozenset("script style noscript template button select textarea iframe object svg canvas".split())
+CONTAINERS = frozenset("div section ul ol dl table center details fieldset figure custom".split())
+# Whole names (class, id, role) of elements without article text, and compounds of them.
+REMOVED_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header footer
+    masthead sidebar aside cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related recommended comment comments disqus replies login
+    search contentinfo complementary""".split()
+)
+REMOVED_COMPOUNDS = re.compile(
+    r"(?:site|page|top|main|global|bottom|left|right|mobile)[_-](?:header|footer|nav|navigation|menu|sidebar|banner|ads?)|"
+    r"(?:ads?|advert|cookies?|consent|sidebar|nav|menu|footer|comments?|share|social|newsletter|subscribe|breadcrumbs?|promo|sponsored)[_-]"
+    r"(?:slot|box|container|wrapper|wrap|banner|notice|bar|list|links|buttons|icons|form|signup|section|area|block|widget|unit|thread|popup|left|right|inner)|"
+    r"(?:user|reader)[_-]comments|related[_-](?:posts|articles|stories|links|news)"
 )
 RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "title", "iframe")
-BLOCK_TAGS = frozenset(
+BLOCK_TAGS = REMOVED_TAGS - INLINE_REMOVED | frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html "
     "legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -53,8 +65,8 @@ LABEL_TAGS = frozenset(["article", "main"])
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-_MARKED = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|=\s*(?:\"[^\"]*\"|'[^']*')")
+_NOT_SHOWN = re.compile(r"(?i)display\s*:\s*none")
 _RAW_ENDS = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])") for tag in RAW_TAGS}
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -63,13 +75,28 @@ RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_c
 Event = tuple[str, str, str]
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-cased name; of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        if m[1]:
+            found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
+    return found
+
+
+def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element gives no words; ``inside``: within an <article>."""
     if tag in REMOVED_TAGS:
         return True
     if not attributes or tag in ("html", "body") or tag in LABEL_TAGS:
         return False
-    values = " ".join(next(x for x in m.groups() if x is not None) for m in _MARKED.finditer(attributes))
-    return bool(REMOVED_MARKS.search(values) or _HIDDEN.search(attributes))
+    own = attributes_of(attributes)
+    if "hidden" in own or _NOT_SHOWN.search(own.get("style", "")):
+        return True
+    if tag not in CONTAINERS:
+        return False
+    names = " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split()
+    return any(n in REMOVED_NAMES or (not inside and REMOVED_COMPOUNDS.fullmatch(n)) for n in names)
 
 
 def events(page: str) -> list[Event]:
@@ -104,13 +131,17 @@ def _without_removed(found: list[Event]) -> list[Event]:
             opened.setdefault(tag, []).append(k)
         elif kind == "close" and opened.get(tag):
             ends[opened[tag].pop()] = k
+    label = article_run(found)
+    articles = 0
     out: list[Event] = []
     k = 0
     while k < len(found):
         kind, tag, payload = found[k]
-        if kind == "open" and _unwanted(tag, payload):
+        if tag == "article":
+            articles += 1 if kind == "open" else -1
+        if kind == "open" and _unwanted(tag, payload, articles > 0):
             end = ends.get(k, len(found) - 1 if tag in RAW_TAGS else None)
-            if end is not None:
+            if end is not None and not (label and k <= label[0] and label[1] - 1 <= end):
                 out.append(("removed", tag, ""))
                 k = end + 1
                 continue
@@ -119,12 +150,16 @@ def _without_removed(found: list[Event]) -> list[Event]:
     return out
 
 
-def features(found: list[Event]) -> list[tuple[str, int]]:
-    """(feature, count) of each event: words by their block's tag, or one tag."""
+def features(found: list[Event], mark: tuple[int, int] | None = None) -> list[tuple[str, int]]:
+    """(feature, count) of each event: words by their block's tag, or one tag. ``mark`` is the run of a marked article."""
     block, out = "", []
-    for kind, tag, payload in found:
+    for k, (kind, tag, payload) in enumerate(found):
+        inside = mark is not None and mark[0] <= k < mark[1]
         if kind == "text":
-            out.append((f"word {block}", len(payload.split())))
+            out.append((f"word {block}" if mark is None or inside else "outside", len(payload.split())))
+            continue
+        if inside:
+            out.append((f"{kind} {tag}", 0))
             continue
         if kind == "open" and tag in BLOCK_TAGS:
             block = tag
@@ -137,13 +172,25 @@ def features(found: list[Event]) -> list[tuple[str, int]]:
 class Weights:
     """Scores of words (above 0) and tags (below 0)."""
 
+    #: The least weight; the first weight of a tag before anything is learned (half of it for inline ones).
     LEAST = 0.01
+    FIRST = {"open": -0.5, "close": -0.5}
 
     def __init__(self) -> None:
         self.of: dict[str, float] = {}
 
     def get(self, feature: str) -> float:
-        return self.of.get(feature, 1.0 if feature.startswith("word") else -1.0)
+        known = self.of.get(feature)
+        if known is not None:
+            return known
+        kind, _, tag = feature.partition(" ")
+        if kind == "word":
+            return 1.0
+        block = tag in BLOCK_TAGS
+        seen = [w for f, w in self.of.items() if f.startswith(f"{kind} ") and (f.partition(" ")[2] in BLOCK_TAGS) == block]
+        if seen:
+            return sum(seen) / len(seen)
+        return self.FIRST.get(kind, -1.0) * (1.0 if block else 0.5)
 
     def move(self, feature: str, step: float) -> None:
         now = self.get(feature) + step
@@ -152,10 +199,11 @@ class Weights:
     def best_run(self, found: list[tuple[str, int]]) -> tuple[int, int]:
         """The run [start, end) with the highest sum; (0, 0) if none is above 0."""
         best, run, start, region = 0.0, 0.0, 0, (0, 0)
+        weight = {feature: self.get(feature) for feature, _ in found}
         for k, (feature, n) in enumerate(found):
             if run < 0:
                 run, start = 0.0, k
-            run += n * self.get(feature)
+            run += n * weight[feature]
             if run > best or (run == best and region[0] == start and region[1]):
                 best, region = run, (start, k + 1)
         return region
@@ -206,11 +254,11 @@ def blocks(found: list[Event]) -> list[str]:
     out, parts = [], []
     for kind, tag, payload in [*found, ("close", "p", "")]:
         if kind == "text":
-            parts.append(payload)
+            parts.append(html.unescape(payload))
         elif tag == "br":
             parts.append(" ")
-        elif kind == "removed" or tag in BLOCK_TAGS:
-            text = " ".join(html.unescape("".join(parts)).split())
+        elif tag not in INLINE_REMOVED if kind == "removed" else tag in BLOCK_TAGS:
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(text)
             parts = []
@@ -222,14 +270,17 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     found = events(page)
-    start, end = weights.best_run(features(found))
+    start, end = weights.best_run(features(found, article_run(found)))
     return "\n\n".join(blocks(found[start:end]))
 
 
 def fit_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
     """Weights from a bounded sample of pages(url, html) with a marked article."""
-    marked = pages.where("html IS NOT NULL").where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("url", "html")
-    rows = marked.orderBy(F.xxhash64("url"), "url", F.xxhash64("html")).limit(sample_pages)
+    marked = pages.where(F.length("html") <= SAMPLE_CHARS).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    marked = marked.select("html", F.xxhash64("url", "html").alias("hashed"))
+    # a share by hash first, so that no task gathers each partition's first pages
+    share = min(1.0, 4 * sample_pages / max(1, marked.count()))
+    rows = marked.where(F.pmod("hashed", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("hashed", "html").limit(sample_pages)
     return Weights().fit([r.html for r in rows.toLocalIterator()])
 
 

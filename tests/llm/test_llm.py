@@ -166,6 +166,41 @@ def test_html():
     assert html_text.main_text("<p title=it's>one's own</p><p data-x='a>b' y=\"c>d\">two</p>", weights) == "one's own\n\ntwo"
 
 
+@pytest.mark.parametrize(
+    ("body", "wanted"),
+    [
+        ('<p title="a hidden gem">One two</p><p>three</p>', ["One two", "three"]),
+        ('<div class="post-header"><h1>Head line</h1></div><section class="related-work"><p>Work</p></section><p id="share">Shares fell</p>', ["Head line", "Work", "Shares fell"]),
+        ("<p>Long text of several words here</p><ul><li>a</li><li>b</li><li>c</li><li>d</li><li>e</li></ul><p>End.</p>", ["Long text of several words here", *"abcde", "End."]),
+        ('<p>We said <b class="alert">Stop</b> now</p>', ["We said Stop now"]),
+        ("<p>Press <button>Save</button> to go</p>", ["Press to go"]),
+        ('<p>x &am<i>p;</i> y&nbsp;z</p><div class="Ad big">buy</div><div hidden><p>h</p></div><p style="display: none">n</p><p data-x="display:none" class="comments">c</p>', ["x &amp; y z", "c"]),
+        ('<p>a</p><aside class="x">b</aside><ul role="navigation"><li>m</li></ul><section id="comments"><p>Nice</p></section><p>c</p>', ["a", "c"]),
+    ],
+)
+def test_html_contract(body, wanted):
+    frame = '<html><body><form action="/"><div class="cookie-banner">We use cookies and other long things to say here</div><div class="site-header">Welcome to all of our dear readers of it</div>{}<div>Some other words here</div></form></body></html>'
+    weights = html_text.Weights().fit([frame.format(f"<article>{body}</article>")])
+    assert html_text.main_text(frame.format(f"<article>{body}</article>"), weights) == "\n\n".join(wanted)
+
+
+def test_html_best_run_against_all_runs():
+    r = random.Random(11)
+    weights = html_text.Weights()
+    for _ in range(60):
+        found = [(r.choice(["word p", "word li", "open p", "close p", "open b", "outside"]), r.randrange(4)) for _ in range(r.randrange(1, 14))]
+        sums = {(a, b): sum(n * weights.get(f) for f, n in found[a:b]) for a in range(len(found)) for b in range(a + 1, len(found) + 1)}
+        a, b = weights.best_run(found)
+        assert (sums[(a, b)] if b else 0.0) == pytest.approx(max(0.0, *sums.values()))
+
+
+def test_html_long_and_empty(spark):
+    page = "<article>" + "".join(f"<p>{prose(k, 40)} <i>x</i></p>" for k in range(4000)) + "</article>"
+    assert len(html_text.main_text(page, html_text.Weights()).split("\n\n")) == 4000
+    frame = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_text(frame, ["page_id"], html_text.fit_weights(frame)).count() == 0
+
+
 def test_html_weights_from_labelled_pages():
     pages = [f"<body><ul>{''.join(f'<li><a>m{k}</a></li>' for k in range(6))}</ul><div><article><h1>t {prose(n, 5)}</h1>{''.join(f'<p>{prose(n * 10 + k, 1 + k * 3)}</p>' for k in range(5))}</article></div><ul><li>x</li><li>y</li></ul></body>" for n in range(30)]
     weights = html_text.Weights().fit(pages[:20])
