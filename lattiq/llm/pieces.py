@@ -12,12 +12,15 @@ loses: the best path through any edge off the best one. The N best texts differ
 in at most N - 1 segments, all among the N - 1 that lose least. Only for these does the A-star
 search list the N best, and a best-first search over their choices gives the texts.
 
+The vocabulary's scores are merge ranks, whose sums would favour short pieces; so a piece costs ``PIECE_COST`` besides its rank:
+fewer pieces come first, then the lower sum of ranks.
+
 A character that no piece covers alone costs 10 less than the lowest score and is written as its bytes.
 
 Defined results: null is encoded as the empty text, which has one segmentation without pieces; U+2581 is
 the vocabulary's space and comes back as a space; any other text decodes to itself; equal scores
 come in a fixed order; fewer than N segmentations are all returned; whole texts are encoded;
-repeated rows each get their row; other columns are ignored.
+repeated rows each get their row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from lattiq.llm._common import map_columns, spread, table
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of each text.
 N_BEST = 3
+#: What a piece costs besides its rank, which is below 32,000 for pieces that merges make.
+PIECE_COST = 10_000_000
 SPACE = "▁"
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BASE, _MASK = 0x100000001B3, 2**64 - 1
@@ -66,7 +71,7 @@ class Vocabulary:
     def __init__(self, pieces: list[tuple[str, float, str]]):
         """(piece, score, kind) by id; kind is normal, byte or other."""
         self.ids = {p: k for k, (p, _, kind) in enumerate(pieces) if kind == "normal"}
-        self.scores = [round(s) for _, s, _ in pieces]
+        self.scores = [round(s) - PIECE_COST for _, s, _ in pieces]
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.bytes = [
             bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b""
