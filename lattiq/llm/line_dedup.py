@@ -6,6 +6,10 @@ few sketches. Estimates clearly above or below the threshold decide; the lines n
 count of distinct sites. A line on ``min_sites`` sites or more is boilerplate: it stays where it
 is first (smallest doc_id, then position) and goes from everywhere else, so no content is lost.
 
+Lines meet boilerplate by a broadcast of fixed-width rows where those are few by count; beyond that a bitmap of their hashes (64 MB at
+most) leaves few lines, which are joined by hash and salt. Only the documents that lose a line are moved, by an exact
+join after such a bitmap of theirs.
+
 Lines are compared without spaces, tabs and carriage returns at their ends, by two 64-bit hashes.
 
 Defined results: null text stays null and has no lines; blank lines are never boilerplate; a document that
@@ -19,16 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm._common import cut, table
+from lattiq.llm._common import cut, split_by_keys, table
 
-#: Distinct sites from which a line is boilerplate.
-MIN_SITES = 10
+#: Distinct sites from which a line is boilerplate: what a passage in some 15 documents reaches when one of 20 sites holds a third of all.
+MIN_SITES = 8
 #: Estimates this close to the threshold (as a share of it, and in sites) are counted exactly.
 NEAR_SHARE, NEAR_SITES = 0.1, 2
 #: log2 of a sketch's buckets: a standard error of 1.6 %.
 SKETCH_LG_K = 12
-#: Rows up to which a counted side of a join is broadcast (some 50 bytes each).
-BROADCAST_ROWS = 200_000
+#: Counted rows of fixed width (two hashes and a place, some 100 bytes) up to which lines' keys are broadcast; tasks that share a line beyond.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def _lines(text: Column) -> Column:
@@ -51,10 +55,17 @@ def _exploded(documents: DataFrame) -> DataFrame:
     return lines.where(F.length(F.trim("line", F.lit(" \t\r"))) > 0).select("id", "mark", "site", "pos", *_key(F.col("line")))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, and marked for a broadcast if its counted rows are few."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _matched(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """lines(id, mark, pos, h1, h2, ...) of the keys(h1, h2, ...), with the keys' columns; keys are written already.
+
+    A line that a third of all rows holds is dealt over ``SALTS`` tasks where keys are too many to be broadcast.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(keys), ["h1", "h2"])
+    maybe, _ = split_by_keys(lines, F.xxhash64("h1", "h2"), keys, F.xxhash64("h1", "h2"))
+    salted = maybe.withColumn("__salt", F.pmod(F.xxhash64("id", "mark", "pos"), F.lit(SALTS)))
+    spread = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, ["h1", "h2", "__salt"]).drop("__salt")
 
 
 def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -70,7 +81,7 @@ def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataF
     spread = cut(spread.where(F.col("estimate") >= min_sites - margin))
     near = spread.where(F.col("estimate") <= min_sites + margin)
     exact = (
-        lines.join(_bounded(near.select("h1", "h2")), ["h1", "h2"], "left_semi")
+        _matched(lines, cut(near.select("h1", "h2")))
         .where("site IS NOT NULL")
         .select("h1", "h2", "site")
         .distinct()
@@ -84,26 +95,31 @@ def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES) -> DataF
 
 def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """documents(doc_id, text, source, ...) with its columns and (last) a struct ``__lines``: text, n_lines, n_removed."""
-    boilerplate = _bounded(boilerplate_lines(documents, min_sites))
+    boilerplate = cut(boilerplate_lines(documents, min_sites))
     removed = (
-        _exploded(documents)
-        .join(boilerplate, ["h1", "h2"])
+        _matched(_exploded(documents), boilerplate)
         .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
         .groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
         .agg(F.collect_set("pos").alias("__removed"))
     )
-    removed = _bounded(removed)
-    joined = documents.join(
-        removed, documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__mark")), "left"
-    )
-    lines = _lines(documents["text"])
-    kept = F.filter(lines, lambda _, k: ~F.array_contains(F.col("__removed"), k))
+    removed = cut(removed)
+    mark = F.xxhash64(documents["text"])
+    maybe, whole = split_by_keys(documents, F.xxhash64(documents["doc_id"], mark), removed, F.xxhash64("__id", "__mark"))
+    met = maybe.join(removed, maybe["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(maybe["text"]) == F.col("__mark")), "left")
+    return _without(met, documents.columns, F.col("__removed")).unionByName(_without(whole, documents.columns, F.lit(None).cast("array<int>")))
+
+
+def _without(documents: DataFrame, columns: list[str], removed: Column) -> DataFrame:
+    """The columns, and ``__lines``: the text without the lines at the removed places, and the counts; removed is null where none goes."""
+    text = F.col("text")
+    lines = _lines(text)
+    kept = F.filter(lines, lambda _, k: ~F.array_contains(removed, k))
     result = F.struct(
-        F.when(F.col("__removed").isNull(), documents["text"]).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(removed.isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return joined.select(*[documents[f"`{c}`"] for c in documents.columns], result.alias("__lines"))
+    return documents.select(*[F.col(f"`{c}`") for c in columns], result.alias("__lines"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

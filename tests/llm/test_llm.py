@@ -180,6 +180,20 @@ def test_pieces_against_all_segmentations():
         assert {v.decode(ids) for _, ids in found} == {text.replace("▁", " ")}
 
 
+def test_pieces_against_the_vocabulary():
+    """Most words are cut as the vocabulary's own merges cut them."""
+    import re
+
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    e = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL_FILE), 1)
+    assert e.encode("Hello world")[0][1] == tuple(p.encode("Hello world"))
+    with open("/opt/tokenizers/LICENSES.txt") as file:
+        found = re.findall(r"[A-Za-z]+", file.read())
+    assert sum(e.encode(w)[0][1] == tuple(p.encode(w)) for w in found) >= 0.97 * len(found)
+
+
 def test_pieces_round_trip(spark):
     texts = [None, "", " ", "x" * 50_000, prose(1, 3000) + "\t\n ÄÖ ① 日本", prose(2, 9)]
     frame = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)] + [(5, texts[5], 7)], "doc_id long, text string, ids int")
@@ -461,7 +475,9 @@ def test_language_held_out(spark):
 # ---- lines ----
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_ROWS, 0])
+def test_lines(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
     rows = [(k, "\n".join([f"own line {k}", " Shared line\t", "", f"few {k % 30}"]), f"s{k % 25}") for k in range(60)]
     rows += [(100, None, "s1"), (101, "", "s2"), (102, "Shared line", "s3"), (103, "Shared line\nShared line", None), (None, "own line 1\nShared line", "s9"), (5, rows[5][1], "s5")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line", F.lit(0))
@@ -471,7 +487,7 @@ def test_lines(spark):
     assert texts[(7, "s7")] == "own line 7\n\nfew 7" and texts[(100, "s1")] is None and texts[(101, "s2")] == ""
     assert texts[(102, "s3")] == "" and texts[(103, None)] == "" and texts[(None, "s9")] == "own line 1\nShared line"
     assert line_dedup.remove_boilerplate(frame.limit(0)).count() == 0
-    exact = frame.select("source", F.explode(F.split("text", "\n")).alias("x")).where("trim(x) <> ''").groupBy(F.trim("x", F.lit(" \t"))).agg(F.count_distinct("source").alias("n")).where("n >= 10").count()
+    exact = frame.select("source", F.explode(F.split("text", "\n")).alias("x")).where("trim(x) <> ''").groupBy(F.trim("x", F.lit(" \t"))).agg(F.count_distinct("source").alias("n")).where(F.col("n") >= line_dedup.MIN_SITES).count()
     assert line_dedup.boilerplate_lines(frame).count() == exact
 
 
