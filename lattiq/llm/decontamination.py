@@ -27,6 +27,8 @@ from lattiq.llm._common import WordHashes, gram_hashes, map_columns, small_batch
 SPAN = 13
 #: Words of a fingerprinted k-gram; a window of SPAN - GRAM + 1 of them keeps its smallest.
 GRAM = 6
+#: Tasks that share a fingerprint in the join of a larger benchmark.
+SALTS = 8
 #: Code points of all benchmark texts up to which their index is broadcast; beyond, fingerprints are joined.
 BROADCAST_CHARS = 8_000_000
 
@@ -182,25 +184,23 @@ def find_contamination(
 def _joined(documents: DataFrame, benchmark: DataFrame, keep: list[str], clean_rows: bool) -> DataFrame:
     """The same through a join of fingerprints; each document then gets just the items it shares one with."""
     small_batches(documents.sparkSession)
-    items = _items(benchmark).withColumn("item_key", F.xxhash64("item_id", "text"))
+    # two hashes are a text's key: texts that collide in one of them don't share candidates
+    both = lambda *c: F.struct(F.xxhash64(*c), F.xxhash64(F.lit(1), *c))
+    items = _items(benchmark).withColumn("item_key", both("item_id", "text"))
     lengths = _short_lengths(items)
     prints = _prints(items.select(F.col("item_key").alias("row_key"), "text"), [], True)
-    own = documents.select(F.xxhash64("text").alias("row_key"), "text").where("text IS NOT NULL")
-    shared = (
-        _prints(own.dropDuplicates(["row_key"]), lengths, False)
-        .join(prints.select("size", "print", F.col("row_key").alias("item_key")), ["size", "print"])
-        .select("row_key", "item_key")
-        .distinct()
-    )
+    prints = prints.select("size", "print", F.col("row_key").alias("item_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = documents.select(both("text").alias("row_key"), "text").where("text IS NOT NULL")
+    # a fingerprint that a third of the documents hold is dealt over several tasks
+    held = _prints(own.dropDuplicates(["row_key"]), lengths, False).withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
+    shared = held.join(prints, ["size", "print", "salt"]).select("row_key", "item_key").distinct()
     candidates = (
         shared.join(items.select("item_key", "item_id", F.col("text").alias("item_text")), "item_key")
         .groupBy("row_key")
         .agg(F.collect_list(F.struct("item_id", "item_text")).alias("__items"))
         .withColumnRenamed("row_key", "__key")
     )
-    paired = documents.withColumn("__key0", F.xxhash64("text")).join(
-        candidates, F.col("__key0") == F.col("__key"), "left"
-    )
+    paired = documents.withColumn("__key0", both("text")).join(candidates, F.col("__key0") == F.col("__key"), "left")
 
     def make():
         hashes = WordHashes()
