@@ -5,10 +5,10 @@ is the sum of its local scores.
 
 1. Every task gathers, for each query and run, its k best local scores and adds up the full scores of
    those few entries. The k-th best full score of all tasks is a safe lower bound t.
-2. t / lists goes to all tasks. A candidate that reaches t reaches t / lists in some run, so the
-   entries at or above it are sufficient.
-3. The remaining local scores of just those entries are added exactly; each task passes on its k
-   best for each query, and a ranking of these few gives the result.
+2. t goes to all tasks. A candidate that reaches t reaches t / lists in some run, and what it lacks after the first run must
+   fit under the product of the lengths of the rest. The first run's scores and these bounds leave the sufficient entries.
+3. Run by run the remaining local scores are worked out for the entries that still suffice, and no others; each
+   task passes on its k best for each query, and a ranking of these few gives the result.
 
 Queries go through in blocks of bounded size that are broadcast; candidates are never shuffled.
 
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm._common import small_batches, table
+from lattiq.llm._common import cut, small_batches, table
 
 #: Components become floor(SCALE * x).
 SCALE = 256
-#: Queries of one broadcast block.
-BLOCK = 2048
+#: Queries of one broadcast block: 16 MB at 128 components.
+BLOCK = 16384
 #: Runs of components, the lists of the threshold: fewer give a higher cutoff t / LISTS.
 LISTS = 2
 _LONG = 2**63
@@ -80,6 +80,50 @@ def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [query, score, ids]
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    """The euclidean length of each row, rounded up."""
+    with np.errstate(over="ignore"):
+        return np.sqrt((m.astype(float) ** 2).sum(axis=1)) * (1 + 1e-9)
+
+
+def sufficient(queries: np.ndarray, own: np.ndarray, t: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, candidate, score) of all entries that reach their query's t, and how many remaining local scores that took.
+
+    The runs lie between the cuts. After each run an entry goes on only if its score so far and the product of the lengths of the remaining
+    runs reach t, and if some run reaches t / runs or may still do so.
+    """
+    runs = list(zip(cuts[:-1], cuts[1:]))
+    share = t[:, None] / len(runs)
+    low = np.where(np.isfinite(t), t - np.abs(t) * 1e-12, t)
+    own_lengths = [(_lengths(queries[:, a:b]), _lengths(own[:, a:b])) for a, b in runs]
+    first = _dot(queries[:, : runs[0][1]], own[:, : runs[0][1]])
+    # an infinite product bounds nothing, and zero times infinity is such a one
+    with np.errstate(over="ignore", invalid="ignore"):
+        bounds = [np.nan_to_num(x[:, None] * y[None, :], nan=np.inf, posinf=np.inf) for x, y in own_lengths[1:]]
+    listed = first.astype(float) >= share - np.abs(share) * 1e-12
+    for bound in bounds:
+        listed |= bound >= share
+    rest = sum(bounds) if bounds else np.zeros(first.shape)
+    q, c = np.nonzero(listed & (first.astype(float) + rest >= low[:, None]))
+    total, worked = first[q, c], 0
+    for k, (a, b) in enumerate(runs[1:], 1):
+        worked += len(q)
+        more = np.empty(len(q), object if total.dtype == object else float)
+        # in pieces of bounded size
+        for at in range(0, len(q), 65536):
+            x, y = queries[q[at : at + 65536], a:b], own[c[at : at + 65536], a:b]
+            wide = x.size and np.abs(x).max() * np.abs(y).max() * (b - a) >= 2.0**53
+            part = [sum(int(i) * int(j) for i, j in zip(m, n)) for m, n in zip(x, y)] if wide else np.einsum("ij,ij->i", x, y)
+            if wide and more.dtype != object:
+                more, total = more.astype(object), np.array([int(i) for i in total], object)
+            more[at : at + 65536] = part
+        total = total + more
+        ahead = sum(bounds[k:])[q, c] if bounds[k:] else 0.0
+        left = total.astype(float) + ahead >= low[q]
+        q, c, total = q[left], c[left], total[left]
+    return q, c, total, worked
+
+
 def _task(block, k: int, lists: int, cutoff):
     """A function from Arrow batches of candidates to the k best entries of each query.
 
@@ -103,24 +147,21 @@ def _task(block, k: int, lists: int, cutoff):
                 own = _whole(np.stack([flat[starts[i] : starts[i] + length] for i in at]))
                 number, query_ids, queries = by_length[length]
                 cuts = np.linspace(0, length, lists + 1).astype(int)
-                local = [_dot(queries[:, a:b], own[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                 same = query_ids[:, None] == ids[None, :]
                 if cutoff is None:
+                    local = [_dot(queries[:, a:b], own[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                     near = np.zeros(same.shape, bool)
                     for scores in local:
                         scores = np.where(same, -np.inf, scores.astype(float))
                         m = min(k, scores.shape[1])
                         chosen = np.argpartition(-scores, m - 1, axis=1)[:, :m]
                         np.put_along_axis(near, chosen, True, axis=1)
+                    q, c = np.nonzero(near & ~same)
+                    total = sum(scores[q, c] for scores in local)
                 else:
-                    t = cutoff.value[number][:, None] / lists
-                    near = local[0] >= t
-                    for scores in local[1:]:
-                        near |= scores >= t
-                q, c = np.nonzero(near & ~same)
-                total = sum(scores[q, c] for scores in local)
-                if cutoff is not None:
-                    keep = total >= cutoff.value[number][q]
+                    t = cutoff.value[number]
+                    q, c, total, _ = sufficient(queries, own, t, cuts)
+                    keep = ~same[q, c] & (total >= t[q])
                     q, c, total = q[keep], c[keep], total[keep]
                 best = _best([np.concatenate(x) for x in zip(best, (number[q], total, ids[c]))], k)
         limit = lambda x: max(-_LONG, min(_LONG - 1, int(x)))
@@ -163,7 +204,9 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, lists: in
         whole = np.where(np.abs(whole) >= 2.0**53, np.nextafter(whole, -np.inf), whole)
         shared = spark.sparkContext.broadcast(whole)
         found = candidates.mapInArrow(_task(block, k, lists, shared), schema)
-        parts.append(found.join(F.broadcast(ids), "number").select("query_id", "vec_id", "score"))
+        part = found.join(F.broadcast(ids), "number").select("query_id", "vec_id", "score")
+        # of many blocks each one's few rows are written, so that the plan stays small
+        parts.append(cut(part) if blocks > 1 else part)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]

@@ -51,6 +51,20 @@ def test_top_k(spark, scale):
     assert {tuple(x) for x in found.collect()} == plain_top(rows, 5)
 
 
+@pytest.mark.parametrize("scale", [1, 2**40])
+def test_top_k_remaining_scores(scale):
+    """All entries from t on, exactly, with remaining scores for few of them."""
+    r = np.random.default_rng(3)
+    queries, own = (np.floor(r.normal(0, 100, (n, 32))) * scale for n in (20, 3000))
+    scores = np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in own] for x in queries], object)
+    t = np.array([float(sorted(row)[-5]) for row in scores])
+    t = np.nextafter(t, -np.inf)
+    q, c, total, worked = topk_search.sufficient(queries, own, t, np.array([0, 16, 32]))
+    found = {(i, j): int(s) for i, j, s in zip(q.tolist(), c.tolist(), total.tolist()) if s >= t[i]}
+    assert found == {(i, j): scores[i, j] for i in range(20) for j in range(3000) if scores[i, j] >= t[i]}
+    assert worked < 0.5 * scores.size
+
+
 def test_top_k_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.exact_top_k(frame, frame).count() == 0
