@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +43,13 @@ def concat_feeds(feeds: list[DataFrame], key: str = "id") -> DataFrame:
 
 
 def walk_tree(spark: SparkSession, nodes: DataFrame, most_depth: int = 32) -> DataFrame:
-    """nodes(id, name, parent) with depth (roots 0), path (ids from the root) and child_count, by a recursive query."""
-    nodes.createOrReplaceTempView("__tree_nodes")
+    """nodes(id, name, parent) with depth (roots 0), path (ids from the root) and child_count, by a recursive query; deeper trees than ``most_depth`` raise."""
+    view = f"tree_{uuid.uuid4().hex}"  # walks of one session are lazy, so each has a name of its own
+    nodes.createOrReplaceTempView(view)
     walked = spark.sql(
         f"""WITH RECURSIVE walk (id, name, parent, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-            SELECT id, name, parent, 0, array(id) FROM __tree_nodes WHERE parent IS NULL
-            UNION ALL SELECT n.id, n.name, n.parent, w.depth + 1, array_append(w.path, n.id) FROM __tree_nodes n JOIN walk w ON n.parent = w.id)
+            SELECT id, name, parent, 0, array(id) FROM {view} WHERE parent IS NULL
+            UNION ALL SELECT n.id, n.name, n.parent, w.depth + 1, array_append(w.path, n.id) FROM {view} n JOIN walk w ON n.parent = w.id)
             SELECT * FROM walk"""
     )
     children = nodes.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("child_count"))
@@ -61,9 +64,10 @@ def branch_of(path: Column) -> Column:
 def classify(walked: DataFrame) -> DataFrame:
     """walked with kind: market (tests, buckets and all below, other languages' copies), group (inner nodes) or competition (leaves)."""
     marked = walked.withColumn("bucket", F.col("name").isin(MARKET_NAMES + ALIAS_ROOTS) | F.col("name").endswith(" Specials") | is_test_node(F.col("name")))
-    buckets = F.broadcast(marked.where("bucket").agg(F.collect_set("id").alias("__buckets")))  # one row
-    kind = F.when(F.arrays_overlap("path", "__buckets"), "market").when(F.col("child_count") > 0, "group").otherwise("competition")
-    return marked.join(buckets).withColumn("kind", kind).drop("__buckets", "bucket")
+    buckets = marked.where("bucket").select(F.col("id").alias("__node"))
+    below = marked.select("id", F.explode("path").alias("__node")).join(buckets, "__node", "left_semi").select("id").distinct().withColumn("__below", F.lit(True))
+    kind = F.when(F.col("__below"), "market").when(F.col("child_count") > 0, "group").otherwise("competition")
+    return marked.join(below, "id", "left").withColumn("kind", kind).drop("__below", "bucket")
 
 
 def split_ids(rows: DataFrame, classified: DataFrame, key: str = "id", ids: str = "group_ids") -> DataFrame:
@@ -120,9 +124,8 @@ def remove_noise(clubs: DataFrame, players: DataFrame, friendlies: DataFrame, in
     """Clubs and players without noise, in this order: other sports; without competitions, or friendlies(id) only; doubles merged;
     players of dropped clubs; names that are bets or placeholders; double players merged; clubs without players.
     """
-    friendly = F.broadcast(friendlies.agg(F.collect_set("id").alias("__friendly")))  # one row
-    kept = clubs.join(friendly).where(~F.col("id").isin(OTHER_SPORTS))
-    kept = kept.where((F.size("competition_ids") > 0) & ~F.forall("competition_ids", lambda i: F.array_contains("__friendly", i))).drop("__friendly")
+    played = clubs.select("id", F.explode("competition_ids").alias("__c")).join(friendlies.select(F.col("id").alias("__c")), "__c", "left_anti")
+    kept = clubs.where(~F.col("id").isin(OTHER_SPORTS)).join(played.select("id"), "id", "left_semi")
     kept = merge_keepers(kept, [F.col("name"), F.array_sort("group_ids")], ["competition_ids"])
     names = kept.select(F.col("id").alias("club_id"), F.col("name").alias("__club"))
     own = players.join(names, "club_id", "left").where(F.col("__club").isNotNull() | (F.col("club_id").isNull() if individual else F.lit(False)))
@@ -172,10 +175,12 @@ def provenance(memberships: DataFrame, feeds: dict[str, str]) -> DataFrame:
 
 def prune_gender(players: DataFrame, gender: DataFrame, pairs: DataFrame) -> DataFrame:
     """Players without the other gender's twin among their competitions."""
-    sets = F.broadcast(pairs.agg(F.collect_set("men").alias("__men"), F.collect_set("women").alias("__women")))  # one row
-    joined = players.join(gender, "id", "left").join(sets)
-    pruned = F.when(F.col("gender") == "women", F.array_except("competition_ids", "__men")).when(F.col("gender") == "men", F.array_except("competition_ids", "__women"))
-    return joined.withColumn("competition_ids", F.coalesce(pruned, F.col("competition_ids"))).select(*players.columns)
+    wrong = pairs.select(F.lit("women").alias("gender"), F.col("men").alias("__c")).unionByName(pairs.select(F.lit("men").alias("gender"), F.col("women").alias("__c"))).distinct()
+    held = players.select("id", F.explode("competition_ids").alias("__c")).join(gender, "id").join(wrong, ["gender", "__c"])
+    drop = held.groupBy("id").agg(F.collect_set("__c").alias("__drop"))
+    joined = players.join(drop, "id", "left")
+    pruned = F.when(F.col("__drop").isNotNull(), F.array_except("competition_ids", "__drop")).otherwise(F.col("competition_ids"))
+    return joined.withColumn("competition_ids", pruned).select(*players.columns)
 
 
 def mirror_individuals(players: DataFrame) -> DataFrame:
@@ -216,3 +221,35 @@ def first_by(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, value) of the first row of each key."""
     own = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("__n", F.row_number().over(own)).where("__n = 1").select(key, value)
+
+
+def refactor_participants(spark: SparkSession, feed: DataFrame, nodes: DataFrame, sport_root: int, friendlies: DataFrame, individual: bool = False) -> dict[str, DataFrame]:
+    """Clubs and players of a raw feed(participants), ready for the index: names in English, nodes by kind, players of all teams united,
+    national teams of the root given their country, noise removed. nodes(id, name, parent), friendlies(id).
+    """
+    classified = classify(walk_tree(spark, nodes))
+    clubs, players = flatten_feed(feed, individual)
+    own = clubs.select("id", "name").join(split_ids(clubs, classified, "id", "node_ids"), "id")
+    placed = players.select("id", "name", "club_id", "ord", "node_ids")
+    kinds = split_ids(placed.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("node_ids"))).alias("node_ids")), classified, "id", "node_ids")
+    united = union_players(placed.join(kinds, "id").select("id", "name", "club_id", "competition_ids", "group_ids", "ord"))
+    countries = classified.where((F.col("depth") == 2) & (F.col("kind") == "group")).select("id", "name")
+    filled = backfill_countries(own, countries, sport_root)
+    kept, left = remove_noise(filled, united, friendlies, individual)
+    return {"clubs": kept, "players": left}
+
+
+def build_index(walked: DataFrame, clubs: DataFrame, players: DataFrame, gender: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a sport's index: groups and branches that clubs and players refer to, teams, players (of an unknown or known gender, without
+    the other's twin competitions), rosters, and counts and version of it all.
+
+    walked as of walk_tree(); clubs(id, name, competition_ids, group_ids, variant), players(id, name, club_id, country_team_id, competition_ids).
+    """
+    if gender is not None:
+        players = prune_gender(players, gender, twins(walked.select("id", "name")))
+    each = lambda df, c: df.select(F.explode(c).alias("id"))
+    referenced = each(clubs, "competition_ids").unionByName(each(clubs, "group_ids")).unionByName(each(players, "competition_ids")).distinct()
+    groups, branches = whitelist(walked, referenced)
+    tables = {"groups": groups.select("id", "name", "parent", "branch"), "branches": branches, "teams": clubs, "players": players, "rosters": rosters(players)}
+    names = tables["groups"].select("id", "name").unionByName(clubs.select("id", "name")).unionByName(players.select("id", "name"))
+    return {**tables, "version": index_version(names), "counts": counts(**{k: tables[k] for k in ("groups", "branches", "teams", "players")})}

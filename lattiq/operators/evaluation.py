@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +11,19 @@ from lattiq.functions import text
 def pair_selectors(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(query_id, gold_idx, pred_idx): each expected selector, in order, takes the first free predicted one whose market matches.
 
-    gold(query_id, idx, accept: array of texts), predicted(query_id, idx, market). The greedy choice depends on earlier ones, so each query's few
-    selectors go through one function call; a query's selectors are bounded by its plan.
+    gold(query_id, idx, accept: array of texts), predicted(query_id, idx, market). The greedy choice depends on earlier ones, so each query's
+    fitting pairs, which its plan bounds, are walked in order within one row.
     """
     pairs = gold.select("query_id", F.col("idx").alias("gold_idx"), "accept").join(
-        predicted.select("query_id", F.col("idx").alias("pred_idx"), "market"), "query_id"
+        predicted.select("query_id", F.col("idx").cast("long").alias("pred_idx"), "market"), "query_id"
     )
-    fits = pairs.where(text.any_loosely_equal(F.col("accept"), F.col("market"))).select("query_id", "gold_idx", "pred_idx")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        found = []
-        for gold_idx, own in rows.sort_values(["gold_idx", "pred_idx"]).groupby("gold_idx"):
-            free = next((p for p in own["pred_idx"] if p not in used), None)
-            if free is not None:
-                used.add(free)
-                found.append((rows["query_id"].iloc[0], gold_idx, free))
-        return pd.DataFrame(found, columns=["query_id", "gold_idx", "pred_idx"])
-
-    matched = fits.groupBy("query_id").applyInPandas(greedy, fits.schema)
+    fits = pairs.where(text.any_loosely_equal(F.col("accept"), F.col("market")))
+    pair = F.struct(F.col("gold_idx").cast("long").alias("g"), F.col("pred_idx").alias("p"))
+    ordered = fits.groupBy("query_id").agg(F.array_sort(F.collect_list(pair)).alias("fits"))
+    free = lambda taken, x: ~F.exists(taken, lambda t: (t["g"] == x["g"]) | (t["p"] == x["p"]))
+    none = F.array().cast("array<struct<g:bigint,p:bigint>>")
+    taken = F.aggregate("fits", none, lambda taken, x: F.when(free(taken, x), F.array_append(taken, x)).otherwise(taken))
+    matched = ordered.select("query_id", F.explode(taken).alias("t")).select("query_id", F.col("t.g").alias("gold_idx"), F.col("t.p").alias("pred_idx"))
     return gold.select("query_id", F.col("idx").alias("gold_idx")).join(matched, ["query_id", "gold_idx"], "left")
 
 
@@ -39,10 +32,21 @@ def facet(expected: Column, got: Column) -> Column:
     return expected.eqNullSafe(got)
 
 
-def grade_records(pairs: DataFrame, hard: list[str], soft: list[str]) -> DataFrame:
-    """(query_id, hard_misses, soft_misses, passed). Each facet f has columns gold_f and pred_f; an unpaired selector misses ``pairing``."""
+def same_ids(expected: Column, got: Column) -> Column:
+    """Whether two arrays hold the same ids; null is none."""
+    none = F.array().cast("array<bigint>")
+    sorted_ids = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    return sorted_ids(expected) == sorted_ids(got)
+
+
+def grade_records(pairs: DataFrame, hard: list[str], soft: list[str], grounded: list[str] | None = None) -> DataFrame:
+    """(query_id, hard_misses, soft_misses, passed). Each facet f has columns gold_f and pred_f; an unpaired selector misses ``pairing``.
+
+    Facets in ``grounded`` are compared by what they were grounded to, whatever their wording: arrays gold_f_ids and pred_f_ids.
+    """
     unpaired = F.col("pred_idx").isNull()
-    miss = lambda names: F.filter(F.array(*[F.when(~unpaired & ~facet(F.col(f"gold_{f}"), F.col(f"pred_{f}")), f) for f in names]), lambda x: x.isNotNull())
+    agrees = lambda f: same_ids(F.col(f"gold_{f}_ids"), F.col(f"pred_{f}_ids")) if f in (grounded or []) else facet(F.col(f"gold_{f}"), F.col(f"pred_{f}"))
+    miss = lambda names: F.filter(F.array(*[F.when(~unpaired & ~agrees(f), f) for f in names]), lambda x: x.isNotNull())
     rows = pairs.withColumns({"__hard": F.concat(F.when(unpaired, F.array(F.lit("pairing"))).otherwise(F.array().cast("array<string>")), miss(hard)), "__soft": miss(soft)})
     together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     out = rows.groupBy("query_id").agg(together("__hard").alias("hard_misses"), together("__soft").alias("soft_misses"))
@@ -114,3 +118,23 @@ def drift(captured: DataFrame, live: DataFrame) -> DataFrame:
     )
     return both.select("query_id", verdict.alias("verdict"))
 
+
+
+def reaches(picks: DataFrame, labels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, reached): whether a picked label stands for one of the wanted criteria. picks(query_id, label), labels(label, criterion_id), wanted(query_id, criterion_ids)."""
+    known = picks.join(labels.where("criterion_id IS NOT NULL").groupBy("label").agg(F.collect_set("criterion_id").alias("__own")), "label")
+    own = known.groupBy("query_id").agg(F.flatten(F.collect_list("__own")).alias("__all"))
+    return wanted.join(own, "query_id", "left").select("query_id", F.coalesce(F.size(F.array_intersect("criterion_ids", "__all")) > 0, F.lit(False)).alias("reached"))
+
+
+def grade_scope(cells: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, cell, recalled, tier, right): grounded cells(query_id, cell, tier, candidates) against gold(query_id, cell, ids).
+
+    recalled: every expected id is a candidate of some cell of that kind; tier is the surest of them (none without one); right: it is sure, and recalled.
+    """
+    rank = F.when(F.col("tier") == "confident", 0).when(F.col("tier") == "ambiguous", 1).when(F.col("tier") == "shortlist", 2).otherwise(3)
+    found = cells.groupBy("query_id", "cell").agg(F.flatten(F.collect_list(F.transform("candidates", lambda c: c["id"]))).alias("__ids"), F.min_by("tier", rank).alias("tier"))
+    rows = gold.join(found, ["query_id", "cell"], "left")
+    recalled = F.coalesce(F.size(F.array_except("ids", "__ids")) == 0, F.size("ids") == 0)
+    tier = F.coalesce("tier", F.lit("none"))
+    return rows.select("query_id", "cell", recalled.alias("recalled"), tier.alias("tier"), (recalled & (tier == "confident")).alias("right"))

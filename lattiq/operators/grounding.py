@@ -30,6 +30,12 @@ DEFAULT_VARIANT = "senior_men"
 _EMPTY = "array<struct<id:bigint,score:double>>"
 
 
+def clear_lead(score: Column, keys: list[str], order: list[str | Column]) -> Column:
+    """Whether a row leads the next one of its keys by more than a tie, or has none after it."""
+    after = F.lead(score).over(Window.partitionBy(*keys).orderBy(*order))
+    return after.isNull() | (score - after > TIE)
+
+
 def _candidates(rows: DataFrame, keys: list[str], place: str = "place", most: int = TOP_K) -> DataFrame:
     """keys and candidates: the first ``most`` (id, score) by place."""
     kept = rows.where(F.col(place) <= most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions import offering, text
-from lattiq.operators import assemble, combos, etl, evaluation, grounding, menu, planner, replay
+from lattiq.operators import assemble, combos, etl, evaluation, grounding, menu, planner, replay, scope
 from lattiq.plans import pipeline
 from lattiq.plans.bindings import EVENTS, FOLD, GROUPS, OUTCOMES, content, events, groups, outcomes, query, read, sql, values
 from lattiq.streaming import stages
@@ -67,16 +67,20 @@ def prj_english_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- joins ----
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000 AND c_custkey % 50 = 0)")
+@query("SELECT CAST(1000 + n_nationkey AS BIGINT) AS id, CAST(100 + n_regionkey AS BIGINT) AS branch FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000)")
 def jon_semi_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_name", F.array().cast("array<bigint>").alias("path"))
-    seen = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("id")).distinct()
-    return nodes.join(seen, "id", "left_semi").select(F.col("id").alias("n_nationkey"))
+    seen = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select((F.col("c_nationkey") + 1000).cast("long").alias("id")).distinct()
+    kept, _ = etl.whitelist(etl.walk_tree(spark, groups(spark, sf_dir)), seen)
+    return kept.select("id", "branch")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT DISTINCT o_custkey AS query_id, l_suppkey AS event_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey EXCEPT SELECT o_custkey, o_orderkey % 10 FROM orders")
 def jon_anti_leftover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    orders, items = read(spark, sf_dir, "orders"), outcomes(spark, sf_dir)
+    shaped = orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("coupon_id"))
+    shown = orders.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 10).alias("event_id")).distinct()
+    named = items.select("outcome_id", F.col("participant_id").alias("event_id")).distinct()
+    return combos.combination_events(shaped, items.select(F.col("event_id").alias("coupon_id"), "outcome_id"), named, shown)
 
 
 def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,7 @@ def jon_roster_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.rosters(_players(spark, sf_dir)).groupBy("owner_id").agg(F.count("*").alias("players"), F.min("player_id").alias("first_player"))
 
 
-@query(sql("SELECT CAST(club_id AS VARCHAR) AS context, CAST(id AS BIGINT) AS id FROM (SELECT DISTINCT club_id, unnest(competition_ids) AS id FROM pl WHERE club_id < 4)", _PLAYERS))
+@query(sql("SELECT CAST(club_id AS VARCHAR) AS context, CAST(id AS BIGINT) AS id FROM (SELECT DISTINCT club_id, unnest(competition_ids) AS id FROM pl)", _PLAYERS))
 def jon_allow_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     players = _players(spark, sf_dir)
     found = players.select(F.col("club_id").cast("string").alias("context"), F.array(F.struct("id", F.lit(1.0).alias("score"))).alias("candidates"))
@@ -193,22 +197,34 @@ def jon_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sets ----
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
+_RECALLED = [("u1", [], [3, 7], [1004]), ("u2", [1, 2, 3, 4, 5, 6, 7], [1], [1001]), ("u3", [], [], [1002, 1003]), ("u4", [], [], [])]
+_RECALLED_SQL = values(_RECALLED, "u(query_id, event_ids, participant_ids, group_ids)", ["VARCHAR", "BIGINT[]", "BIGINT[]", "BIGINT[]"])
+
+
+@query(sql("""SELECT query_id, offer_id, route FROM (SELECT *, row_number() OVER (PARTITION BY query_id, offer_id ORDER BY rank) AS n FROM (
+ SELECT query_id, offer_id, 0 AS rank, 'event' AS route FROM u JOIN o ON list_contains(event_ids, event_id) UNION ALL
+ SELECT query_id, offer_id, 1, 'participant' FROM u JOIN o ON len(event_ids) = 0 AND (list_contains(participant_ids, home_id) OR list_contains(participant_ids, away_id)) UNION ALL
+ SELECT query_id, offer_id, 2, 'group' FROM u JOIN o ON len(event_ids) = 0 AND list_contains(group_ids, group_id))) WHERE n = 1""", EVENTS, OUTCOMES, _RECALLED_SQL, "o AS (SELECT DISTINCT offer_id, event_id, home_id, away_id, group_id FROM v_outcome JOIN v_event USING (event_id))"))
 def set_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    b = read(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("k"))
-    return a.unionByName(b).distinct()
+    inputs = spark.createDataFrame(_RECALLED, "query_id string, event_ids array<long>, participant_ids array<long>, group_ids array<long>")
+    known = events(spark, sf_dir)
+    offers = outcomes(spark, sf_dir).select("offer_id", "event_id").distinct().join(known.select("event_id", "group_id"), "event_id")
+    members = known.select("event_id", F.explode(F.array("home_id", "away_id")).alias("participant_id")).distinct()
+    return planner.recall(inputs, offers, members).select("query_id", "offer_id", "route")
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+@query("SELECT o_orderkey AS query_id, o_custkey % 10 AS id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = o_custkey % 10 AND l_linenumber <= 5)")
 def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k"))
-    return a.intersect(read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")))
+    picks = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 10).alias("id"))
+    shown = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("place"))
+    return planner.valid_picks(picks, shown, ["query_id"])
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+@query("SELECT n_name AS sport, n_nationkey AS query_id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).exceptAll(read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct())
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("sport"))
+    known = nation.join(read(spark, sf_dir, "supplier").where("s_acctbal > 5000"), F.col("query_id") == F.col("s_nationkey"), "left_semi").select("sport")
+    return planner.unsupported(nation, known)
 
 
 _ORDERSETS = "st AS (SELECT l_orderkey AS query_id, list(DISTINCT l_suppkey) AS a, list(DISTINCT l_suppkey) FILTER (WHERE l_linenumber > 1) AS b FROM lineitem GROUP BY 1)"
@@ -223,12 +239,12 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.drift(was, rows.select("query_id", F.col("b").alias("ids")))
 
 
-@query(sql("SELECT query_id, list_has_all(coalesce(b, []), list_filter(a, lambda x: x % 2 = 0)) AS held FROM st", _ORDERSETS))
+@query(sql("SELECT query_id, b IS NULL OR list_has_all(b, list_filter(a, lambda x: x % 2 = 0)) AS held FROM st", _ORDERSETS))
 def set_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(
         F.collect_set("l_suppkey").alias("a"), F.collect_set(F.when(F.col("l_linenumber") > 1, F.col("l_suppkey"))).alias("b")
     )
-    return rows.select("query_id", (F.size(F.array_except(F.filter("a", lambda x: x % 2 == 0), "b")) == 0).alias("held"))
+    return rows.select("query_id", scope.all_teams(F.filter("a", lambda x: x % 2 == 0), F.col("b")).alias("held"))
 
 
 # ---- aggregates ----
@@ -325,7 +341,7 @@ def _coupons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return refs, known, picked
 
 
-_SCORES = """sc AS (SELECT o_custkey AS query_id, o.event_id AS coupon_id, count(*) FILTER (WHERE outcome_id = ((o.event_id * 100000 + 5) * 10 + 1) * 10000 + 3) AS exact, count(*) FILTER (WHERE offer_id = o.event_id * 10 + 1) AS same_offer, count(*) FILTER (WHERE participant_id IN (3, 5)) AS shown_event, count(*) FILTER (WHERE criterion_id = 4) AS same_market FROM v_outcome o JOIN orders ON o_orderkey = o.event_id WHERE o.event_id < 3000 GROUP BY 1, 2)"""
+_SCORES = """sc AS (SELECT o_custkey AS query_id, o.event_id AS coupon_id, count(*) FILTER (WHERE outcome_id = ((o.event_id * 100000 + 5) * 10 + 1) * 10000 + 3) AS exact, count(*) FILTER (WHERE offer_id = o.event_id * 10 + 1) AS same_offer, count(*) FILTER (WHERE participant_id IN (3, 5)) AS shown_event, count(*) FILTER (WHERE criterion_id = 4) AS same_market FROM v_outcome o JOIN orders ON o_orderkey = o.event_id GROUP BY 1, 2)"""
 
 
 @query(sql("SELECT query_id, coupon_id, exact, same_offer, shown_event, same_market FROM sc", OUTCOMES, _SCORES))
@@ -402,7 +418,10 @@ def cmp_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.array_join("hard_misses", ",").alias("hard_misses"), F.array_join("soft_misses", ",").alias("soft_misses"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {', '.join(['i AS (SELECT l_orderkey AS q, l_partkey AS idx, p_type, l_returnflag = $$A$$ AS g FROM lineitem JOIN part ON l_partkey = p_partkey)',
+ 'f AS (SELECT a.q, list({{g: a.idx, p: b.idx}} ORDER BY a.idx, b.idx) AS fs FROM i a JOIN i b ON a.q = b.q AND a.g AND NOT b.g AND a.p_type = b.p_type GROUP BY 1)'.replace('{{', '{').replace('}}', '}'),
+ 'w(q, k, fs, gs, ps) AS (SELECT q, 0, fs, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM f UNION ALL SELECT q, k + 1, fs, CASE WHEN free THEN list_append(gs, g) ELSE gs END, CASE WHEN free THEN list_append(ps, p) ELSE ps END FROM (SELECT *, fs[k + 1].g AS g, fs[k + 1].p AS p, NOT list_contains(gs, fs[k + 1].g) AND NOT list_contains(ps, fs[k + 1].p) AS free FROM w WHERE k < len(fs)))',
+ 'm AS (SELECT q, unnest(gs) AS g, unnest(ps) AS p FROM w WHERE k = len(fs))'])} SELECT i.q AS query_id, i.idx AS gold_idx, m.p AS pred_idx FROM i LEFT JOIN m ON m.q = i.q AND m.g = i.idx WHERE i.g""".replace("$$", "'"))
 def jon_greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     gold = items.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("idx"), F.array("p_type").alias("accept"))
@@ -429,9 +448,9 @@ def cmp_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.notes(rows).select("query_id", "code").distinct()
 
 
-@query(sql("SELECT home_id AS query_id, event_id, count(DISTINCT offer_id) AS offers, count(*) AS outcomes, min(outcome_id) AS first_outcome FROM v_outcome JOIN v_event USING (event_id) WHERE odds > 50000 GROUP BY 1, 2", EVENTS, OUTCOMES))
+@query(sql("SELECT home_id AS query_id, event_id, count(DISTINCT offer_id) AS offers, count(*) AS outcomes, min(outcome_id) AS first_outcome FROM v_outcome JOIN v_event USING (event_id) GROUP BY 1, 2", EVENTS, OUTCOMES))
 def cmp_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = outcomes(spark, sf_dir).where("odds > 50000")
+    own = outcomes(spark, sf_dir)
     known = events(spark, sf_dir).select("event_id", "home_id", F.struct("event_name", "start", "state").alias("event"))
     picks = own.select("outcome_id", "event_id").join(known.select("event_id", F.col("home_id").alias("query_id")), "event_id").select("query_id", F.lit(0).alias("leg_idx"), "outcome_id", F.lit(True).alias("is_selected"))
     facts = own.select("outcome_id", "offer_id", "event_id", F.col("offer_id").alias("ord"), F.struct("label").alias("offer"), F.struct("english_label", "odds", "line").alias("outcome"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import offering, timewin
-from lattiq.operators import assemble, menu, planner, scope, selecting, subject
+from lattiq.operators import assemble, grounding, menu, planner, scope, selecting, subject
 from lattiq.plans.bindings import EVENTS, FOLD, LEGS_SQL, OUTCOMES, events, leg_events, outcomes, query, read, sql, values
 
 LEG = ["query_id", "leg_idx"]
@@ -246,7 +246,7 @@ _RELATED_SQL = values(_RELATED, "r(query_id, leg_idx, rank, label)", ["VARCHAR",
 
 
 @query(sql("""SELECT query_id, leg_idx, rank, label, offer_id FROM (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY rank, leg_idx) AS place FROM (
- SELECT *, row_number() OVER (PARTITION BY query_id, offer_id ORDER BY rank, leg_idx) AS n FROM (SELECT r.*, o.offer_id FROM r JOIN (SELECT DISTINCT label, offer_id, event_id FROM v_outcome WHERE event_id < 40) o ON o.label = r.label
+ SELECT *, row_number() OVER (PARTITION BY query_id, offer_id ORDER BY rank, leg_idx) AS n FROM (SELECT r.*, o.offer_id FROM r JOIN (SELECT DISTINCT label, offer_id, event_id FROM v_outcome) o ON o.label = r.label
  AND (r.query_id <> 'q1' OR o.event_id % 2 = 0) WHERE o.offer_id % 5 <> 0)) WHERE n = 1) WHERE place <= 3""", OUTCOMES, _RELATED_SQL))
 def win_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     related = spark.createDataFrame(_RELATED, "query_id string, leg_idx int, rank int, label string")
@@ -364,6 +364,4 @@ def win_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR value - lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 0.000001 AS clear FROM events")
 def win_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    after = F.lead("value").over(order)
-    return read(spark, sf_dir, "events").select("user_id", "event_id", (after.isNull() | (F.col("value") - after > 1e-6)).alias("clear"))
+    return read(spark, sf_dir, "events").select("user_id", "event_id", grounding.clear_lead(F.col("value"), ["user_id"], ["ts", "event_id"]).alias("clear"))

@@ -114,9 +114,17 @@ def dat_kickoff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("phrase", k.after.alias("after_hour"), k.before.alias("before_hour"), k.relative.alias("relative"), k.known.alias("known"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id AS query_id, event_type AS sport, CAST(i AS INTEGER) AS leg_idx, 'bet ' || user_id || ' ' || i AS market_concept, list_filter([event_type], lambda x: user_id % 3 = 0) AS other_sports FROM events, range(2) AS r(i) WHERE user_id % 5 <> 0")
 def jsn_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    k, kind = F.col("user_id"), F.col("event_type")
+    leg = lambda i: F.struct(F.concat(F.lit("bet "), k.cast("string"), F.lit(f" {i}")).alias("market_concept"))
+    others = F.when(k % 3 == 0, F.array(kind))
+    plan = F.to_json(F.struct(F.when(k % 5 != 0, kind).alias("sport"), others.alias("otherSports"), F.array(leg(0), leg(1)).alias("selectors")))
+    # every other plan is a JSON text within JSON
+    wrapped = F.when(k % 2 == 0, F.substring(F.to_json(F.struct(plan.alias("x"))), 6, 1_000_000)).otherwise(plan)
+    texts = F.when(k % 2 == 0, F.left(wrapped, F.length(wrapped) - 1)).otherwise(wrapped)
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), texts.alias("plan"))
+    return plans.read_plans(rows).select("query_id", "sport", "leg_idx", "market_concept", "other_sports")
 
 
 @query("""SELECT event_id, CASE WHEN k % 2 = 0 THEN 'live' END AS play_state, CASE WHEN k % 4 <> 0 THEN k / 10.0 END AS line_num, CASE WHEN k % 3 <> 0 THEN CAST(k AS DOUBLE) END AS odds_min,

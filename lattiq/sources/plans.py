@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What the enumerations of a plan hold.
 PLAY_STATES = ["live", "prematch"]
@@ -88,6 +89,23 @@ def read_plans(rows: DataFrame, json: str = "plan") -> DataFrame:
     return repair_selectors(each, "__json")
 
 
+def plan_schema() -> dict:
+    """The JSON schema of a plan, for whoever writes plans."""
+    return _json_schema(T.StructType.fromDDL(PLAN.replace("selectors array<string>", f"selectors array<struct<{_one_line(SELECTOR)}>>")))
+
+
+def _one_line(schema: str) -> str:
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+
+
+def _json_schema(kind: T.DataType) -> dict:
+    if isinstance(kind, T.StructType):
+        return {"type": "object", "properties": {f.name: _json_schema(f.dataType) for f in kind.fields}}
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": _json_schema(kind.elementType)}
+    return {"type": "number" if isinstance(kind, T.NumericType) else "string"}
+
+
 def valid(legs: DataFrame) -> Column:
     """Whether a repaired leg is one that a plan may hold: odds in order, and at least two kinds of a soft subject. A leg without a subject is one."""
     odds = F.coalesce(F.col("odds_min") <= F.col("odds_max"), F.lit(True))

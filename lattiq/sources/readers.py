@@ -32,10 +32,11 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, faults) of JSON lines: blank lines are skipped, broken ones come with their number."""
-    text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id() + 1).where(F.trim("value") != "")
+    """(records, faults) of files of JSON lines, which people write and so are small: blank lines are skipped, broken ones come with file and number."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    text = files.select("file", (F.col("at") + 1).alias("line"), "value").where(F.trim("value") != "")
     parsed = text.withColumn("r", F.from_json("value", f"{schema}, __broken string", {"columnNameOfCorruptRecord": "__broken"}))
-    return parsed.where("r.__broken IS NULL").select("r.*").drop("__broken"), parsed.where("r.__broken IS NOT NULL").select("line", "value")
+    return parsed.where("r.__broken IS NULL").select("r.*").drop("__broken"), parsed.where("r.__broken IS NOT NULL").select("file", "line", "value")
 
 
 def scope_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -62,27 +63,24 @@ def unwrap_groups(rows: DataFrame, item: str = "struct<id:bigint,name:string>")
     return parsed.select(F.explode(F.coalesce("f.group.groups", "f.groups")).alias("x")).select("x.*")
 
 
-def tree_schema(depth: int) -> str:
-    """The type of a group node that holds ``depth`` levels below it."""
-    inner = "struct<id:bigint,name:string,sport:string>"
-    for _ in range(depth):
-        inner = f"struct<id:bigint,name:string,sport:string,groups:array<{inner}>>"
-    return inner
+def flatten_tree(rows: DataFrame) -> DataFrame:
+    """(id, name, sport, parent) of all nodes of feeds(json), however deep; of an id the deepest, then last, stays.
 
-
-def flatten_tree(rows: DataFrame, depth: int = 6) -> DataFrame:
-    """(id, name, sport, parent) of the nodes of feeds(json) up to a depth; of an id the deepest, then last, stays."""
-    level = rows.select(F.from_json("json", f"groups array<{tree_schema(depth)}>, `group` struct<groups:array<{tree_schema(depth)}>>").alias("f"))
-    level = level.select(F.lit(None).cast("bigint").alias("parent"), F.explode(F.coalesce("f.group.groups", "f.groups")).alias("n"))
+    Each level's children stay JSON text until their own turn, so the depth need not be known; the loop ends with the first empty level.
+    """
+    node = "struct<id:bigint,name:string,sport:string,groups:array<string>>"
+    top = rows.select(F.monotonically_increasing_id().alias("feed"), F.from_json("json", "groups array<string>, `group` struct<groups:array<string>>").alias("f"))
+    level = top.select("feed", F.lit(None).cast("bigint").alias("parent"), F.posexplode(F.coalesce("f.group.groups", "f.groups")).alias("at", "json"))
+    level = level.select(F.array("feed", "at").alias("path"), "parent", F.from_json("json", node).alias("n"))
     found = []
-    for k in range(depth + 1):
-        found.append(level.select("n.id", "n.name", "n.sport", "parent", F.lit(k).alias("__depth")))
-        if k < depth:
-            level = level.select(F.col("n.id").alias("parent"), F.explode("n.groups").alias("n"))
-    every = found[0]
+    while not (level := level.persist()).isEmpty():
+        found.append(level.select("n.id", "n.name", "n.sport", "parent", F.struct(F.size("path").alias("depth"), "path").alias("__at")))
+        below = level.select("path", F.col("n.id").alias("parent"), F.posexplode("n.groups").alias("at", "json"))
+        level = below.select(F.array_append("path", F.col("at").cast("bigint")).alias("path"), "parent", F.from_json("json", node).alias("n"))
+    every = found[0] if found else level.select("n.id", "n.name", "n.sport", "parent", F.struct(F.size("path").alias("depth"), "path").alias("__at"))
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("id").agg(F.max_by(F.struct("name", "sport", "parent"), "__depth").alias("x")).select("id", "x.*")
+    return every.groupBy("id").agg(F.max_by(F.struct("name", "sport", "parent"), "__at").alias("x")).select("id", "x.*")
 
 
 def offer_filter(kinds: list[int] | None = None, only_main: bool = False, only_competitions: bool = False, live: bool | None = None) -> Column:
@@ -132,10 +130,68 @@ def flat_events(events: DataFrame) -> DataFrame:
     )
 
 
-def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table of an index as Parquet under a folder."""
+def read_coupons(spark: SparkSession, path: str, group_ids: list[int]) -> DataFrame:
+    """coupons(coupon_id, group_id, event_ids, custom, price, tag) of the groups, and their refs in order: files of JSON lines by folder group_id=N."""
+    from lattiq.functions.offering import coupon_events, coupon_price, coupon_refs
+
+    rows = read_json(spark, path, f"{COUPON}, group_id bigint", lines=True).where(F.col("group_id").isin(group_ids))
+    tags = F.coalesce("prePackCouponTags", F.array().cast("array<string>"))
+    return rows.select(
+        F.col("id").alias("coupon_id"),
+        "group_id",
+        coupon_events(F.col("prePackCouponRows")).alias("event_ids"),
+        F.array_contains(tags, "CUSTOM").alias("custom"),
+        coupon_price(F.col("prePackCouponRows"), F.col("prePackCouponBets")).alias("price"),
+        F.try_element_at(tags, F.lit(1)).alias("tag"),
+        coupon_refs(F.col("prePackCouponRows")).alias("refs"),
+    )
+
+
+#: Both grains of a snapshot, each with its offers and events.
+GRAINS = ["competition", "match"]
+
+
+def read_snapshot(spark: SparkSession, path: str) -> dict[str, dict[str, DataFrame]]:
+    """{grain: {offers, events}} of a snapshot file; a missing file or grain gives none."""
+    side = f"struct<betOffers:array<struct<{_fields(OFFER)}>>,events:array<struct<{_fields(EVENT)}>>>"
+    rows = read_json(spark, path, f"competition {side}, `match` {side}")
+    part = lambda grain, name: rows.select(F.explode(f"{grain}.{name}").alias("x")).select("x.*")
+    return {grain: {"offers": part(grain, "betOffers"), "events": part(grain, "events")} for grain in GRAINS}
+
+
+def _fields(schema: str) -> str:
+    """A column list as the fields of a struct."""
+    from pyspark.sql import types as T
+
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+
+
+def write_snapshot(grains: dict[str, dict[str, DataFrame]], path: str) -> None:
+    """One JSON document of one competition and one fixture: small by what it is."""
+    whole = None
+    for grain in GRAINS:
+        for name, column in (("offers", "betOffers"), ("events", "events")):
+            df = grains[grain][name]
+            one = df.agg(F.collect_list(F.struct(*df.columns)).alias(f"{grain}_{column}"))
+            whole = one if whole is None else whole.crossJoin(one)  # one row each
+    both = [F.struct(F.col(f"{g}_betOffers").alias("betOffers"), F.col(f"{g}_events").alias("events")).alias(g) for g in GRAINS]
+    whole.select(*both).coalesce(1).write.mode("overwrite").json(path)
+
+
+def valid_query(text: Column) -> Column:
+    """Whether a request's text may be asked: 1 to 500 characters, not only white space."""
+    return F.coalesce(F.length(text).between(1, 500) & (F.trim(text) != ""), F.lit(False))
+
+
+def write_index(tables: dict[str, DataFrame], path: str, built_at: Column | None = None) -> None:
+    """Each table of an index (etl.build_index) as Parquet under a folder, and ``about``: version, counts and the time it was built."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if name not in ("version", "counts"):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    if "version" in tables:
+        counted = tables["counts"].agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("counts"))
+        about = tables["version"].crossJoin(counted)  # one row each
+        about.withColumn("built_at", F.current_timestamp() if built_at is None else built_at).write.mode("overwrite").json(f"{path}/about")
 
 
 def write_envelopes(envelopes: DataFrame, path: str) -> None:

@@ -34,7 +34,7 @@ def watch_events(spark: SparkSession, path: str, schema: str, play_state: str) -
 
 
 def latest_versions(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """The latest version of each key; on a stream it runs in update mode."""
+    """The latest version of each key, of equal versions the largest row; on a stream it runs in update mode."""
     others = [c for c in rows.columns if c not in (key, version)]
     kept = F.max(F.struct(version, *others)).alias("__latest")
     return rows.groupBy(key).agg(kept).select(key, "__latest.*")
