@@ -300,7 +300,8 @@ class _Segments(dict):
         """Solve what is new in these texts, all at once."""
         if len(self) + len(self.parts) > self.limit:
             self._forget()
-        new = list(set().union(*texts).difference(self))
+        # asked one by one: difference() would walk all that is solved, for every batch
+        new = [x for x in set().union(*texts) if x not in self]
         if not new:
             return
         cut = list(map(self.pattern.findall, new))
