@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,13 @@ DIGEST = T.StructType(
 )
 
 
+def _runs(values: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values from first[k] to first[k + 1] of each k in ``at``, one after the other."""
+    counts = first[at + 1] - first[at]
+    ends = np.cumsum(counts)
+    return values[np.arange(counts.sum()) + np.repeat(first[at] - ends + counts, counts)]
+
+
 class Vocabulary:
     """Pieces with whole-number scores, and the bytes each stands for."""
 
@@ -77,6 +85,8 @@ class Vocabulary:
             bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b""
             for p, _, kind in pieces
         ]
+        self.all_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.first_byte = np.cumsum([0, *map(len, self.bytes)])
         self.longest = max(map(len, self.ids), default=1)
         self.digest = hashlib.sha256(repr(pieces).encode()).digest()
         self.unknown = min((self.scores[k] for k in self.ids.values()), default=0) - 10
@@ -155,7 +165,7 @@ class Vocabulary:
 
     def spelling(self, ids) -> bytes:
         """The bytes that piece ids stand for."""
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return _runs(self.all_bytes, self.first_byte, np.asarray(ids, np.int64)).tobytes()
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
@@ -202,7 +212,9 @@ class _Matcher:
         return best[0][0], np.array(best[0][1], np.int32).tobytes(), best[0][0] - best[1][0] if len(best) > 1 else np.inf
 
     def _many(self, segments: list[str], width: int) -> list[tuple[int, bytes, float]]:
-        n, low = len(segments), -(2**60)
+        n = len(segments)
+        # half the memory wherever sums of scores, and of two that are too low, fit in 32 bits
+        low, whole = (-700_000_000, np.int32) if -width * self.vocabulary.unknown < 345_000_000 else (-(2**60), np.int64)
         codes = np.array(segments, f"U{width}").view(np.uint32).reshape(n, width).astype(np.uint64)
         sizes = np.fromiter(map(len, segments), np.int64, n)
         rows = np.arange(n)
@@ -225,13 +237,13 @@ class _Matcher:
         longest = len(found)
         # by start and length, and by end and falling length: the score of the piece there
         ids = np.full((n, width, longest), -1, np.int32)
-        ending = np.full((n, width + 1, longest), low, np.int64)
-        starting = np.full((n, width, longest), low, np.int64)
+        ending = np.full((n, width + 1, longest), low, whole)
+        starting = np.full((n, width, longest), low, whole)
         starting[:, :, 0] = ending[:, 1:, longest - 1] = self.vocabulary.unknown
         for length, (row, start, own) in enumerate(found, 1):
             ids[row, start, length - 1] = own
             ending[row, start + length, longest - length] = starting[row, start, length - 1] = self.scores[own]
-        ahead = np.full((n, longest + width + 1), low, np.int64)
+        ahead = np.full((n, longest + width + 1), low, whole)
         ahead[:, longest] = 0
         last = np.zeros((n, width + 1), np.int64)
         for end in range(1, width + 1):
@@ -249,9 +261,9 @@ class _Matcher:
             step[own] = ids[own, start, length - 1]
             at[own] = start
             steps.append((step, at.copy()))
-        behind = np.full((n, width + 1 + longest), low, np.int64)
+        behind = np.full((n, width + 1 + longest), low, whole)
         behind[rows, sizes] = 0
-        second = np.full(n, low, np.int64)
+        second = np.full(n, low, whole)
         for start in range(width - 1, -1, -1):
             score = starting[:, start] + behind[:, start + 1 : start + 1 + longest]
             inside = start < sizes
@@ -279,43 +291,62 @@ class _Matcher:
 
 
 class _Segments(dict):
-    """Place of each solved segment in lists: best ids as bytes, best score, loss of the second choice.
+    """Place of each solved segment in arrays: its best ids, best score, loss of the second choice.
 
-    A text is first cut at spaces only. What isn't known of that is cut at marks too, and solved.
+    A text is first cut at spaces only. What isn't known of that is cut at marks too, and solved. Beyond ``limit`` segments
+    those that most texts held stay, half as many at most; the others are solved again when they come back.
     """
 
-    limit = 300_000
+    limit = 600_000
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.matcher, self.pattern = _Matcher(vocabulary), re.compile(vocabulary.segments)
-        self._forget()
+        self.ids, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.scores, self.losses, self.used = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)
+
+    def best(self, at: np.ndarray) -> np.ndarray:
+        """The best ids of the segments at these places, one after the other."""
+        return _runs(self.ids, self.first, at)
+
+    def _add(self, names: list[str], ids: np.ndarray, counts, scores, losses) -> None:
+        self.update(zip(names, range(len(self), len(self) + len(names))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts, dtype=np.int64)])
+        self.scores, self.losses = np.concatenate([self.scores, scores]), np.concatenate([self.losses, losses])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int32)])
 
     def _forget(self) -> None:
+        most = np.argsort(-self.used, kind="stable")[: self.limit // 2]
+        keep = np.sort(most[self.used[most] > 1])
+        names = list(self)  # in the order of their places
+        ids, counts = self.best(keep), np.diff(self.first)[keep]
         self.clear()
-        self.ids: list[bytes] = []
-        self.scores, self.losses = np.empty(0, np.int64), np.empty(0)
-        self.parts: dict[str, tuple[int, bytes, float]] = {}
+        self.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep))))
+        self.ids, self.first = ids, np.concatenate([[0], np.cumsum(counts)])
+        self.scores, self.losses, self.used = self.scores[keep], self.losses[keep], self.used[keep] // 2
 
     def learn(self, texts: list[list[str]]) -> None:
         """Solve what is new in these texts, all at once."""
-        if len(self) + len(self.parts) > self.limit:
+        if len(self) > self.limit:
             self._forget()
         # asked one by one: difference() would walk all that is solved, for every batch
         new = [x for x in set().union(*texts) if x not in self]
         if not new:
             return
         cut = list(map(self.pattern.findall, new))
-        parts = self.parts
-        fresh = list({x for own in cut for x in own if x not in parts})
+        fresh = list({x for own in cut for x in own if x not in self})
         for a in range(0, len(fresh), 8192):
-            parts.update(zip(fresh[a : a + 8192], self.matcher.solve(fresh[a : a + 8192])))
-        first = len(self.ids)
-        solved = [[parts[x] for x in own] for own in cut]
-        self.ids.extend([own[0][1] if len(own) == 1 else b"".join([x[1] for x in own]) for own in solved])
-        scores = np.array([own[0][0] if len(own) == 1 else sum([x[0] for x in own]) for own in solved], np.int64)
-        losses = np.array([own[0][2] if len(own) == 1 else min([x[2] for x in own]) for own in solved], float)
-        self.scores, self.losses = np.concatenate([self.scores, scores]), np.concatenate([self.losses, losses])
-        self.update(zip(new, range(first, len(self.ids))))
+            names = fresh[a : a + 8192]
+            scores, ids, losses = zip(*self.matcher.solve(names))
+            self._add(names, np.frombuffer(b"".join(ids), np.int32), [len(x) // 4 for x in ids], np.array(scores, np.int64), np.array(losses, float))
+        joined = [k for k, own in enumerate(cut) if len(own) > 1]
+        if joined:
+            parts = [cut[k] for k in joined]
+            at = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64)
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            total = lambda x: np.add.reduceat(x[at], starts)
+            self._add([new[k] for k in joined], self.best(at), total(np.diff(self.first)), total(self.scores), np.minimum.reduceat(self.losses[at], starts))
 
 
 def _choices(best: int, losses: np.ndarray, solve, n: int) -> list[tuple[int, dict[int, tuple[int, ...]]]]:
@@ -345,11 +376,14 @@ def _choices(best: int, losses: np.ndarray, solve, n: int) -> list[tuple[int, di
 
 
 class Encoder:
-    """N-best encoding of whole texts; solved segments are kept up to a bound."""
+    """N-best encoding of whole texts; solved segments, and listed ones, are kept up to a bound."""
+
+    most_listed = 20_000
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
         self.vocabulary, self.n = vocabulary, n
         self.solved = _Segments(vocabulary)
+        self.listed: dict[str, list[Hypothesis]] = {}
 
     def split(self, texts: list[str | None]) -> list[list[str]]:
         """The segments of each text, all of them solved."""
@@ -357,21 +391,26 @@ class Encoder:
         self.solved.learn(found)
         return found
 
-    def choices(self, segments: list[str]) -> tuple[list[bytes], list[tuple[int, dict[int, tuple[int, ...]]]]]:
-        """The best ids of each segment as int32 bytes, and (score, {segment: its other ids}) of the n best."""
-        at = np.fromiter(map(self.solved.__getitem__, segments), np.int64, len(segments))
-        solve = lambda k: self.vocabulary.n_best(segments[k], self.n)
-        choices = _choices(int(self.solved.scores[at].sum()), self.solved.losses[at], solve, self.n)
-        return list(map(self.solved.ids.__getitem__, at.tolist())), choices
+    def _n_best(self, segment: str) -> list[Hypothesis]:
+        found = self.listed.get(segment)
+        if found is None:
+            if len(self.listed) >= self.most_listed:
+                self.listed.clear()
+            found = self.listed[segment] = self.vocabulary.n_best(segment, self.n)
+        return found
+
+    def choices(self, segments: list[str]) -> tuple[np.ndarray, list[tuple[int, dict[int, tuple[int, ...]]]]]:
+        """The places of the segments, and (score, {segment: its other ids}) of the n best."""
+        solved = self.solved
+        at = np.fromiter(map(solved.__getitem__, segments), np.int64, len(segments))
+        solved.used[at] += 1  # once for a text, however often it holds the segment
+        return at, _choices(int(solved.scores[at].sum()), solved.losses[at], lambda k: self._n_best(segments[k]), self.n)
 
     def hypotheses(self, segments: list[str]) -> list[Hypothesis]:
         """The n best (score, ids) of a text's segments."""
-        best, choices = self.choices(segments)
-        found = []
-        for score, changed in choices:
-            parts = [np.array(changed[k], np.int32).tobytes() if k in changed else x for k, x in enumerate(best)]
-            found.append((score, tuple(np.frombuffer(b"".join(parts), np.int32).tolist())))
-        return found
+        at, choices = self.choices(segments)
+        best = [self.solved.best(at[k : k + 1]).tolist() for k in range(len(at))]
+        return [(score, tuple(chain.from_iterable(changed.get(k, x) for k, x in enumerate(best)))) for score, changed in choices]
 
     def encode(self, text: str | None) -> list[Hypothesis]:
         """The n best (score, ids) of a text."""
@@ -379,16 +418,16 @@ class Encoder:
 
     def digest(self, text: str | None, segments: list[str]) -> tuple:
         """The row of one text: counts, hashes, scores, and whether every encoding decodes to the text."""
-        best, choices = self.choices(segments)
-        ids = b"".join(best)
-        same = self.vocabulary.decode(np.frombuffer(ids, np.int32).tolist()) == (text or "").replace(SPACE, " ")
-        every = hashlib.sha256(ids)
+        at, choices = self.choices(segments)
+        ids = self.solved.best(at)
+        same = self.vocabulary.decode(ids) == (text or "").replace(SPACE, " ")
+        every = hashlib.sha256(ids.tobytes())
         one = every.hexdigest()
         for score, changed in choices:
             for k, other in changed.items():
                 same &= self.vocabulary.spelling(other) == segments[k].replace(SPACE, " ").encode()
                 every.update(f"{score} {k} {other}".encode())
-        return len(ids) // 4, one, len(choices), [s for s, _ in choices], every.hexdigest(), same
+        return len(ids), one, len(choices), [s for s, _ in choices], every.hexdigest(), same
 
 
 #: Encoders of this process, so that the tasks of a Python worker share what they have solved.

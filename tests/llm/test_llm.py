@@ -194,6 +194,30 @@ def test_pieces_against_all_segmentations():
         assert {v.decode(ids) for _, ids in found} == {text.replace("▁", " ")}
 
 
+def test_pieces_of_long_scores():
+    """Scores whose sums don't fit in 32 bits."""
+    made = [("<0x%02X>" % k, 0.0, "byte") for k in range(256)] + [(p, -1e8 * k, "normal") for k, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a", "aab"], 1)]
+    v = pieces.Vocabulary(made)
+    e = pieces.Encoder(v, 3)
+    for text in ["a", "ab", "aabab", "babaab", "a!b", "bb ab"]:
+        wanted = sorted({x for x in every_segmentation(v, "▁" + text.replace(" ", "▁"))}, key=lambda x: -x[0])
+        assert [s for s, _ in e.encode(text)] == [s for s, _ in wanted[:3]], text
+
+
+def test_pieces_when_solved_segments_are_forgotten(monkeypatch):
+    v = pieces.Vocabulary.load(pieces.MODEL_FILE)
+    texts = [[prose(j % 5, 300) + f" w{j}x, y{j}." for j in range(k, k + 4)] for k in range(12)]
+    rows = lambda e: [(e.digest(t, own), e.hypotheses(own)) for batch in texts for t, own in zip(batch, e.split(batch))]
+    wanted = rows(pieces.Encoder(v))
+    monkeypatch.setattr(pieces._Segments, "limit", 40)
+    monkeypatch.setattr(pieces.Encoder, "most_listed", 2)
+    e = pieces.Encoder(v)
+    assert rows(e) == wanted
+    e.solved._forget()
+    assert 0 < len(e.solved) <= 20 and len(e.solved.first) == len(e.solved) + 1
+    assert list(e.solved.values()) == list(range(len(e.solved)))
+
+
 def test_pieces_against_the_vocabulary():
     """Most words are cut as the vocabulary's own merges cut them."""
     import re
