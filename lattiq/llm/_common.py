@@ -69,8 +69,8 @@ def split_by_keys(rows: DataFrame, own: Column, keys: DataFrame, theirs: Column)
     bits = keys.select(place(theirs).alias("at")).select(F.bitmap_bucket_number("at").alias("__block"), F.bitmap_bit_position("at").alias("bit"))
     bits = cut(bits.repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__bits")))
     at = F.bitmap_bit_position(place(own))
-    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(own)) == F.col("__block"), "left")
-    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(own)) == bits["__block"], "left")
+    byte = F.conv(F.hex(F.substring(bits["__bits"], (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     columns = [rows[f"`{c}`"] for c in rows.columns]
     return marked.where(hit).select(*columns), marked.where(~hit).select(*columns)
@@ -92,25 +92,27 @@ def map_columns(
     """
     small_batches(df.sparkSession)
     names = list(dict.fromkeys([*inputs, *keep]))
-    source = df.select(*[F.col(f"`{c}`") for c in names])
-    kept = [source.schema[c] for c in keep]
-    out = T.StructType(kept if keep_row else kept + list(added.fields))
-    arrow_added = None if keep_row else _arrow(added)
+    # columns travel by place, as a name may hold a dot or be one of the added ones
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    read, passed = [names.index(c) for c in inputs], [names.index(c) for c in keep]
+    kept = [T.StructField(f"k{k}", source.schema[at].dataType) for k, at in enumerate(passed)]
+    new = [] if keep_row else [T.StructField(f"n{k}", f.dataType) for k, f in enumerate(added.fields)]
+    arrow_new = _arrow(T.StructType(new))
+    titles = [f.name for f in kept + new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            columns = [batch.column(names.index(c)).to_pylist() for c in inputs]
-            rows = function(*columns)
-            arrays = [batch.column(names.index(c)) for c in keep]
+            rows = function(*[batch.column(at).to_pylist() for at in read])
+            arrays = [batch.column(at) for at in passed]
             if keep_row:
-                yield pa.RecordBatch.from_arrays(arrays, names=keep).filter(pa.array(rows, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, names=titles).filter(pa.array(rows, pa.bool_()))
                 continue
-            for k, field in enumerate(arrow_added):
+            for k, field in enumerate(arrow_new):
                 arrays.append(pa.array([r[k] for r in rows], field.type))
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + [f.name for f in arrow_added])
+            yield pa.RecordBatch.from_arrays(arrays, names=titles)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, T.StructType(kept + new)).toDF(*keep, *([] if keep_row else added.names))
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
