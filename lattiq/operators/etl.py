@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions import offering
+from lattiq.operators import planner, trees
 from lattiq.operators.planner import first_of
 
 # Names of market buckets, roots of other languages' copies, group nodes that are no countries, ids of other sports.
@@ -42,18 +41,9 @@ def concat_feeds(feeds: list[DataFrame], key: str = "id") -> DataFrame:
     return first_of(every, [key], ["__feed"]).drop("__feed")
 
 
-def walk_tree(spark: SparkSession, nodes: DataFrame, most_depth: int = 32) -> DataFrame:
-    """nodes(id, name, parent) with depth (roots 0), path (ids from the root) and child_count, by a recursive query; deeper trees than ``most_depth`` raise."""
-    view = f"tree_{uuid.uuid4().hex}"  # walks of one session are lazy, so each has a name of its own
-    nodes.createOrReplaceTempView(view)
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk (id, name, parent, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-            SELECT id, name, parent, 0, array(id) FROM {view} WHERE parent IS NULL
-            UNION ALL SELECT n.id, n.name, n.parent, w.depth + 1, array_append(w.path, n.id) FROM {view} n JOIN walk w ON n.parent = w.id)
-            SELECT * FROM walk"""
-    )
-    children = nodes.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("child_count"))
-    return walked.join(children, "id", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+def walk_tree(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """nodes(id, name, parent) with depth (roots 0), path (ids from the root) and child_count; see trees.walk()."""
+    return trees.walk(nodes)
 
 
 def branch_of(path: Column) -> Column:
@@ -62,47 +52,55 @@ def branch_of(path: Column) -> Column:
 
 
 def classify(walked: DataFrame) -> DataFrame:
-    """walked with kind: market (tests, buckets and all below, other languages' copies), group (inner nodes) or competition (leaves)."""
-    marked = walked.withColumn("bucket", F.col("name").isin(MARKET_NAMES + ALIAS_ROOTS) | F.col("name").endswith(" Specials") | is_test_node(F.col("name")))
-    buckets = marked.where("bucket").select(F.col("id").alias("__node"))
-    below = marked.select("id", F.explode("path").alias("__node")).join(buckets, "__node", "left_semi").select("id").distinct().withColumn("__below", F.lit(True))
-    kind = F.when(F.col("__below"), "market").when(F.col("child_count") > 0, "group").otherwise("competition")
-    return marked.join(below, "id", "left").withColumn("kind", kind).drop("__below", "bucket")
+    """walked (of one sport, whose node is the root) with kind: group (the root, and countries: nodes just below it that have children), market (tests,
+    buckets, and other languages' copies with all below them), else competition."""
+    name = F.trim(F.coalesce("name", F.lit("")))
+    copies = walked.where(name.isin(ALIAS_ROOTS)).select(F.col("id").alias("__node"))
+    below = walked.select("id", F.explode("path").alias("__node")).join(copies, "__node", "left_semi").select("id").distinct().withColumn("__copy", F.lit(True))
+    market = F.coalesce("__copy", F.lit(False)) | is_test_node(name) | name.isin(MARKET_NAMES) | name.endswith(" Specials")
+    kind = F.when(F.col("depth") == 0, "group").when(market, "market").when((F.col("depth") == 1) & (F.col("child_count") > 0), "group").otherwise("competition")
+    return walked.join(below, "id", "left").withColumn("kind", kind).drop("__copy")
 
 
-def split_ids(rows: DataFrame, classified: DataFrame, key: str = "id", ids: str = "group_ids") -> DataFrame:
-    """(key, competition_ids, group_ids): a row's node ids by kind, sorted."""
-    each = rows.select(key, F.explode_outer(ids).alias("__node")).join(classified.select(F.col("id").alias("__node"), "kind"), "__node", "left")
-    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("__node"))))
-    return each.groupBy(key).agg(of("competition").alias("competition_ids"), of("group").alias("group_ids"))
+def countries_of(classified: DataFrame) -> DataFrame:
+    """The countries among classified nodes: groups below the root that aren't headings of tournaments."""
+    return classified.where((F.col("depth") == 1) & (F.col("kind") == "group") & ~F.coalesce(F.col("name").isin(NOT_COUNTRIES), F.lit(False)))
 
 
-def home_country(members: DataFrame, walked: DataFrame) -> DataFrame:
-    """(id, country): the country (depth 2) that most of an entity's competitions are under; a tie takes the first counted.
+def home_country(members: DataFrame, classified: DataFrame) -> DataFrame:
+    """(id, country): the country that most of an entity's competitions are under; a tie takes the first counted. members(id, competition_id, ord)."""
+    counted = members.groupBy("id", "competition_id").agg(F.count("*").alias("votes"), F.min("ord").alias("first"))
+    up = classified.where("kind = 'competition' AND depth > 1").select(F.col("id").alias("competition_id"), F.try_element_at("path", F.lit(2)).alias("country"))
+    up = up.join(countries_of(classified).select(F.col("id").alias("country")), "country", "left_semi")
+    votes = counted.join(up, "competition_id").groupBy("id", "country").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"))
+    return first_of(votes, ["id"], [F.desc("votes"), "first", "country"]).select("id", "country")
 
-    members(id, competition_id, ord). Countries are inner group nodes that aren't headings of tournaments.
-    """
-    classified = classify(walked)
-    countries = classified.where((F.col("depth") == 2) & (F.col("child_count") > 0) & (F.col("kind") == "group") & ~F.col("name").isin(NOT_COUNTRIES))
-    up = walked.select(F.col("id").alias("competition_id"), F.try_element_at("path", F.lit(3)).alias("country"))
-    votes = members.join(up, "competition_id").join(countries.select(F.col("id").alias("country")), "country", "left_semi")
-    counted = votes.groupBy("id", "country").agg(F.count("*").alias("votes"), F.min("ord").alias("first"))
-    return first_of(counted, ["id"], [F.desc("votes"), "first", "country"]).select("id", "country")
+
+def united(rows: DataFrame, keys: list[str], arrays: list[str], *more: Column) -> DataFrame:
+    """(keys, arrays, more): the union of the arrays of equal keys, each sorted; the sets are merged before the shuffle. ``more`` are aggregates that repeated rows don't change."""
+    none = F.array().cast("array<bigint>")
+
+    def marked(array: str, k: int) -> Column:
+        return F.transform(F.coalesce(array, none), lambda x: F.struct(F.lit(k).alias("of"), x.alias("item")))
+
+    items = [marked(a, k) for k, a in enumerate(arrays)]
+    each = rows.withColumn("__i", F.explode_outer(F.concat(*items)))
+    return each.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("__i.of") == k, F.col("__i.item")))).alias(a) for k, a in enumerate(arrays)], *more)
 
 
 def merge_keepers(rows: DataFrame, keys: list[Column], unions: list[str]) -> DataFrame:
     """Of rows with equal keys that with the lowest id, its ``unions`` arrays joined with those of the others, sorted."""
     names = [f"__k{k}" for k in range(len(keys))]
     keyed = rows.withColumns(dict(zip(names, keys)))
-    merged = keyed.groupBy(*names).agg(F.min("id").alias("id"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(u)))).alias(u) for u in unions])
+    merged = united(keyed, names, unions, F.min("id").alias("id"))
     own = keyed.select(*[c for c in rows.columns if c not in unions])
     return merged.join(first_of(own, ["id"], ["id"]), "id").select(*rows.columns)
 
 
 def union_players(rows: DataFrame) -> DataFrame:
     """Players over all teams: first club and name seen (ord), arrays joined. rows(id, name, club_id, competition_ids, group_ids, ord)."""
-    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return rows.groupBy("id").agg(F.min_by("name", "ord").alias("name"), F.min_by("club_id", "ord").alias("club_id"), joined("competition_ids"), joined("group_ids"))
+    first = [F.min_by(c, "ord").alias(c) for c in ("name", "club_id")]
+    return united(rows, ["id"], ["competition_ids", "group_ids"], *first).select("id", "name", "club_id", "competition_ids", "group_ids")
 
 
 def backfill_countries(clubs: DataFrame, countries: DataFrame, sport_root: int) -> DataFrame:
@@ -120,34 +118,24 @@ def noise_name(name: Column) -> Column:
     return (F.length(n) <= 1) | F.contains(n, F.lit("  ")) | n.rlike(PERIOD_SUFFIX) | n.rlike(BET_EXPRESSION)
 
 
-def remove_noise(clubs: DataFrame, players: DataFrame, friendlies: DataFrame, individual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Clubs and players without noise, in this order: other sports; without competitions, or friendlies(id) only; doubles merged;
-    players of dropped clubs; names that are bets or placeholders; double players merged; clubs without players.
-    """
-    played = clubs.select("id", F.explode("competition_ids").alias("__c")).join(friendlies.select(F.col("id").alias("__c")), "__c", "left_anti")
-    kept = clubs.where(~F.col("id").isin(OTHER_SPORTS)).join(played.select("id"), "id", "left_semi")
-    kept = merge_keepers(kept, [F.col("name"), F.array_sort("group_ids")], ["competition_ids"])
-    names = kept.select(F.col("id").alias("club_id"), F.col("name").alias("__club"))
-    own = players.join(names, "club_id", "left").where(F.col("__club").isNotNull() | (F.col("club_id").isNull() if individual else F.lit(False)))
-    tail = F.when(F.col("name").startswith(F.col("__club")), F.substring("name", F.length("__club") + 1, F.length("name")))
-    own = own.where(~noise_name(F.col("name")) & ~F.coalesce(tail.rlike(PLACEHOLDER), F.lit(False))).select(*players.columns)
-    own = merge_keepers(own, [F.col("name"), F.col("club_id")], ["competition_ids", "group_ids"])
-    if not individual:
-        kept = kept.join(own.select(F.col("club_id").alias("id")), "id", "left_semi")
-    return kept, own
-
-
 def flatten_feed(feed: DataFrame, individual: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(clubs, players) of a raw feed(participants): teams with members and their members; or top-level participants alone."""
-    rows = feed.select(F.posexplode("participants").alias("ord", "p")).select("ord", "p.*").withColumn("english", offering.english_name(F.col("names")))
-    team = (F.col("type") == "TEAM") & (F.coalesce(F.size("teamMembers"), F.lit(0)) > 0)
-    clubs = rows.where(team).select("id", F.col("english").alias("name"), F.col("groupIds").alias("node_ids"))
-    member = rows.where(team).select("ord", F.col("id").alias("club_id"), F.explode("teamMembers").alias("m")).where("m.type = 'PARTICIPANT'")
-    players = member.select(F.col("m.id").alias("id"), offering.player_name(offering.english_name(F.col("m.names"))).alias("name"), "club_id", F.col("m.groupIds").alias("node_ids"), "ord")
+    """(clubs(id, name, node_ids, ord), players(id, name, club_id, node_ids, ord)) of a raw feed(participants), of which a team listed twice counts once.
+
+    Clubs are teams with members, players their members; of individual sports clubs are all teams and players the participants at the top. A feed of several
+    rows has a column ``page`` that orders them.
+    """
+    page = F.col("page").cast("long") if "page" in feed.columns else F.lit(0).cast("long")
+    rows = feed.select(page.alias("page"), F.posexplode("participants").alias("at", "p")).select(F.struct("page", "at").alias("ord"), "p.*").withColumn("english", offering.english_name(F.col("names")))
+    teams = rows.where("type = 'TEAM'")
+    teams = first_of(teams if individual else teams.where(F.coalesce(F.size("teamMembers"), F.lit(0)) > 0), ["id"], ["ord"])
+    clubs = teams.select("id", F.col("english").alias("name"), F.col("groupIds").alias("node_ids"), "ord")
     if individual:
-        top = rows.where("type = 'PARTICIPANT'")
-        players = top.select("id", offering.player_name(F.col("english")).alias("name"), F.lit(None).cast("long").alias("club_id"), F.col("groupIds").alias("node_ids"), "ord")
-    return clubs, players
+        top = planner.last_of(rows.where("type = 'PARTICIPANT'"), ["id"], ["ord"])
+        own = top.select("id", offering.player_name(F.col("english")).alias("name"), F.lit(None).cast("long").alias("club_id"), F.col("groupIds").alias("node_ids"), F.struct("ord.page", "ord.at", F.lit(0).alias("member")).alias("ord"))
+        return clubs, own
+    member = teams.select("ord", F.col("id").alias("club_id"), F.posexplode("teamMembers").alias("member", "m")).where("m.type = 'PARTICIPANT'")
+    name = offering.player_name(offering.english_name(F.col("m.names")))
+    return clubs, member.select(F.col("m.id").alias("id"), name.alias("name"), "club_id", F.col("m.groupIds").alias("node_ids"), F.struct("ord.page", "ord.at", "member").alias("ord"))
 
 
 def whitelist(walked: DataFrame, referenced: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,28 +205,6 @@ def counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def first_by(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, value) of the first row of each key."""
-    own = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("__n", F.row_number().over(own)).where("__n = 1").select(key, value)
-
-
-def refactor_participants(spark: SparkSession, feed: DataFrame, nodes: DataFrame, sport_root: int, friendlies: DataFrame, individual: bool = False) -> dict[str, DataFrame]:
-    """Clubs and players of a raw feed(participants), ready for the index: names in English, nodes by kind, players of all teams united,
-    national teams of the root given their country, noise removed. nodes(id, name, parent), friendlies(id).
-    """
-    classified = classify(walk_tree(spark, nodes))
-    clubs, players = flatten_feed(feed, individual)
-    own = clubs.select("id", "name").join(split_ids(clubs, classified, "id", "node_ids"), "id")
-    placed = players.select("id", "name", "club_id", "ord", "node_ids")
-    kinds = split_ids(placed.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("node_ids"))).alias("node_ids")), classified, "id", "node_ids")
-    united = union_players(placed.join(kinds, "id").select("id", "name", "club_id", "competition_ids", "group_ids", "ord"))
-    countries = classified.where((F.col("depth") == 2) & (F.col("kind") == "group")).select("id", "name")
-    filled = backfill_countries(own, countries, sport_root)
-    kept, left = remove_noise(filled, united, friendlies, individual)
-    return {"clubs": kept, "players": left}
-
-
 def build_index(walked: DataFrame, clubs: DataFrame, players: DataFrame, gender: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a sport's index: groups and branches that clubs and players refer to, teams, players (of an unknown or known gender, without
     the other's twin competitions), rosters, and counts and version of it all.

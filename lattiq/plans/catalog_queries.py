@@ -14,10 +14,11 @@ from lattiq.streaming import stages
 # ---- sources and trees ----
 
 
-@query("SELECT event_id, src FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY src) AS n FROM (SELECT event_id, 0 AS src FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_id, 1 FROM events WHERE user_id % 3 = 0)) WHERE n = 1")
+@query("SELECT event_id, src FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY src) AS n FROM (SELECT event_id, 0 AS src FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_id, 1 FROM events WHERE user_id % 3 = 0 UNION ALL SELECT event_id, 2 FROM events)) WHERE n = 1")
 def src_first_id_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three feeds of which the last holds every event."""
     rows = read(spark, sf_dir, "events")
-    feeds = [rows.where(f"user_id % {m} = 0").select(F.col("event_id").alias("id"), F.lit(k).alias("src")) for k, m in ((0, 2), (1, 3))]
+    feeds = [rows.where(f"user_id % {m} = 0").select(F.col("event_id").alias("id"), F.lit(k).alias("src")) for k, m in ((0, 2), (1, 3), (2, 1))]
     return etl.concat_feeds(feeds).select(F.col("id").alias("event_id"), "src")
 
 
@@ -43,9 +44,10 @@ def prj_branch_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.select("id", "depth", etl.branch_of(F.col("path")).alias("branch"), "child_count")
 
 
-@query(sql("SELECT id, CASE WHEN name = 'ASIA' OR parent = (SELECT id FROM v_group WHERE name = 'ASIA') OR contains(name, '(TEST') THEN 'market' WHEN child_count > 0 THEN 'group' ELSE 'competition' END AS kind FROM (SELECT w.* REPLACE (CASE WHEN id % 7 = 0 THEN name || ' (TEST)' ELSE name END AS name) FROM w)", GROUPS, _WALK))
+@query(sql("SELECT id, CASE WHEN depth = 0 THEN 'group' WHEN name IN ('ASIA', 'EUROPE') OR parent = (SELECT id FROM v_group WHERE name = 'EUROPE') OR contains(name, '(TEST') THEN 'market' WHEN depth = 1 AND child_count > 0 THEN 'group' ELSE 'competition' END AS kind FROM (SELECT w.* REPLACE (CASE WHEN id % 7 = 0 AND name NOT IN ('ASIA', 'EUROPE') THEN name || ' (TEST)' ELSE name END AS name) FROM w)", GROUPS, _WALK))
 def prj_node_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.when(F.col("id") % 7 == 0, F.concat("name", F.lit(" (TEST)"))).when(F.col("name") == "ASIA", "Specials").otherwise(F.col("name"))
+    """One region is a bucket, another the root of copies, with all below it."""
+    named = F.when(F.col("name") == "ASIA", "Specials").when(F.col("name") == "EUROPE", "Marcatore").when(F.col("id") % 7 == 0, F.concat("name", F.lit(" (TEST)"))).otherwise(F.col("name"))
     return etl.classify(etl.walk_tree(spark, groups(spark, sf_dir)).withColumn("name", named)).select("id", "kind")
 
 
@@ -259,15 +261,14 @@ def agg_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT id, CAST(country AS BIGINT) AS country FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, first, country) AS n FROM (SELECT s_suppkey AS id, 1000 + c_nationkey AS country, count(*) AS votes, min(o_orderkey) AS first FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_orderkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)) WHERE n = 1"))
 def agg_vote_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every nation gets a competition below it, which its customers' orders play in
+    # every nation is a country and gets a competition below it, which its customers' orders play in
     tree = groups(spark, sf_dir)
     leaves = tree.where("id >= 1000").select((F.col("id") + 1000).alias("id"), F.concat("name", F.lit(" League")).alias("name"), F.col("id").alias("parent"))
-    lifted = tree.where("id >= 1000").select("id", "name", F.lit(100).cast("long").alias("parent"))
-    flat = tree.where("id IN (1, 100)").unionByName(lifted).unionByName(leaves)
-    walked = etl.walk_tree(spark, flat)
+    lifted = tree.where("id >= 1000").select("id", "name", F.lit(1).cast("long").alias("parent"))
+    nodes = etl.classify(etl.walk_tree(spark, tree.where("id = 1").unionByName(lifted).unionByName(leaves)))
     pairs = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("event_id")).distinct()
     members = pairs.join(events(spark, sf_dir).select("event_id", "recall_group"), "event_id").select("id", (F.col("recall_group") + 1000).alias("competition_id"), F.col("event_id").alias("ord"))
-    return etl.home_country(members, walked.withColumn("depth", F.col("depth"))).select("id", "country")
+    return etl.home_country(members, nodes).select("id", "country")
 
 
 @query("SELECT min(c_custkey) AS id, list_aggregate(list_sort(list_distinct(flatten(list([c_nationkey, c_custkey % 4])))), 'string_agg', ',') AS competitions FROM customer GROUP BY c_mktsegment, c_nationkey % 3")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from lattiq.functions.offering import bet_phrase, is_main
 from lattiq.operators import assemble, combos, grounding, menu, planner, replay, scope, selecting, subject
 from lattiq.plans import bindings
 from lattiq.sources.plans import read_plans, unreadable
+from lattiq.sources.written import stage
 
 LEG = ["query_id", "leg_idx"]
 #: Legs of a query that ask the same of the same events share a menu.
@@ -67,24 +67,10 @@ def settled_legs(legs: DataFrame, settled: DataFrame, cells: DataFrame, players:
     ).drop("__by_text", "__homes")
 
 
-def _stage(df: DataFrame) -> DataFrame:
-    """A stage's rows, written to the checkpoint folder that the executors share, so that plans stay small.
-
-    A folder of its own is made only where none is named and driver and executors are one process, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattiq-"))
-    return df.checkpoint()
-
-
 def _reworded(ready: DataFrame, cells: DataFrame, decisions: DataFrame, catalog: dict[str, DataFrame], markers: Column) -> DataFrame:
     """(key, phrase, tier, candidates): the cells that a recorded decision words anew, grounded again in their own legs."""
     said = planner.first_of(decisions.where((F.col("pass") == 1) & (F.col("action") == "reexpress")), ["key"], ["phrase"]).select("key", "phrase")
-    again = _stage(cells.join(said, "key").select("key", *LEG, "cell", "text", "phrase"))
+    again = stage(cells.join(said, "key").select("key", *LEG, "cell", "text", "phrase"))
     if again.isEmpty():
         return again.select("key", "phrase").join(cells.select("key", "tier", "candidates").limit(0), "key")
     swaps = again.groupBy(*LEG).agg(F.collect_set(F.struct("cell", "text", "phrase")).alias("__swaps"))
@@ -98,7 +84,7 @@ def _reworded(ready: DataFrame, cells: DataFrame, decisions: DataFrame, catalog:
             "subject_player": worded("player", F.col("subject_player")),
         }
     )
-    found = grounding.ground_legs(legs.drop("__swaps"), catalog, markers, _stage)
+    found = grounding.ground_legs(legs.drop("__swaps"), catalog, markers, stage)
     return again.join(found.withColumnRenamed("text", "phrase"), [*LEG, "cell", "phrase"]).select("key", "phrase", "tier", "candidates")
 
 
@@ -117,12 +103,12 @@ def _combined(bound: DataFrame, fetched: DataFrame, events: DataFrame, kept: Dat
     seen = shown.groupBy("query_id").agg(F.collect_set("event_id").alias("shown_ids"))
     offered = coupons["coupons"].where(F.size("event_ids") > 0)
     picked = groups.join(offered.select("coupon_id", "group_id"), "group_id").select("query_id", "coupon_id").distinct().join(picks, "query_id", "left").join(seen, "query_id", "left")
-    picked = _stage(picked.select("query_id", "coupon_id", *[F.coalesce(c, none).alias(c) for c in ("outcome_ids", "offer_ids", "criterion_ids")], F.coalesce("shown_ids", none).alias("event_ids")))
+    picked = stage(picked.select("query_id", "coupon_id", *[F.coalesce(c, none).alias(c) for c in ("outcome_ids", "offer_ids", "criterion_ids")], F.coalesce("shown_ids", none).alias("event_ids")))
     scores = combos.score_coupons(coupons["refs"], coupons["outcomes"], picked)
     facts = offered.select("coupon_id", "custom", "price", "tag", F.col("event_ids").alias("__events")).dropDuplicates(["coupon_id"])
     on_shown = F.arrays_overlap("__events", "event_ids").alias("on_shown_event")
     rows = scores.join(picked.select("query_id", "coupon_id", "event_ids"), ["query_id", "coupon_id"]).join(facts, "coupon_id")
-    ranked = _stage(combos.rank_coupons(rows.select(*scores.columns, "custom", "price", "tag", on_shown)))
+    ranked = stage(combos.rank_coupons(rows.select(*scores.columns, "custom", "price", "tag", on_shown)))
     shaped = combos.shape_coupons(ranked, coupons["refs"], coupons["outcomes"], picked)
     ordered = shaped.select("query_id", "place", "coupon_id", "price", "tag", "legs")
     return ordered, combos.combination_events(ranked, coupons["refs"], coupons["outcomes"], shown)
@@ -155,18 +141,18 @@ def resolve_stages(
     """
     tables: dict[str, DataFrame] = {}
     every = read_plans(plans).withColumn("subject_player", F.when(F.col("subject_kind") == "player", F.col("subject_name")))
-    every = _stage(every)
-    refused = _stage(unreadable(plans, every))
+    every = stage(every)
+    refused = stage(unreadable(plans, every))
     legs = every.join(refused, "query_id", "left_anti")
-    open_queries = _stage(planner.incomplete(legs).where("incomplete").select("query_id"))
+    open_queries = stage(planner.incomplete(legs).where("incomplete").select("query_id"))
     closed = legs.join(open_queries, "query_id", "left_anti")
-    unknown = _stage(planner.unsupported(closed.select("query_id", "sport").distinct(), sports))
-    ready = _stage(closed.join(unknown.select("query_id"), "query_id", "left_anti"))
+    unknown = stage(planner.unsupported(closed.select("query_id", "sport").distinct(), sports))
+    ready = stage(closed.join(unknown.select("query_id"), "query_id", "left_anti"))
     yield "resolving", tables
-    cells = grounding.ground_legs(ready, catalog, markers, _stage)
-    cells = _stage(cells.withColumn("key", replay.entity_key(F.col("query_id"), F.col("cell"), F.col("text"), F.col("candidates"))))
+    cells = grounding.ground_legs(ready, catalog, markers, stage)
+    cells = stage(cells.withColumn("key", replay.entity_key(F.col("query_id"), F.col("cell"), F.col("text"), F.col("candidates"))))
     tables["cells"] = cells
-    settled = _stage(replay.settle_entities(cells.select("key", "tier", "candidates").dropDuplicates(["key"]), recorded_entities, _reworded(ready, cells, recorded_entities, catalog, markers)))
+    settled = stage(replay.settle_entities(cells.select("key", "tier", "candidates").dropDuplicates(["key"]), recorded_entities, _reworded(ready, cells, recorded_entities, catalog, markers)))
     tables["settled"] = settled
     bound = settled_legs(with_windows(ready, now), settled, cells.select("key", *LEG, "cell", "text"), catalog["players"])
     bound = bound.withColumn("leg_level", F.coalesce("level", F.lit("fixture"))).drop("level")
@@ -174,7 +160,7 @@ def resolve_stages(
     own_side = F.when(F.col("subject_kind") == "either_match_team", F.col("subject_side"))
     bound = bound.withColumns({"own_name": own_name, "own_side": own_side})
     timing = ["window_start", "window_end", "after_hour", "before_hour", "relative", "pick_order", "pick_count"]
-    bound = _stage(planner.signature(bound, ["own_name", "own_side", "subject_id", "leg_level", "competition_id", "stage", "play_state", *timing], ["team_ids"]))
+    bound = stage(planner.signature(bound, ["own_name", "own_side", "subject_id", "leg_level", "competition_id", "stage", "play_state", *timing], ["team_ids"]))
     tables["legs"] = bound
     yield "routing", tables
     members = events.select("event_id", F.explode("members").alias("participant_id")).distinct()
@@ -185,31 +171,31 @@ def resolve_stages(
     inputs = planner.recall_inputs(bound.withColumns({"level": F.col("leg_level"), "concept": F.col("market_concept")})).join(extra, "query_id", "left")
     inputs = inputs.withColumn("participant_ids", F.array_distinct(F.concat("participant_ids", F.coalesce("__squad", F.array().cast(_IDS)))))
     fetched = planner.recall(inputs.withColumn("event_ids", F.array().cast(_IDS)), listed, members)
-    by_query = _stage(fetched.select("query_id", "event_id").distinct())
+    by_query = stage(fetched.select("query_id", "event_id").distinct())
     asks = planner.first_of(bound, GROUP, ["leg_idx"]).select(*GROUP, "leg_level", "competition_id", "play_state", "team_ids", "own_name", "own_side", "subject_id", *timing)
-    asks = _stage(asks)
+    asks = stage(asks)
     pairs = asks.drop("own_name", "own_side", "subject_id").join(by_query, "query_id").join(events, "event_id")
-    kept = _stage(scope.scope_events(pairs, GROUP).select(*GROUP, "event_id"))
+    kept = stage(scope.scope_events(pairs, GROUP).select(*GROUP, "event_id"))
     subjects = asks.select(*GROUP, F.col("own_name").alias("subject_name"), F.col("own_side").alias("subject_side"), "subject_id")
     named = F.struct("participant", "participant_id", F.coalesce("english_label", "outcome_label").alias("label"))
     per_offer = outcomes.join(kept.select("event_id").distinct(), "event_id", "left_semi").groupBy("offer_id", "event_id", "label").agg(F.collect_list(named).alias("outcomes"))
     names = events.select("event_id", "event_name", "home_name", "away_name")
     priced = subject.keep_priced(kept.join(per_offer, "event_id").join(names, "event_id").join(subjects, GROUP)).select(*GROUP, "offer_id", "event_id", "label")
-    offered = _stage(priced.join(outcomes, ["offer_id", "event_id", "label"]))
-    menus = _stage(menu.build_menu(offered, GROUP))
+    offered = stage(priced.join(outcomes, ["offer_id", "event_id", "label"]))
+    menus = stage(menu.build_menu(offered, GROUP))
     tables["menus"] = menus
     yield "disambiguating", tables
     said_by = bet_phrase(F.col("market_concept"), F.col("subject_kind"), F.lit(False) if individual is None else individual)
     phrases = bound.where("market_concept <> 'main'").select(*LEG, "leg_group", said_by.alias("phrase"))
     shown = menus.groupBy(*GROUP).agg(F.collect_set("label").alias("__menu"))
     key = replay.market_key(F.col("phrase"), F.coalesce("__menu", F.array().cast("array<string>")))
-    phrases = _stage(phrases.join(shown, GROUP, "left").withColumn("key", key).drop("__menu"))
-    picks = _stage(replay.pick_markets(phrases, menus.select(*GROUP, "label", "outcome_labels"), recorded_markets, LEG, GROUP))
+    phrases = stage(phrases.join(shown, GROUP, "left").withColumn("key", key).drop("__menu"))
+    picks = stage(replay.pick_markets(phrases, menus.select(*GROUP, "label", "outcome_labels"), recorded_markets, LEG, GROUP))
     mains = offered.where(is_main(F.col("tags")) & F.col("criterion_id").isNotNull()).select(*GROUP, "label").distinct()
     mains = mains.join(bound.where("market_concept = 'main'").select(*LEG, "leg_group"), GROUP)
     chosen = picks.where("label IS NOT NULL").select(*LEG, "leg_group", "label", F.col("outcome_label").alias("outcome_wanted"))
     chosen = chosen.withColumn("only_main", F.lit(False))
-    chosen = _stage(chosen.unionByName(mains.select(*LEG, "leg_group", "label", F.lit(None).cast("string").alias("outcome_wanted"), F.lit(True).alias("only_main"))))
+    chosen = stage(chosen.unionByName(mains.select(*LEG, "leg_group", "label", F.lit(None).cast("string").alias("outcome_wanted"), F.lit(True).alias("only_main"))))
     tables["picks"] = chosen
     yield "searching", tables
     specs = bound.select(
@@ -228,14 +214,14 @@ def resolve_stages(
     rows = offered.join(chosen, [*GROUP, "label"]).where(~F.col("only_main") | main_offer).drop("only_main").join(specs, LEG).join(teams, "event_id")
     side = F.when(F.col("subject_id") == F.col("__home"), "home").when(F.col("subject_id") == F.col("__away"), "away")
     found = selecting.select_outcomes(rows.withColumn("subject_on", side).drop("__home", "__away"), [*LEG, "label"], ["ord", "outcome_id"])
-    found = _stage(found)
+    found = stage(found)
     tables["selection"] = found
     pool = found.where("in_pool")
     facts = pool.select("query_id", "leg_idx", "outcome_id", "is_selected", "offer_id", "event_id", F.struct("label", "criterion_id", "tags").alias("offer"), F.struct("english_label", "participant", "odds", "line").alias("outcome"))
     placed = facts.join(events.select("event_id", F.struct("event_name", "start", "state").alias("event")), "event_id")
-    related = _stage(picks.select(*LEG, "leg_group", F.posexplode("related").alias("rank", "label")))
+    related = stage(picks.select(*LEG, "leg_group", F.posexplode("related").alias("rank", "label")))
     near = offered.join(related.select(*LEG, "leg_group", "label"), [*GROUP, "label"]).join(pool.select(*LEG, "event_id").distinct(), [*LEG, "event_id"], "left_semi")
-    trimmed = _stage(selecting.trim_field(near.join(specs.select(*LEG, "subject", "subject_id"), LEG), [*LEG, "offer_id"], ["ord", "outcome_id"]))
+    trimmed = stage(selecting.trim_field(near.join(specs.select(*LEG, "subject", "subject_id"), LEG), [*LEG, "offer_id"], ["ord", "outcome_id"]))
     listed_once = trimmed.select(*LEG, "label", "offer_id").distinct()
     suggested = assemble.suggestions(related.drop("leg_group"), listed_once, pool.select("query_id", "offer_id").distinct()).select(*LEG, "rank", "label", "offer_id")
     shaped = F.array_sort(F.collect_list(F.struct("ord", "outcome_id", F.struct("english_label", "participant", "odds", "line").alias("outcome"))))

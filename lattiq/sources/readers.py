@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattiq.sources.written import stage
+
 OUTCOME = "struct<id:bigint,label:string,englishLabel:string,participant:string,participantId:bigint,eventParticipantId:bigint,odds:bigint,line:bigint,type:string,homeScore:string,awayScore:string,status:string>"
 OFFER = f"id bigint, eventId bigint, closed string, criterion struct<id:bigint,label:string,englishLabel:string,lifetime:string>, betOfferType struct<id:int,name:string,englishName:string>, tags array<string>, description string, outcomes array<{OUTCOME}>"
 EVENT = "id bigint, name string, englishName string, homeName string, awayName string, start string, originalStartDate string, state string, tags array<string>, `group` string, groupId bigint, sport string, path array<struct<id:bigint,name:string>>, participants array<struct<participantId:bigint,name:string,englishName:string,termKey:string,home:boolean,participantType:string>>"
@@ -72,15 +74,19 @@ def flatten_tree(rows: DataFrame) -> DataFrame:
     top = rows.select(F.monotonically_increasing_id().alias("feed"), F.from_json("json", "groups array<string>, `group` struct<groups:array<string>>").alias("f"))
     level = top.select("feed", F.lit(None).cast("bigint").alias("parent"), F.posexplode(F.coalesce("f.group.groups", "f.groups")).alias("at", "json"))
     level = level.select(F.array("feed", "at").alias("path"), "parent", F.from_json("json", node).alias("n"))
-    found = []
+    found, held = [], []
     while not (level := level.persist()).isEmpty():
+        held.append(level)
         found.append(level.select("n.id", "n.name", "n.sport", "parent", F.struct(F.size("path").alias("depth"), "path").alias("__at")))
         below = level.select("path", F.col("n.id").alias("parent"), F.posexplode("n.groups").alias("at", "json"))
         level = below.select(F.array_append("path", F.col("at").cast("bigint")).alias("path"), "parent", F.from_json("json", node).alias("n"))
     every = found[0] if found else level.select("n.id", "n.name", "n.sport", "parent", F.struct(F.size("path").alias("depth"), "path").alias("__at"))
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("id").agg(F.max_by(F.struct("name", "sport", "parent"), "__at").alias("x")).select("id", "x.*")
+    flat = stage(every.groupBy("id").agg(F.max_by(F.struct("name", "sport", "parent"), "__at").alias("x")).select("id", "x.*"))
+    for own in [*held, level]:
+        own.unpersist()
+    return flat
 
 
 def offer_filter(kinds: list[int] | None = None, only_main: bool = False, only_competitions: bool = False, live: bool | None = None) -> Column:

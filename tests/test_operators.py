@@ -240,11 +240,6 @@ def test_guarded_picks(spark):
 
 
 def test_catalog_preparation(spark):
-    clubs = spark.createDataFrame([(1, "A", [10], [100]), (2, "A", [11], [100]), (3, "B", [12], [100]), (4, "C", [], [100]), (5, "D", [10], [100]), (1000011657, "R", [10], [100])], "id long, name string, competition_ids array<long>, group_ids array<long>")
-    players = spark.createDataFrame([(20, "P One", 1, [10], [100]), (21, "P One", 1, [11], [101]), (22, "A #12", 1, [10], [100]), (23, "X", 1, [10], [100]), (24, "Q Two", 3, [12], [100])], "id long, name string, club_id long, competition_ids array<long>, group_ids array<long>")
-    kept, own = etl.remove_noise(clubs, players, spark.createDataFrame([(12,)], "id long"))
-    assert {r.id: r.competition_ids for r in kept.collect()} == {1: [10, 11]}
-    assert {r.id: (r.competition_ids, r.group_ids) for r in own.collect()} == {20: ([10, 11], [100, 101])}
     feed = spark.read.schema(readers.FEED).json(
         spark.sparkContext.parallelize(['{"participants":[{"id":1,"type":"TEAM","names":[{"locale":"en_GB","name":"T"}],"groupIds":[5],"teamMembers":[{"id":9,"type":"PARTICIPANT","names":[{"locale":"sv","name":"Doe, Jo (USA)"}],"groupIds":[5]}]},{"id":2,"type":"TEAM","names":[],"groupIds":[]}]}'])
     )
