@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions import offering, text
-from lattiq.operators import assemble, combos, etl, evaluation, grounding, menu, planner, replay, scope
+from lattiq.operators import assemble, combos, etl, evaluation, fetch, grounding, menu, planner, replay, scope
 from lattiq.plans import pipeline
 from lattiq.plans.bindings import EVENTS, FOLD, GROUPS, OUTCOMES, content, events, groups, outcomes, query, read, sql, values
 from lattiq.streaming import stages
@@ -473,6 +473,30 @@ def cmp_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.answers(spark, sf_dir)
 
 
+@query(f"SELECT * FROM ({pipeline.ANSWERS_SQL}) WHERE query_id NOT IN ('a1', 'a4')")
+def cmp_capped_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from a source that gives three offers at most for each request; a1 and a4 ask by team, which no finer request completes."""
+    return pipeline.answers(spark, sf_dir, cap=3, without=("a1", "a4"))
+
+
+_FETCHED = """asked(query_id, group_id, lvl, state_of) AS (VALUES ('f1', 1005, 'fixture', 'live'), ('f2', 1011, NULL, NULL), ('f2', 1020, NULL, NULL), ('f3', 1007, 'competition', 'prematch')),
+ fo AS (SELECT query_id, e.group_id, e.event_id, o.offer_id FROM asked a JOIN v_event e ON e.group_id = a.group_id JOIN (SELECT DISTINCT event_id, offer_id FROM v_outcome) o ON o.event_id = e.event_id
+ WHERE (lvl IS NULL OR e.level IS NULL OR e.level = lvl) AND CASE state_of WHEN 'live' THEN state IS DISTINCT FROM 'NOT_STARTED' WHEN 'prematch' THEN state IS NOT DISTINCT FROM 'NOT_STARTED' ELSE true END),
+ al AS (SELECT query_id, a.group_id, count(DISTINCT o.offer_id) AS total FROM asked a JOIN v_event e ON e.group_id = a.group_id JOIN v_outcome o ON o.event_id = e.event_id GROUP BY ALL)"""
+
+
+@query(sql("SELECT query_id, event_id, offer_id FROM fo JOIN al USING (query_id, group_id) WHERE total > 3", EVENTS, OUTCOMES, _FETCHED))
+def flt_capped_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every offer of the groups' events that may fit, though each answer holds three at most."""
+    asked = [("f1", [1005], ["fixture"], "live"), ("f2", [1011, 1020], [], None), ("f3", [1007], ["competition"], "prematch")]
+    none = F.array().cast("array<bigint>")
+    inputs = spark.createDataFrame(asked, "query_id string, group_ids array<long>, levels array<string>, play_state string").withColumns({"event_ids": none, "participant_ids": none})
+    known = events(spark, sf_dir)
+    offers = outcomes(spark, sf_dir).select("offer_id", "event_id", "offer_type").distinct().join(known.select("event_id", "group_id"), "event_id")
+    members = known.select("event_id", F.col("home_id").alias("participant_id"))
+    return fetch.fetch(inputs, offers, known.select("event_id", "group_id", "level", "state", "start"), members, cap=3)["offers"]
+
+
 @query("SELECT * FROM (VALUES (0, 'resolving'), (1, 'routing'), (2, 'disambiguating'), (3, 'searching'), (4, 'done')) AS t(position, stage)")
 def stm_stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = [(k, name) for k, (name, _) in enumerate(stages.run(lambda: pipeline.answer_samples(spark, sf_dir)))]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import text, timewin
 from lattiq.functions.offering import bet_phrase, is_main
-from lattiq.operators import assemble, combos, grounding, menu, planner, replay, scope, selecting, subject
+from lattiq.operators import assemble, combos, fetch, grounding, menu, planner, replay, scope, selecting, subject
 from lattiq.plans import bindings
 from lattiq.sources.plans import read_plans, unreadable
 from lattiq.sources.written import stage
@@ -21,6 +21,16 @@ GROUP = ["query_id", "leg_group"]
 _IDS = "array<bigint>"
 
 
+def with_starts(legs: DataFrame, editions: DataFrame, now: Column) -> DataFrame:
+    """Legs with tournament_start: of their competition's editions(competition_id, starts, ends) the first that starts at now or later, else the
+    last that runs now; null without either."""
+    at = now.cast("timestamp_ntz")
+    runs = (F.col("starts") <= at) & F.coalesce(F.col("ends") >= at, F.lit(True))
+    ahead, running = F.min(F.when(F.col("starts") >= at, F.col("starts"))), F.max(F.when(runs, F.col("starts")))
+    known = editions.groupBy("competition_id").agg(F.coalesce(ahead, running).alias("tournament_start"))
+    return legs.join(known, "competition_id", "left")
+
+
 def with_windows(legs: DataFrame, now: Column, tournament_start: Column | None = None) -> DataFrame:
     """Legs with window_start, window_end, after_hour, before_hour, relative and time_unresolved.
 
@@ -128,13 +138,17 @@ def resolve_stages(
     coupons: dict[str, DataFrame] | None = None,
     fetches: DataFrame | None = None,
     individual: Column | None = None,
+    cap: int | None = None,
+    pinned: DataFrame | None = None,
+    editions: DataFrame | None = None,
 ) -> Iterator[tuple[str, dict[str, DataFrame]]]:
     """(stage, tables so far), each as soon as its rows are written; after ``done``, ``envelopes`` holds one answer for each query of plans.
 
     plans(query_id, plan as JSON); catalog as in grounding; events(event_id, event_name, home_name, away_name, start, state, level, group_id, teams, members);
     outcomes as in select_outcomes() with event_id, offer_id, label, criterion_id, tags and ord; coupons as in _combined();
     fetches as in planner.fetch_flags(), if the data came from requests that may be cut or fail; individual: whether a sport is one of single
-    players. Recorded decisions are looked up by replay.market_key() and replay.entity_key().
+    players; cap: the most offers that an answer of the source holds, beyond which fetch.fetch() asks on; pinned(query_id, event_id): fixtures that a
+    query names itself; editions(competition_id, starts, ends) as in with_starts(). Recorded decisions are looked up by replay.market_key() and replay.entity_key().
 
     A plan that can't be read, or holds a leg that no plan may, gets the clarification ``invalid_plan``; one that names nothing
     ``incomplete``; else one of a sport that isn't known ``unsupported_sport``.
@@ -154,7 +168,11 @@ def resolve_stages(
     tables["cells"] = cells
     settled = stage(replay.settle_entities(cells.select("key", "tier", "candidates").dropDuplicates(["key"]), recorded_entities, _reworded(ready, cells, recorded_entities, catalog, markers)))
     tables["settled"] = settled
-    bound = settled_legs(with_windows(ready, now), settled, cells.select("key", *LEG, "cell", "text"), catalog["players"])
+    bound = settled_legs(ready, settled, cells.select("key", *LEG, "cell", "text"), catalog["players"])
+    if editions is None:
+        bound = with_windows(bound, now)
+    else:
+        bound = with_windows(with_starts(bound, editions, now), now, F.col("tournament_start")).drop("tournament_start")
     bound = bound.withColumn("leg_level", F.coalesce("level", F.lit("fixture"))).drop("level")
     own_name = F.when(F.col("subject_kind").isin("player", "team"), F.col("subject_name"))
     own_side = F.when(F.col("subject_kind") == "either_match_team", F.col("subject_side"))
@@ -170,7 +188,18 @@ def resolve_stages(
     extra = wide.join(squads, "owner_id").groupBy("query_id").agg(F.collect_set("player_id").alias("__squad"))
     inputs = planner.recall_inputs(bound.withColumns({"level": F.col("leg_level"), "concept": F.col("market_concept")})).join(extra, "query_id", "left")
     inputs = inputs.withColumn("participant_ids", F.array_distinct(F.concat("participant_ids", F.coalesce("__squad", F.array().cast(_IDS)))))
-    fetched = planner.recall(inputs.withColumn("event_ids", F.array().cast(_IDS)), listed, members)
+    named = F.array().cast(_IDS)
+    if pinned is not None:
+        inputs = inputs.join(pinned.groupBy("query_id").agg(F.array_sort(F.collect_set("event_id")).alias("__named")), "query_id", "left")
+        named = F.coalesce("__named", named)
+    inputs = inputs.withColumn("event_ids", named)
+    if cap is None:
+        fetched = planner.recall(inputs, listed, members)
+    else:
+        typed = outcomes.select("offer_id", "event_id", F.col("offer_type")).distinct().join(events.select("event_id", "group_id"), "event_id")
+        answers_of = fetch.fetch(inputs, typed, events, members, cap)
+        fetched, fetches = answers_of["offers"], fetch.flags(answers_of["log"])
+        tables["fetches"] = answers_of["log"]
     by_query = stage(fetched.select("query_id", "event_id").distinct())
     asks = planner.first_of(bound, GROUP, ["leg_idx"]).select(*GROUP, "leg_level", "competition_id", "play_state", "team_ids", "own_name", "own_side", "subject_id", *timing)
     asks = stage(asks)
@@ -181,6 +210,8 @@ def resolve_stages(
     per_offer = outcomes.join(kept.select("event_id").distinct(), "event_id", "left_semi").groupBy("offer_id", "event_id", "label").agg(F.collect_list(named).alias("outcomes"))
     names = events.select("event_id", "event_name", "home_name", "away_name")
     priced = subject.keep_priced(kept.join(per_offer, "event_id").join(names, "event_id").join(subjects, GROUP)).select(*GROUP, "offer_id", "event_id", "label")
+    if cap is not None:
+        priced = priced.join(fetched.select("query_id", "offer_id"), ["query_id", "offer_id"], "left_semi")
     offered = stage(priced.join(outcomes, ["offer_id", "event_id", "label"]))
     menus = stage(menu.build_menu(offered, GROUP))
     tables["menus"] = menus
@@ -248,7 +279,7 @@ def resolve_stages(
     )
     unsettled = cells.join(settled.where("id IS NULL"), "key").select("query_id", F.lit("clarification").alias("kind"), "leg_idx", F.col("question").alias("code")).distinct()
     # where nothing is known to fetch, the question is all there is to say
-    idle = inputs.where((F.size("participant_ids") == 0) & (F.size("group_ids") == 0)).select("query_id").join(unsettled, "query_id", "left_semi")
+    idle = inputs.where((F.size("participant_ids") == 0) & (F.size("group_ids") == 0) & (F.size("event_ids") == 0)).select("query_id").join(unsettled, "query_id", "left_semi")
     said = assemble.notes(state.join(idle, "query_id", "left_anti")).unionByName(unsettled)
     gates = [(refused, F.col("code")), (unknown, F.lit("unsupported_sport")), (open_queries, F.lit("incomplete"))]
     for rows_of, code in gates:
@@ -269,7 +300,8 @@ def resolve(*inputs, **more) -> dict[str, DataFrame]:
     return tables
 
 
-#: Queries over the test tables: query_id, gate (what they are stopped by), team, competition, play_state, level, market, line, odds_min.
+#: Queries over the test tables: query_id, gate (what they are stopped by), team, competition, play_state, level, market, line, odds_min. Those of OPENING ask for
+#: the weekend that their competition's edition opens with.
 SAMPLES = [
     ("a1", None, "Customer#000000007", None, None, "fixture", "ECONOMY", 20.5, None),
     ("a2", None, None, "NATION_7", "live", "fixture", "STANDARD", 10.0, 60.0),
@@ -277,6 +309,8 @@ SAMPLES = [
     ("a4", None, "customer 000000011", None, "prematch", "fixture", "MEDIUM", None, 5.0),
     ("a5", None, None, "NATION_20", None, "fixture", "MEDIUM", 33.0, 1000000.0),
     ("a6", None, None, "NATION_5", None, "fixture", "throw-ins", None, None),
+    ("a7", None, None, "NATION_9", None, "fixture", "PROMO", None, None),
+    ("a8", None, None, "NATION_14", "prematch", "fixture", "STANDARD", None, None),
     ("b1", "unsupported_sport", "Customer#000000007", None, None, "fixture", "ECONOMY", None, None),
     ("b2", "incomplete", None, None, None, "fixture", "ECONOMY", None, None),
     ("b3", "invalid_plan", "Customer#000000007", None, None, "fixture", "ECONOMY", None, None),
@@ -285,6 +319,9 @@ SAMPLES = [
 ]
 
 
+OPENING = ["a7", "a8"]
+
+
 def sample_queries(spark: SparkSession) -> DataFrame:
     """(query_id, plan) of SAMPLES: b3 has a soft subject of one kind, b4 isn't JSON."""
     rows = []
@@ -293,6 +330,7 @@ def sample_queries(spark: SparkSession) -> DataFrame:
         leg = {"subject": subject_of, "market_concept": market, "level": level, "teams": [team] if team else [], "competition": competition, "play_state": state}
         leg |= {"line": str(line)} if line is not None else {}
         leg |= {"odds": {"min": low}} if low is not None else {}
+        leg |= {"time": {"date_window": "weekend", "anchor": "tournament"}} if name in OPENING else {}
         plan = json.dumps({"status": "ok", "sport": "golf" if gate == "unsupported_sport" else "football", "otherSports": ["tennis"] if name == "a1" else [], "selectors": [leg]})
         rows.append((name, "{not json" if name == "b4" else plan))
     return spark.createDataFrame(rows, "query_id string, plan string")
@@ -318,18 +356,26 @@ def table_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
     return catalog, known, bindings.outcomes(spark, sf_dir).withColumn("ord", F.col("outcome_id"))
 
 
-def answer_samples(spark: SparkSession, sf_dir: str) -> Iterator[tuple[str, dict[str, DataFrame]]]:
-    """resolve_stages() of SAMPLES over the test tables, without recorded decisions."""
+def table_editions(events: DataFrame) -> DataFrame:
+    """editions(competition_id, starts, ends): a competition's events of one year."""
+    known = events.where("group_id IS NOT NULL AND start IS NOT NULL")
+    return known.groupBy(F.col("group_id").alias("competition_id"), F.year("start").alias("year")).agg(F.min("start").alias("starts"), F.max("start").alias("ends")).drop("year")
+
+
+def answer_samples(spark: SparkSession, sf_dir: str, cap: int | None = None, without: tuple[str, ...] = ()) -> Iterator[tuple[str, dict[str, DataFrame]]]:
+    """resolve_stages() of SAMPLES (``without`` some) over the test tables, without recorded decisions."""
     catalog, known, offered = table_inputs(spark, sf_dir)
     markets = spark.createDataFrame([], "key string, label string, match string, outcome_label string, related array<string>")
     entities = spark.createDataFrame([], "key string, pass int, action string, id long, phrase string, question string")
     sports, now = spark.createDataFrame([("football",)], "sport string"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    return resolve_stages(spark, sample_queries(spark), catalog, known, offered, markets, entities, sports, now, F.create_map(F.lit("u21"), F.lit("u21")))
+    markers = F.create_map(F.lit("u21"), F.lit("u21"))
+    plans = sample_queries(spark).where(~F.col("query_id").isin(*without)) if without else sample_queries(spark)
+    return resolve_stages(spark, plans, catalog, known, offered, markets, entities, sports, now, markers, cap=cap, editions=table_editions(known))
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers(spark: SparkSession, sf_dir: str, cap: int | None = None, without: tuple[str, ...] = ()) -> DataFrame:
     """What resolve() answers to SAMPLES: one row for each, with the sizes of its results and the selected outcomes."""
-    for _, tables in answer_samples(spark, sf_dir):
+    for _, tables in answer_samples(spark, sf_dir, cap, without):
         pass
     offers = F.flatten(F.transform("results", lambda r: r["highlighted"]))
     held = F.flatten(F.transform(offers, lambda h: h["outcomes"]))
@@ -344,9 +390,13 @@ def _answers_sql() -> str:
     asked = bindings.values(SAMPLES, "q(query_id, gate, team, comp, play_state, lvl, want, line_num, odds_min)", ["VARCHAR"] * 7 + ["DOUBLE", "DOUBLE"])
     steps = [
         """lg AS (SELECT q.*, c_custkey AS team_id, n_nationkey + 1000 AS comp_id FROM q LEFT JOIN customer ON replace(lower(c_name), '#', ' ') = replace(lower(team), '#', ' ') LEFT JOIN nation ON n_name = comp WHERE gate IS NULL)""",
-        """ev AS (SELECT lg.*, e.event_id, e.level FROM lg JOIN v_event e ON CASE WHEN team IS NOT NULL THEN team_id IN (home_id, away_id) ELSE e.group_id = comp_id END
+        """ed AS (SELECT comp_id, date_trunc('day', d) + CASE dayofweek(d) WHEN 6 THEN 0 WHEN 0 THEN -1 ELSE 6 - dayofweek(d) END * INTERVAL 1 DAY AS saturday FROM (
+ SELECT group_id AS comp_id, coalesce(min(starts) FILTER (starts >= TIMESTAMP '1998-01-01'), max(starts) FILTER (starts <= TIMESTAMP '1998-01-01' AND ends >= TIMESTAMP '1998-01-01')) AS d
+ FROM (SELECT group_id, min(start) AS starts, max(start) AS ends FROM v_event WHERE group_id IS NOT NULL AND start IS NOT NULL GROUP BY group_id, year(start)) GROUP BY 1))""",
+        """ev AS (SELECT lg.*, e.event_id, e.level FROM lg LEFT JOIN ed USING (comp_id) JOIN v_event e ON CASE WHEN team IS NOT NULL THEN team_id IN (home_id, away_id) ELSE e.group_id = comp_id END
  WHERE (e.level IS NULL OR e.level = lvl) AND (comp_id IS NULL OR e.group_id IS NULL OR e.group_id = comp_id)
- AND CASE play_state WHEN 'live' THEN state IS DISTINCT FROM 'NOT_STARTED' WHEN 'prematch' THEN state IS NOT DISTINCT FROM 'NOT_STARTED' ELSE true END AND (lvl <> 'fixture' OR team_id IS NULL OR len(teams) = 0 OR list_contains(teams, team_id)))""",
+ AND CASE play_state WHEN 'live' THEN state IS DISTINCT FROM 'NOT_STARTED' WHEN 'prematch' THEN state IS NOT DISTINCT FROM 'NOT_STARTED' ELSE true END AND (lvl <> 'fixture' OR team_id IS NULL OR len(teams) = 0 OR list_contains(teams, team_id))
+ AND (query_id NOT IN ('a7', 'a8') OR saturday IS NULL OR start IS NULL OR (start >= saturday - INTERVAL 6 HOUR AND start < saturday + INTERVAL 2 DAY)))""",
         "ofr AS (SELECT query_id, want, line_num, odds_min, o.* FROM ev JOIN v_outcome o USING (event_id))",
         "pk AS (SELECT DISTINCT query_id, label FROM ofr WHERE criterion_id IS NOT NULL AND CASE WHEN want = 'main' THEN list_contains(tags, 'MAIN') ELSE label = want END)",
         """rw AS (SELECT *, odds IS NULL OR odds_min IS NULL OR odds / 1000.0 >= odds_min AS pool, CASE WHEN sided >= 2 AND smin = smax AND kind = 'OT_TWO' THEN -line / 1000.0 ELSE line / 1000.0 END AS eff FROM (
