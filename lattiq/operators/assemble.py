@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.operators.planner import last_of
@@ -107,3 +107,33 @@ def envelopes(
     lists = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in out.schema if f.dataType.typeName() == "array"}
     return out.withColumns({**lists, "clarification": F.nullif(F.col("clarification"), F.lit(""))})
 
+
+#: Bytes of an answer's part, and what a row has besides its text.
+PART_BYTES, ROW_BYTES = 4 << 20, 40
+
+
+def row_bytes(*texts: Column) -> Column:
+    """About how many bytes a row takes: a fixed part, and its texts."""
+    return sum((F.coalesce(F.octet_length(x), F.lit(0)) for x in texts), F.lit(ROW_BYTES)).cast("long")
+
+
+def in_parts(rows: DataFrame, size: Column, bound: int = PART_BYTES) -> DataFrame:
+    """rows(query_id, event_id, outcome_id, ...) with part: from 0, in the order of event and outcome, each of ``bound`` bytes or less and one row.
+
+    Sizes are summed by event first, and the sums in front of an event are counted over events alone, so that no task holds the rows of a
+    query; only those of one event are put in order together.
+    """
+    sized = rows.withColumn("__size", size)
+    events = sized.groupBy("query_id", "event_id").agg(F.sum("__size").alias("__all"))
+    ahead = F.sum("__all").over(Window.partitionBy("query_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    events = events.select(F.col("query_id").alias("__q"), F.col("event_id").alias("__e"), F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    within = F.sum("__size").over(Window.partitionBy("query_id", "event_id").orderBy("outcome_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sized.withColumn("__within", F.coalesce(within, F.lit(0))).join(events, (F.col("query_id") == F.col("__q")) & (F.col("event_id") == F.col("__e")))
+    return placed.withColumn("part", F.floor((F.col("__ahead") + F.col("__within")) / bound)).drop("__q", "__e", "__ahead", "__within", "__size")
+
+
+def answer_parts(rows: DataFrame, size: Column, bound: int = PART_BYTES) -> DataFrame:
+    """(query_id, part, rows): the rows of each query's answer as arrays of bounded size, which only a writer joins."""
+    fields = [c for c in rows.columns if c != "query_id"]
+    ordered = F.struct("event_id", "outcome_id", *[c for c in fields if c not in ("event_id", "outcome_id")])
+    return in_parts(rows, size, bound).groupBy("query_id", "part").agg(F.array_sort(F.collect_list(ordered)).alias("rows"))

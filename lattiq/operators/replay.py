@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions.offering import cache_key
 from lattiq.operators.menu import guard_pick, lexical_pick
 from lattiq.operators.planner import first_of
+from lattiq.sources.written import stage
 
 
 def request_key(kind: str, *fields: Column) -> Column:
@@ -37,6 +38,40 @@ def misses(requests: DataFrame, recorded: DataFrame) -> DataFrame:
     return requests.join(recorded.select("key"), "key", "left_anti").groupBy("key").agg(F.min("kind").alias("kind"), F.min("input").alias("input"))
 
 
+LEDGER = "key string, kind string, input string, output string"
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, key, kind, input, output) of a ledger, each key once: a decision comes before a request without one, then the first batch counts."""
+    rows = _batches(spark, path)
+    return first_of(rows, ["key"], [F.col("output").isNull(), "batch"])
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(f"{LEDGER}, batch long").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], f"{LEDGER}, batch long")
+        raise
+
+
+def record(spark: SparkSession, path: str, rows: DataFrame, batch: int) -> None:
+    """Add rows(key, kind, input[, output]) to a ledger as a batch: the keys that no other batch holds, and decisions of those that hold none.
+
+    A batch is a folder that is written whole, so that the same batch again replaces itself, and a run that repeats adds nothing. What
+    was once decided stays, whatever a later batch says.
+    """
+    given = rows if "output" in rows.columns else rows.withColumn("output", F.lit(None).cast("string"))
+    own = given.groupBy("key").agg(F.min("kind").alias("kind"), F.min("input").alias("input"), F.min("output").alias("output"))
+    others = _batches(spark, path).where(F.col("batch") != batch)
+    known = others.groupBy("key").agg(F.max(F.col("output").isNotNull()).alias("decided"))
+    fresh = own.join(known, "key", "left").where(F.col("decided").isNull() | (~F.col("decided") & F.col("output").isNotNull())).drop("decided")
+    stage(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def pick_markets(phrases: DataFrame, labels: DataFrame, recorded: DataFrame, keys: list[str], menu_keys: list[str]) -> DataFrame:
     """A market for each phrase: the recorded pick, else the lexical one; both only if the menu allows them.
 

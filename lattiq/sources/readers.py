@@ -153,53 +153,13 @@ def read_coupons(spark: SparkSession, path: str, group_ids: list[int]) -> DataFr
     )
 
 
-#: Both grains of a snapshot, each with its offers and events.
-GRAINS = ["competition", "match"]
-
-
-def read_snapshot(spark: SparkSession, path: str) -> dict[str, dict[str, DataFrame]]:
-    """{grain: {offers, events}} of a snapshot file; a missing file or grain gives none."""
-    side = f"struct<betOffers:array<struct<{_fields(OFFER)}>>,events:array<struct<{_fields(EVENT)}>>>"
-    rows = read_json(spark, path, f"competition {side}, `match` {side}")
-    part = lambda grain, name: rows.select(F.explode(f"{grain}.{name}").alias("x")).select("x.*")
-    return {grain: {"offers": part(grain, "betOffers"), "events": part(grain, "events")} for grain in GRAINS}
-
-
-def _fields(schema: str) -> str:
-    """A column list as the fields of a struct."""
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
-
-
-def write_snapshot(grains: dict[str, dict[str, DataFrame]], path: str) -> None:
-    """One JSON document of one competition and one fixture: small by what it is."""
-    whole = None
-    for grain in GRAINS:
-        for name, column in (("offers", "betOffers"), ("events", "events")):
-            df = grains[grain][name]
-            one = df.agg(F.collect_list(F.struct(*df.columns)).alias(f"{grain}_{column}"))
-            whole = one if whole is None else whole.crossJoin(one)  # one row each
-    both = [F.struct(F.col(f"{g}_betOffers").alias("betOffers"), F.col(f"{g}_events").alias("events")).alias(g) for g in GRAINS]
-    whole.select(*both).coalesce(1).write.mode("overwrite").json(path)
-
-
 def valid_query(text: Column) -> Column:
     """Whether a request's text may be asked: 1 to 500 characters, not only white space."""
     return F.coalesce(F.length(text).between(1, 500) & (F.trim(text) != ""), F.lit(False))
 
 
-def write_index(tables: dict[str, DataFrame], path: str, built_at: Column | None = None) -> None:
-    """Each table of an index (etl.build_index) as Parquet under a folder, and ``about``: version, counts and the time it was built."""
-    for name, df in tables.items():
-        if name not in ("version", "counts"):
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-    if "version" in tables:
-        counted = tables["counts"].agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("counts"))
-        about = tables["version"].crossJoin(counted)  # one row each
-        about.withColumn("built_at", F.current_timestamp() if built_at is None else built_at).write.mode("overwrite").json(f"{path}/about")
-
-
-def write_envelopes(envelopes: DataFrame, path: str) -> None:
-    """One JSON line for each answer, in folders by batch."""
-    envelopes.write.mode("overwrite").partitionBy("batch").json(path)
+def write_envelopes(envelopes: DataFrame, path: str, parts: DataFrame | None = None) -> None:
+    """One JSON line for each answer, in folders by batch; of answers in parts (assemble.answer_parts) a line for each part, in folders by query, in ``parts``."""
+    envelopes.write.mode("overwrite").partitionBy("batch").json(f"{path}/answers")
+    if parts is not None:
+        parts.write.mode("overwrite").partitionBy("query_id").json(f"{path}/parts")
