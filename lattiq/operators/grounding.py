@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import text
-from lattiq.operators.menu import cover, token_table
+from lattiq.operators.matching import covers, holding_all
+from lattiq.sources.written import stage
 
 #: Candidates of a text; covers from which a name holds (almost) all or enough of it; how many times larger a rival's roster must be.
 TOP_K = 5
@@ -58,15 +59,6 @@ def _aliased(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return texts.withColumn("__key", text.fold(F.col("text"))).join(lookup, "__key", "left").withColumn("wording", F.coalesce("__value", "text")).drop("__key", "__value")
 
 
-def _covers(texts: DataFrame, keys: list[str], names: DataFrame, wording: str = "wording") -> DataFrame:
-    """(keys, id, cover) of the names(id, name) that share a content token with the wording."""
-    held = token_table(names, "name", ["id"])
-    weights = held.groupBy("token").agg(F.count("*").alias("df"))
-    n = names.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    wanted = token_table(texts, wording, keys).join(F.broadcast(n))  # one row
-    return cover(wanted, held, weights, F.col("n"), keys, ["id"])
-
-
 def ground_regions(texts: DataFrame, branches: DataFrame, aliases: DataFrame) -> DataFrame:
     """texts(text) to branches: an exact name behind aliases, else the best cover."""
     own = _aliased(texts.select("text").distinct(), aliases).withColumn("key", text.fold(F.col("wording")))
@@ -76,7 +68,7 @@ def ground_regions(texts: DataFrame, branches: DataFrame, aliases: DataFrame) ->
     hit = _candidates(exact, ["text"]).join(exact.groupBy("text").agg(F.max("n").alias("n")), "text")
     hit = hit.select("text", F.when(F.col("n") == 1, "confident").otherwise("ambiguous").alias("tier"), "candidates")
     rest = own.join(exact.select("text").distinct(), "text", "left_anti").withColumn("wording", F.col("key"))
-    fuzzy = _covers(rest, ["text"], branches).where(F.col("cover") >= SOME_COVER).withColumn("score", F.col("cover"))
+    fuzzy = covers(rest, ["text"], branches, least=SOME_COVER).withColumn("score", F.col("cover"))
     order = by_text.orderBy(F.round("cover", 9).desc(), "id")
     fuzzy = fuzzy.withColumns({"place": F.row_number().over(order), "next": F.lead("cover").over(order)})
     first = fuzzy.where("place = 1").select(
@@ -100,24 +92,32 @@ def ground_competitions(texts: DataFrame, groups: DataFrame, rosters: DataFrame,
     # the branch cut binds where any group is under the branch
     branches = groups.select(F.col("branch").alias("own_branch")).where("own_branch IS NOT NULL").distinct().withColumn("real", F.lit(True))
     cut = own.join(branches, F.col("branch") == F.col("own_branch"), "left").drop("own_branch")
-    pool = _covers(own, keys, groups).join(groups.select("id", F.col("branch").alias("own_branch"), text.fold(F.col("name")).alias("folded")), "id").join(cut, keys)
-    pool = pool.where(F.col("real").isNull() | (F.col("own_branch") == F.col("branch")))
-    if allowed is not None:
-        inside = allowed.select("context", "id").distinct().withColumn("inside", F.lit(True))
-        pool = pool.join(inside, ["context", "id"], "left").where(~F.coalesce("bound", F.lit(False)) | F.coalesce("inside", F.lit(False)))
-    pool = pool.join(size, "id", "left").withColumns({"size": F.coalesce("size", F.lit(0)), "full": F.col("cover") >= FULL_COVER, "score": F.col("cover")})
-    leg = Window.partitionBy(*keys)
-    pool = pool.withColumns({"n_full": F.sum(F.col("full").cast("int")).over(leg), "best": F.max("cover").over(leg)})
-    pool = pool.where(F.when(F.col("n_full") > 0, F.col("full")).otherwise(F.col("best") >= SOME_COVER))
+    facts = groups.select("id", F.col("branch").alias("own_branch"), text.fold(F.col("name")).alias("folded"))
+    inside = None if allowed is None else allowed.select("context", "id").distinct().withColumn("inside", F.lit(True))
+
+    def pool_of(asked: DataFrame, least: float) -> DataFrame:
+        pool = covers(asked, keys, groups, least=least).join(facts, "id").join(asked, keys)
+        pool = pool.where(F.col("real").isNull() | (F.col("own_branch") == F.col("branch")))
+        if inside is not None:
+            pool = pool.join(inside, ["context", "id"], "left").where(~F.coalesce("bound", F.lit(False)) | F.coalesce("inside", F.lit(False))).drop("inside")
+        return pool.join(size, "id", "left").withColumns({"size": F.coalesce("size", F.lit(0)), "full": F.col("cover") >= FULL_COVER, "score": F.col("cover")})
+
+    # names of SOME_COVER decide; only a text that has some, but none in full and fewer than are shown, has its list filled with lesser ones
+    cut = stage(cut)
+    near = stage(pool_of(cut, SOME_COVER))
+    held = near.groupBy(*keys).agg(F.sum(F.col("full").cast("int")).alias("n_full"), F.count("*").alias("n"))
+    few = (F.col("n_full") == 0) & (F.col("n") < TOP_K)
+    kept = near.join(held.where(~few).select(*keys, "n_full"), keys).where((F.col("n_full") == 0) | F.col("full"))
+    short = stage(cut.join(held.where(few).select(*keys), keys, "left_semi"))
+    pool = kept
+    if not short.isEmpty():
+        pool = kept.unionByName(pool_of(short, 0.0).withColumn("n_full", F.lit(0).cast("long")).select(*kept.columns))
+    pool = stage(pool)
     exact = F.col("full") & (F.col("folded") == F.col("key"))
-    pool = pool.withColumns(
-        {
-            "exact": exact,
-            "n_exact": F.sum(exact.cast("int")).over(leg),
-            "exact_size": F.max(F.when(exact, F.col("size"))).over(leg),
-            "rival": F.max(F.when(~exact, F.col("size"))).over(leg),
-        }
-    )
+    pool = pool.withColumn("exact", exact)
+    facts_of = pool.groupBy(*keys).agg(F.sum(F.col("exact").cast("int")).alias("n_exact"), F.max(F.when(F.col("exact"), F.col("size"))).alias("exact_size"), F.max(F.when(~F.col("exact"), F.col("size"))).alias("rival"))
+    pool = pool.join(facts_of, keys)
+    leg = Window.partitionBy(*keys)
     clear = (F.col("n_exact") == 1) & ~F.coalesce(F.col("rival") > MAJOR_RATIO * F.col("exact_size"), F.lit(False))
     tier = (
         F.when(F.col("n_full") == 0, "shortlist")
@@ -150,9 +150,8 @@ def ground_teams(texts: DataFrame, teams: DataFrame, markers: Column) -> DataFra
     hit = _candidates(exact, ["text"]).join(exact.groupBy("text").agg(tier), "text")
     rest = own.join(exact.select("text").distinct(), "text", "left_anti")
     listed = teams.where("listed") if "listed" in teams.columns else teams
-    wanted = token_table(rest, "text", ["text"]).withColumn("wanted", F.count("*").over(by_text))
-    shared = wanted.join(token_table(listed, "name", ["id"]), "token").groupBy("text", "id", "wanted").agg(F.count("*").alias("shared"))
-    part = shared.where("shared = wanted").withColumns({"score": F.lit(0.8), "place": F.row_number().over(by_text.orderBy("id")), "n": F.count("*").over(by_text)})
+    part = stage(holding_all(rest, ["text"], listed, "text")).withColumns({"score": F.lit(0.8), "place": F.row_number().over(by_text.orderBy("id"))})
+    part = part.join(part.groupBy("text").agg(F.count("*").alias("n")), "text")
     near_tier = F.when(F.max("n") == 1, "confident").otherwise("shortlist").alias("tier")
     near = _candidates(part, ["text"]).join(part.groupBy("text").agg(near_tier), "text")
     return _finish(texts, ["text"], hit.unionByName(near))

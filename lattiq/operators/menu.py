@@ -64,17 +64,6 @@ def lexicon(names: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return token_table(names, name, keys).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def cover(wants: DataFrame, name_tokens: DataFrame, weights: DataFrame, n: Column, want_keys: list[str], name_keys: list[str]) -> DataFrame:
-    """(want_keys, name_keys, cover, shared): the share of a text's token weight that a name holds; names that share nothing are left out.
-
-    wants(want_keys, token), name_tokens(name_keys, token), weights(token, df). An equi join on tokens, not all pairs.
-    """
-    weighed = wants.join(weights, "token", "left").withColumn("w", text.idf(n, F.col("df")))
-    whole = weighed.groupBy(*want_keys).agg(F.sum("w").alias("whole"))
-    part = weighed.join(name_tokens, "token").groupBy(*want_keys, *name_keys).agg(F.sum("w").alias("part"), F.count("*").alias("shared"))
-    return part.join(whole, want_keys).withColumn("cover", F.col("part") / F.col("whole")).drop("part", "whole")
-
-
 def lexical_pick(phrases: DataFrame, labels: DataFrame, phrase_keys: list[str], menu_keys: list[str]) -> DataFrame:
     """The market that words alone suggest for each phrase: used where no recorded decision exists.
 
