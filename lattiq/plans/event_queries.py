@@ -181,13 +181,18 @@ def flt_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "returned", offering.truncated(total, F.col("returned")).alias("truncated"))
 
 
-_GATES = [("q1", 0, [], [], None, "", None), ("q1", 1, [], [], "", None, None), ("q2", 0, ["A"], [], None, None, None), ("q3", 0, [], [], "Cup", None, None), ("q4", 0, [], [], None, None, "Someone")]
-_GATE_SQL = values(_GATES, "g(query_id, leg_idx, teams, players, competition, region, subject_player)", ["VARCHAR", "INTEGER", "VARCHAR[]", "VARCHAR[]", "VARCHAR", "VARCHAR", "VARCHAR"])
-
-
-@query(sql("SELECT query_id, NOT bool_or(len(teams) > 0 OR len(players) > 0 OR coalesce(competition, '') <> '' OR coalesce(region, '') <> '' OR coalesce(subject_player, '') <> '') AS incomplete FROM g GROUP BY 1", _GATE_SQL))
+@query("SELECT l_orderkey AS query_id, NOT bool_or(l_partkey % 5 = 0 OR l_partkey % 7 = 0 OR l_suppkey % 9 = 0 OR l_suppkey % 11 = 0 OR (l_linenumber = 3 AND l_returnflag = 'R')) AS incomplete FROM lineitem GROUP BY 1")
 def flt_incomplete_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_GATES, "query_id string, leg_idx int, teams array<string>, players array<string>, competition string, region string, subject_player string")
+    """Orders as queries, their items as legs, which name something or hold nulls and empty texts by rule."""
+    part, supplier, none = F.col("l_partkey"), F.col("l_suppkey"), F.array().cast("array<string>")
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"),
+        F.when(part % 5 == 0, F.array(F.lit("A"))).when(part % 2 == 0, none).alias("teams"),
+        F.when(part % 7 == 0, F.array(F.lit("B"))).when(part % 3 == 0, none).alias("players"),
+        F.when(supplier % 9 == 0, "Cup").when(supplier % 2 == 0, "").alias("competition"),
+        F.when(supplier % 11 == 0, "Land").when(supplier % 3 == 0, "").alias("region"),
+        F.when((F.col("l_linenumber") == 3) & (F.col("l_returnflag") == "R"), F.col("l_returnflag")).alias("subject_player"),
+    )
     return planner.incomplete(rows)
 
 

@@ -40,13 +40,17 @@ def str_score_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", text.reverse_score(score).alias("turned"))
 
 
-_RESULTS = [("win/win", "away"), ("Win / win", "home"), ("loss/win", "away"), ("draw/win", "away"), ("win/draw", "home"), ("2/2", "home"), ("win", None), ("win/lost", "home")]
-
-
-@query(sql("SELECT phrase, side, CASE WHEN side IS NOT NULL AND len(list_filter(p, lambda x: x NOT IN ('win', 'draw', 'loss'))) = 0 THEN array_to_string(list_transform(p, lambda x: CASE WHEN x = 'draw' THEN 'x' WHEN (x = 'win') = (side = 'home') THEN '1' ELSE '2' END), '/') END AS token FROM (SELECT phrase, side, string_split(regexp_replace(lower(phrase), '\\s+', '', 'g'), '/') AS p FROM t)", values(_RESULTS, "t(phrase, side)", ["VARCHAR", "VARCHAR"])))
+@query("""SELECT o_orderkey, CASE WHEN side IS NOT NULL AND list_contains(['win', 'draw', 'loss'], a) AND (b IS NULL OR list_contains(['win', 'draw', 'loss'], b)) THEN
+ CASE WHEN a = 'draw' THEN 'x' WHEN (a = 'win') = (side = 'home') THEN '1' ELSE '2' END || CASE WHEN b IS NULL THEN '' WHEN b = 'draw' THEN '/x' WHEN (b = 'win') = (side = 'home') THEN '/1' ELSE '/2' END END AS token
+ FROM (SELECT o_orderkey, ['win', 'draw', 'loss', '2'][o_orderkey % 4 + 1] AS a, CASE WHEN o_custkey % 6 > 0 THEN ['win', 'draw', 'loss', 'lost'][o_custkey % 4 + 1] END AS b, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'away' ELSE 'home' END AS side FROM orders)""")
 def str_htft_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_RESULTS, "phrase string, side string")
-    return rows.select("phrase", "side", text.result_tokens(F.col("phrase"), F.col("side")).alias("token"))
+    """Results of half and full time in words, by rule, written with and without blanks and capitals."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda at, *words: F.element_at(F.array(*map(F.lit, words)), (at % 4 + 1).cast("int"))
+    first, second = pick(k, "win", "draw", "loss", "2"), pick(c, "win", "draw", "loss", "lost")
+    phrase = F.when(c % 6 == 0, first).when(k % 3 == 0, F.concat(F.initcap(first), F.lit(" / "), second)).otherwise(F.concat(first, F.lit("/"), second))
+    side = F.when(k % 5 == 1, "away").when(k % 5 > 1, "home")
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.result_tokens(phrase, side).alias("token"))
 
 
 @query("SELECT c_custkey, CASE WHEN regexp_matches(b, '^[^,]+,\\s+\\S') THEN regexp_replace(b, '^([^,]*[^,\\s])\\s*,\\s+(.+?)\\s*$', '\\2 \\1') ELSE b END AS name FROM (SELECT c_custkey, trim(regexp_replace(CASE WHEN c_custkey % 2 = 0 THEN 'Last' || c_nationkey || ', ' || c_mktsegment || ' (X' || c_nationkey || ')' ELSE c_name END, '\\s*\\([^)]+\\)\\s*$', '')) AS b FROM customer)")
@@ -56,22 +60,25 @@ def str_player_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", offering.player_name(raw).alias("name"))
 
 
-_NAMES = [("Penalties FC Penalties",), ("A",), ("Two  Spaces",), ("Real to win & score",), ("Smith",), ("x & Over 2",), ("Jo Extra Time",)]
-
-
-@query(sql("SELECT name, length(name) <= 1 OR contains(name, '  ') OR regexp_matches(name, '\\s(Penalties|Extra Time|Regular Time)$') OR regexp_matches(name, 'win\\s*&|&\\s*(Over|Under)\\s') AS noise FROM t", values(_NAMES, "t(name)", ["VARCHAR"])))
+@query(r"""SELECT p_partkey, length(name) <= 1 OR contains(name, '  ') OR regexp_matches(name, '\s(Penalties|Extra Time|Regular Time)$') OR regexp_matches(name, 'win\s*&|&\s*(Over|Under)\s') AS noise
+ FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_name || ' Penalties' WHEN 1 THEN left(p_name, 1) WHEN 2 THEN p_name || '  ' || p_brand WHEN 3 THEN p_name || ' to win & score' WHEN 4 THEN p_brand || ' & Over 2' WHEN 5 THEN p_name || ' Extra Time' WHEN 6 THEN 'Extra Time ' || p_name ELSE p_name END AS name FROM part)""")
 def str_noise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattiq.operators.etl import noise_name
 
-    return spark.createDataFrame(_NAMES, "name string").select("name", noise_name(F.col("name")).alias("noise"))
-
-
-_LOCALES = [(1, " Swedish"), (2, "english"), (3, "Klingon"), (4, None)]
+    k, name, brand = F.col("p_partkey") % 8, F.col("p_name"), F.col("p_brand")
+    shapes = [F.concat(name, F.lit(" Penalties")), F.left(name, F.lit(1)), F.concat(name, F.lit("  "), brand), F.concat(name, F.lit(" to win & score")), F.concat(brand, F.lit(" & Over 2")), F.concat(name, F.lit(" Extra Time")), F.concat(F.lit("Extra Time "), name)]
+    own = name
+    for case, shape in enumerate(shapes):
+        own = F.when(k == case, shape).otherwise(own)
+    return read(spark, sf_dir, "part").select("p_partkey", noise_name(own).alias("noise"))
 
 
-@query(sql("SELECT k, CASE lower(trim(coalesce(language, ''))) WHEN 'swedish' THEN 'sv_SE' ELSE 'en_GB' END AS locale FROM t", values(_LOCALES, "t(k, language)", ["INTEGER", "VARCHAR"])))
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'sv_SE' ELSE 'en_GB' END AS locale FROM customer")
 def src_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_LOCALES, "k int, language string").select("k", offering.locale(F.col("language")).alias("locale"))
+    """Known languages in any writing, unknown ones, and none."""
+    k = F.col("c_custkey") % 4
+    language = F.when(k == 0, F.when(F.col("c_custkey") % 3 == 0, " Swedish").otherwise("SWEDISH")).when(k == 1, "english").when(k == 2, F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", offering.locale(language).alias("locale"))
 
 
 _TOKENS = ["today", "Tonight ", "tomorrow", "weekend", "friday", "sunday", "next_3_hours", "next_1_day", "next_2_weeks", "someday"]
@@ -98,20 +105,27 @@ def dat_weekend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", low.alias("low"), high.alias("high"))
 
 
-_PHRASES = [("after 8pm",), ("games before 12am",), ("This Morning",), ("afternoon kick-offs",), ("evening",), ("late night",), ("the late one",), ("early",), ("after lunch",), ("after 9",), ("whenever",)]
+_PHRASE = """t AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'after ' || (user_id % 13) || 'pm' WHEN 1 THEN 'Before ' || (user_id % 13) || ' am' WHEN 2 THEN 'after ' || (user_id % 24) WHEN 3 THEN 'this Evening' WHEN 4 THEN 'morning or ' || event_type
+ WHEN 5 THEN 'late night' WHEN 6 THEN 'the early ' || event_type WHEN 7 THEN ' afternoon ' ELSE event_type || ' lately' END AS phrase FROM events)"""
 
 
-@query(sql("""SELECT phrase, CASE WHEN a IS NOT NULL THEN a WHEN b IS NOT NULL THEN NULL WHEN m THEN NULL WHEN v LIKE '%afternoon%' THEN 12 WHEN v LIKE '%evening%' THEN 17 WHEN v LIKE '%night%' THEN 20 END AS after_hour,
+@query(sql("""SELECT event_id, CASE WHEN a IS NOT NULL THEN a WHEN b IS NOT NULL THEN NULL WHEN m THEN NULL WHEN v LIKE '%afternoon%' THEN 12 WHEN v LIKE '%evening%' THEN 17 WHEN v LIKE '%night%' THEN 20 END AS after_hour,
  CASE WHEN a IS NOT NULL THEN NULL WHEN b IS NOT NULL THEN b WHEN m THEN 12 WHEN v LIKE '%afternoon%' THEN 18 END AS before_hour,
- CASE WHEN a IS NOT NULL OR b IS NOT NULL OR m OR regexp_matches(v, 'afternoon|evening|night') THEN NULL WHEN v LIKE '%late%' THEN 'late' WHEN v LIKE '%early%' THEN 'early' END AS relative,
- a IS NOT NULL OR b IS NOT NULL OR regexp_matches(v, 'morning|afternoon|evening|night|late|early') AS known FROM (SELECT phrase, v, v LIKE '%morning%' AS m,
+ CASE WHEN a IS NOT NULL OR b IS NOT NULL OR m OR regexp_matches(v, 'afternoon|evening|night') THEN NULL WHEN regexp_matches(v, '\\blate\\b') THEN 'late' WHEN regexp_matches(v, '\\bearly\\b') THEN 'early' END AS relative,
+ a IS NOT NULL OR b IS NOT NULL OR regexp_matches(v, '\\b(morning|afternoon|evening|night|late|early)\\b') AS known FROM (SELECT event_id, v, v LIKE '%morning%' AS m,
  CASE WHEN ah = 'pm' AND an < 12 THEN an + 12 WHEN ah = 'am' AND an = 12 THEN 0 ELSE an END AS a, CASE WHEN bh = 'pm' AND bn < 12 THEN bn + 12 WHEN bh = 'am' AND bn = 12 THEN 0 ELSE bn END AS b FROM (
- SELECT phrase, lower(trim(phrase)) AS v, TRY_CAST(regexp_extract(lower(phrase), '\\bafter\\s+(\\d{1,2})\\s*(am|pm)?\\b', 1) AS INTEGER) AS an, regexp_extract(lower(phrase), '\\bafter\\s+(\\d{1,2})\\s*(am|pm)?\\b', 2) AS ah,
- TRY_CAST(regexp_extract(lower(phrase), '\\bbefore\\s+(\\d{1,2})\\s*(am|pm)?\\b', 1) AS INTEGER) AS bn, regexp_extract(lower(phrase), '\\bbefore\\s+(\\d{1,2})\\s*(am|pm)?\\b', 2) AS bh FROM t))""", values(_PHRASES, "t(phrase)", ["VARCHAR"])))
+ SELECT event_id, lower(trim(phrase)) AS v, TRY_CAST(regexp_extract(lower(phrase), '\\bafter\\s+(\\d{1,2})\\s*(am|pm)?\\b', 1) AS INTEGER) AS an, regexp_extract(lower(phrase), '\\bafter\\s+(\\d{1,2})\\s*(am|pm)?\\b', 2) AS ah,
+ TRY_CAST(regexp_extract(lower(phrase), '\\bbefore\\s+(\\d{1,2})\\s*(am|pm)?\\b', 1) AS INTEGER) AS bn, regexp_extract(lower(phrase), '\\bbefore\\s+(\\d{1,2})\\s*(am|pm)?\\b', 2) AS bh FROM t))""", _PHRASE))
 def dat_kickoff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = timewin.kickoff(F.col("phrase"))
-    rows = spark.createDataFrame(_PHRASES, "phrase string")
-    return rows.select("phrase", k.after.alias("after_hour"), k.before.alias("before_hour"), k.relative.alias("relative"), k.known.alias("known"))
+    """A phrase for each event, by rule."""
+    k, u, kind = F.col("event_id") % 9, F.col("user_id"), F.col("event_type")
+    text_of = lambda x: x.cast("string")
+    shapes = [F.concat(F.lit("after "), text_of(u % 13), F.lit("pm")), F.concat(F.lit("Before "), text_of(u % 13), F.lit(" am")), F.concat(F.lit("after "), text_of(u % 24)), F.lit("this Evening"), F.concat(F.lit("morning or "), kind), F.lit("late night"), F.concat(F.lit("the early "), kind), F.lit(" afternoon ")]
+    phrase = F.concat(kind, F.lit(" lately"))
+    for case, shape in enumerate(shapes):
+        phrase = F.when(k == case, shape).otherwise(phrase)
+    band = timewin.kickoff(phrase)
+    return read(spark, sf_dir, "events").select("event_id", band.after.alias("after_hour"), band.before.alias("before_hour"), band.relative.alias("relative"), band.known.alias("known"))
 
 
 @query("SELECT event_id AS query_id, event_type AS sport, CAST(i AS INTEGER) AS leg_idx, 'bet ' || user_id || ' ' || i AS market_concept, list_filter([event_type], lambda x: user_id % 3 = 0) AS other_sports FROM events, range(2) AS r(i) WHERE user_id % 5 <> 0")
