@@ -5,11 +5,13 @@ contiguous run with the highest sum, and its blocks are the text. The weights co
 markup names their article (one closed <article> or <main>): a structured perceptron lowers the
 weight of each tag and word that the scan took wrongly, and raises that of each it missed. A word's
 weight depends on its block's tag and stays above zero, a tag's stays below; a tag that no mistake has
-taught has the mean weight of its class (block or inline). The labelling tags score nothing. On a
+taught has the mean weight of its class (block or inline). A word within a link is priced like a tag, by its block: menus and lists of links
+count against a run, a link in running text hardly does. The weights are learned from pages as they are, with their menus, so that what
+isn't article has to be told by them. The labelling tags score nothing. On a
 page that marks its article, the mark counts: tags inside cost nothing and words outside count against a run.
 
-Elements that never hold article text (scripts, menus, footers, forms and the like by tag; containers whose whole class, id or role
-names an advert, notice, comments and the like, or outside the article a usual compound of these; hidden ones) give no
+Elements that never hold article text (scripts, menus, headers, also the article's own, footers, forms and the like by tag; containers whose whole class, id or
+role names an advert, notice, comments and the like, or a usual compound of these; hidden ones) give no
 words. They are never paragraphs, headings or inline text by such a name, nor what holds the marked article.
 
 Defined results: null or empty html, and a page without words, give the empty text; character references
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +48,7 @@ CONTAINERS = frozenset("div section ul ol dl table center details fieldset figur
 # Whole names (class, id, role) of elements without article text, and compounds of them.
 REMOVED_NAMES = frozenset(
     """ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header footer
-    masthead sidebar aside cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related recommended comment comments disqus replies login
+    masthead sidebar aside cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related recommended comment comments commentlist disqus replies login
     search contentinfo complementary""".split()
 )
 REMOVED_COMPOUNDS = re.compile(
@@ -84,8 +87,8 @@ def attributes_of(text: str) -> dict[str, str]:
     return found
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element gives no words; ``inside``: within an <article>."""
+def _unwanted(tag: str, attributes: str) -> bool:
+    """Whether an element gives no words."""
     if tag in REMOVED_TAGS:
         return True
     if not attributes or tag in ("html", "body") or tag in LABEL_TAGS:
@@ -96,11 +99,11 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     if tag not in CONTAINERS:
         return False
     names = " ".join(own.get(k, "") for k in ("class", "id", "role")).lower().split()
-    return any(n in REMOVED_NAMES or (not inside and REMOVED_COMPOUNDS.fullmatch(n)) for n in names)
+    return any(n in REMOVED_NAMES or REMOVED_COMPOUNDS.fullmatch(n) for n in names)
 
 
-def events(page: str) -> list[Event]:
-    """The tags and texts of a page, without the inside of removed elements."""
+def events(page: str, whole: bool = False) -> list[Event]:
+    """The tags and texts of a page, without the inside of removed elements; ``whole``: of none but those that are never shown as text."""
     found: list[Event] = []
     at, n = 0, len(page)
     while at < n:
@@ -119,10 +122,10 @@ def events(page: str) -> list[Event]:
         if not closing and tag in _RAW_ENDS and not attributes.rstrip().endswith("/"):
             end = _RAW_ENDS[tag].search(page, at)
             at = end.start() if end else n
-    return _without_removed(found)
+    return _without_removed(found, (lambda tag, _: tag in RAW_TAGS) if whole else _unwanted)
 
 
-def _without_removed(found: list[Event]) -> list[Event]:
+def _without_removed(found: list[Event], unwanted: Callable[[str, str], bool]) -> list[Event]:
     """Each removed element with its inside as one event."""
     ends: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
@@ -132,14 +135,11 @@ def _without_removed(found: list[Event]) -> list[Event]:
         elif kind == "close" and opened.get(tag):
             ends[opened[tag].pop()] = k
     label = article_run(found)
-    articles = 0
     out: list[Event] = []
     k = 0
     while k < len(found):
         kind, tag, payload = found[k]
-        if tag == "article":
-            articles += 1 if kind == "open" else -1
-        if kind == "open" and _unwanted(tag, payload, articles > 0):
+        if kind == "open" and unwanted(tag, payload):
             end = ends.get(k, len(found) - 1 if tag in RAW_TAGS else None)
             if end is not None and not (label and k <= label[0] and label[1] - 1 <= end):
                 out.append(("removed", tag, ""))
@@ -151,13 +151,16 @@ def _without_removed(found: list[Event]) -> list[Event]:
 
 
 def features(found: list[Event], mark: tuple[int, int] | None = None) -> list[tuple[str, int]]:
-    """(feature, count) of each event: words by their block's tag, or one tag. ``mark`` is the run of a marked article."""
-    block, out = "", []
+    """(feature, count) of each event: words, or linked words, by their block's tag, or one tag. ``mark`` is the run of a marked article."""
+    block, linked, out = "", False, []
     for k, (kind, tag, payload) in enumerate(found):
         inside = mark is not None and mark[0] <= k < mark[1]
         if kind == "text":
-            out.append((f"word {block}" if mark is None or inside else "outside", len(payload.split())))
+            own = "link" if linked and mark is None else "word"
+            out.append((f"{own} {block}" if mark is None or inside else "outside", len(payload.split())))
             continue
+        if tag == "a":
+            linked = kind == "open"
         if inside:
             out.append((f"{kind} {tag}", 0))
             continue
@@ -172,9 +175,10 @@ def features(found: list[Event], mark: tuple[int, int] | None = None) -> list[tu
 class Weights:
     """Scores of words (above 0) and tags (below 0)."""
 
-    #: The least weight; the first weight of a tag before anything is learned (half of it for inline ones).
-    LEAST = 0.01
-    FIRST = {"open": -0.5, "close": -0.5}
+    #: The least size of a tag's weight, and of a word's, so that long texts in any block count; the first weight of a tag before anything is
+    #: learned (half of it for inline ones).
+    LEAST, LEAST_WORD = 0.01, 0.1
+    FIRST = {"open": -0.5, "close": -0.5, "link": -1.0}
 
     def __init__(self) -> None:
         self.of: dict[str, float] = {}
@@ -194,7 +198,7 @@ class Weights:
 
     def move(self, feature: str, step: float) -> None:
         now = self.get(feature) + step
-        self.of[feature] = max(self.LEAST, now) if feature.startswith("word") else min(-self.LEAST, now)
+        self.of[feature] = max(self.LEAST_WORD, now) if feature.startswith("word") else min(-self.LEAST, now)
 
     def best_run(self, found: list[tuple[str, int]]) -> tuple[int, int]:
         """The run [start, end) with the highest sum; (0, 0) if none is above 0."""
@@ -212,7 +216,7 @@ class Weights:
         """Learn from the pages whose markup names one article."""
         labelled = []
         for page in pages:
-            own = events(page)
+            own = events(page, whole=True)
             gold = article_run(own)
             if gold:
                 labelled.append((features(own), gold))

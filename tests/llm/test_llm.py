@@ -275,11 +275,38 @@ def test_html_contract(body, wanted):
     assert html_text.main_text(frame.format(f"<article>{body}</article>"), weights) == "\n\n".join(wanted)
 
 
+_MENU = "".join(f'<li><a href="/{k}">Menu item {k}</a></li>' for k in range(8))
+
+
+@pytest.mark.parametrize("menu", [f"<ul>{_MENU}</ul>", "<table><tr>" + _MENU.replace("li>", "td>").replace("<li", "<td") + "</tr></table>", f'<div id="nav2">{_MENU}</div>', "".join(f'<div><a href="/{k}">Item {k}</a></div>' for k in range(8))])
+def test_html_menus_without_any_mark(spark, menu):
+    """Lists of links before and after the text of a page that names neither menu nor article: the learned weights alone cut them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html IS NOT NULL").orderBy("page_id").limit(120).collect()
+    weights = html_text.Weights().fit([r.html for r in rows[:60]])
+    wanted = ["Title of it", *[f"Some longer text of paragraph {k} with several words and one link in it." for k in range(5)]]
+    body = "<h1>Title of it</h1>" + "".join(f"<p>Some longer text of paragraph {k} with several words and <a href='/x'>one link</a> in it.</p>" for k in range(5))
+    assert html_text.main_text(f"<html><body>{menu}<div>{body}</div>{menu}</body></html>", weights) == "\n\n".join(wanted)
+    for r in rows[60:]:  # held out, with every mark gone
+        bare = r.html.replace("article>", "div>").replace("nav>", "div>").replace('class="ad"', 'class="x"')
+        assert html_text.main_text(bare, weights) == html_text.main_text(r.html, weights)
+
+
+def test_html_long_text_in_any_block():
+    page = "<body><div>" + prose(1, 60) + "</div><div>" + prose(2, 60) + "</div></body>"
+    weights = html_text.Weights().fit([f'<div><a href="/">x y</a></div><div>buy now please</div><article><p>{prose(k, 30)}</p></article><div>buy this too</div>' for k in range(20)])
+    assert html_text.main_text(page, weights).split() == (prose(1, 60) + " " + prose(2, 60)).split()
+
+
+@pytest.mark.parametrize("part", ['<ol class="commentlist"><li>Nice</li></ol>', '<section class="comment-list"><p>Nice</p></section>', '<div class="share-buttons"><a>Tweet</a></div>', '<div class="ad-slot">Buy</div>', "<header><p>By line</p></header>"])
+def test_html_parts_within_articles(part):
+    assert html_text.main_text(f"<body><article><h1>T</h1><p>a b c</p>{part}</article></body>", html_text.Weights()) == "T\n\na b c"
+
+
 def test_html_best_run_against_all_runs():
     r = random.Random(11)
     weights = html_text.Weights()
     for _ in range(60):
-        found = [(r.choice(["word p", "word li", "open p", "close p", "open b", "outside"]), r.randrange(4)) for _ in range(r.randrange(1, 14))]
+        found = [(r.choice(["word p", "word li", "link li", "open p", "close p", "open b", "outside"]), r.randrange(4)) for _ in range(r.randrange(1, 14))]
         sums = {(a, b): sum(n * weights.get(f) for f, n in found[a:b]) for a in range(len(found)) for b in range(a + 1, len(found) + 1)}
         a, b = weights.best_run(found)
         assert (sums[(a, b)] if b else 0.0) == pytest.approx(max(0.0, *sums.values()))
