@@ -181,7 +181,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Capture records of pages(page_id, url, html): a response and two revisits each, by rule.
+    """Capture records of pages(page_id, url, html): a response and two revisits each, by rule, of the url up to the last slash of its path, so that pages
+    of one folder are captures of one url over time.
 
     The first revisit has the page's entity tag (every fifth a stale one) and comes just after the response (every ninth
     before it); the second, of an http url with a port, comes later and has no validators.
@@ -202,7 +203,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
         record(1, "revisit", F.col("url"), seen, 304, headers(ETag=F.when(n % 5 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag)), Date=text(seen), Cache_Control=F.concat(F.lit("max-age="), text(n % 100)), X_Cache=F.lit("hit"))),
         record(2, "revisit", other, later, 304, headers(Date=text(later), X_Cache=F.lit("hit"))),
     )
-    return pages.select(F.explode(each).alias("r")).select("r.*")
+    folders = pages.withColumn("url", F.regexp_extract("url", "^[^?#]*/", 0))
+    return folders.select(F.explode(each).alias("r")).select("r.*")
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +216,7 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id AS n, url, '"' || substr(md5(html), 1, 8) || '"' AS tag, page_id * 10 AS t FROM pages),
+WITH p AS (SELECT page_id AS n, regexp_extract(url, '^[^?#]*/') AS url, '"' || substr(md5(html), 1, 8) || '"' AS tag, page_id * 10 AS t FROM pages),
 r AS (
  SELECT n * 4 AS record_id, false AS rev, url, t AS time, tag, t AS d, CAST(NULL AS BIGINT) AS age FROM p
  UNION ALL SELECT n * 4 + 1, true, url, t + CASE WHEN n % 9 = 0 THEN -5 ELSE 5 END, CASE WHEN n % 5 = 0 THEN '"stale"' ELSE 'W/' || tag END,

@@ -400,6 +400,15 @@ def test_warc_as_of(spark):
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_warc_query_tells_latest_from_first(spark, duck):
+    """Urls of the registered query have several responses, and its SQL gives another answer if the first one is taken for the latest."""
+    latest = duck.execute(warc.ORACLE).fetchall()
+    first = duck.execute(warc.ORACLE.replace("ORDER BY f.time DESC NULLS LAST, f.record_id DESC", "ORDER BY f.time NULLS LAST, f.record_id")).fetchall()
+    assert len(latest) == len(first) and sorted(map(str, latest)) != sorted(map(str, first))
+    captures = warc.page_captures(spark.read.parquet(f"{DATA}/pages.parquet")).where("record_type = 'response'")
+    assert captures.groupBy("url").count().where("count > 1").count() > 0
+
+
 def test_warc_files(spark, tmp_path):
     body = b"HTTP/1.1 200 OK\r\nETag: \"a\"\r\n\r\npayload"
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r1>\r\nWARC-Target-URI: http://h/1\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
