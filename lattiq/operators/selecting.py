@@ -1,6 +1,6 @@
 """Which outcomes of the picked market answer a leg.
 
-The steps of the funnel are flags over the leg's outcomes: windows over the leg, then one choice among the rules in their
+What holds for a leg's outcomes together is one aggregate, joined back to them; then one choice among the rules in their
 order. The pool is returned whole; the choice is only a flag in it.
 """
 
@@ -28,18 +28,10 @@ def by_price(odds: Column, sort: Column, keys: list[str], order: list[str]) -> C
     return F.row_number().over(own)
 
 
-def home_lines(keys: list[str]) -> Column:
-    """Whether an offer's two sides have one line, which is then the home side's (columns kind, line, offer_id)."""
-    offer = Window.partitionBy(*keys, "offer_id")
+def home_lines() -> Column:
+    """Whether the two sides of an offer have one line, which is then the home side's: an aggregate over its outcomes (kind, line)."""
     sided = F.when(F.col("kind").isin("OT_ONE", "OT_TWO"), F.col("line"))
-    return (F.count(sided).over(offer) >= 2) & (F.min(sided).over(offer) == F.max(sided).over(offer))
-
-
-def effective_line(keys: list[str]) -> Column:
-    """The line as a number; turned round for the away side of an offer that gives the home side's."""
-    line = offering.decimal(F.col("line"))
-    away = F.coalesce((F.col("kind") == "OT_TWO") | (F.coalesce("english_label", "outcome_label") == "2"), F.lit(False))
-    return F.when(home_lines(keys) & away, -line).otherwise(line)
+    return F.coalesce((F.count(sided) >= 2) & (F.min(sided) == F.max(sided)), F.lit(False))
 
 
 def within_odds(odds: Column, low: Column, high: Column) -> Column:
@@ -48,117 +40,147 @@ def within_odds(odds: Column, low: Column, high: Column) -> Column:
     return price.isNull() | (F.coalesce(price >= low, F.lit(True)) & F.coalesce(price <= high, F.lit(True)))
 
 
-def select_outcomes(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The funnel for many legs at once.
-
-    Outcome columns: offer_id, offer_type, outcome_id, kind, english_label, outcome_label, participant, participant_id, odds, line, home_score,
-    away_score, home_name, away_name (of the outcome's event). Leg columns: line_value (text), outcome_wanted, subject, subject_id, subject_on
-    (home, away or null: the subject's side), odds_min, odds_max, direction, odds_sort, pick_n. ``order`` columns settle ties.
-
-    Adds in_pool, is_selected, chosen_line and fallback (subject-absent, odds-absent, line-absent or null).
-    """
-    leg = Window.partitionBy(*keys)
-    some = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int")).over(leg) == 1
+def _facts(outcomes: DataFrame, order: list[str]) -> DataFrame:
+    """Outcomes with what each says by itself of its leg's wishes, however the leg's other outcomes look."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
     shown = F.coalesce("english_label", "outcome_label", F.lit(""))
-    turn = offering.direction(F.col("kind"), F.col("english_label"), F.col("outcome_label"))
-    named = offering.is_named(F.col("participant"), F.col("english_label"), F.col("outcome_label"))
-    whole = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = outcomes.withColumns({"__dir": turn, "__named": named, "__line": effective_line(keys), "__type": F.first("offer_type", ignorenulls=True).over(whole)})
-    combo_market = offering.offer_type_names(F.col("__type")) & F.col("line_value").isNotNull()
-    want = text.combo(F.col("line_value"))
-    sided = text.result_tokens(F.col("line_value"), F.col("subject_on"))
-    turned = F.when(F.col("subject_on") == "away", text.reverse_score(want))
-    score = F.concat(F.col("home_score"), F.lit("-"), F.col("away_score"))
-    wanted_any = lambda x: F.coalesce(x == want, F.lit(False)) | F.coalesce(x == sided, F.lit(False)) | F.coalesce(x == turned, F.lit(False))
-    df = df.withColumns(
+    texts = outcomes.withColumns(
         {
-            "__combo": combo_market,
-            "__token": combo_market & (wanted_any(score) | wanted_any(text.combo(shown))),
-            "__label": F.coalesce(text.combo(shown) == text.combo(F.col("outcome_wanted")), F.lit(False)) & ~combo_market,
-            "__number": F.when(~combo_market, text.to_number(F.col("line_value"))),
-            "__asked": ~combo_market & F.col("line_value").isNotNull(),
+            "__dir": offering.direction(F.col("kind"), F.col("english_label"), F.col("outcome_label")),
+            "__want": text.combo(F.col("line_value")),
+            "__sided": text.result_tokens(F.col("line_value"), F.col("subject_on")),
+            "__shown": text.combo(shown),
+            "__score": F.concat(F.col("home_score"), F.lit("-"), F.col("away_score")),
+            "__line": offering.decimal(F.col("line")),
         }
     )
-    by_id = F.coalesce(F.col("participant_id") == F.col("subject_id"), F.lit(False))
-    side = F.col("subject").isin("home", "away")
-    df = df.withColumns(
+    turned = F.when(F.col("subject_on") == "away", text.reverse_score(F.col("__want")))
+    is_wanted = lambda x: sure(x == F.col("__want")) | sure(x == F.col("__sided")) | sure(x == turned)
+    on = on_side(F.col("subject"), F.col("kind"), F.col("english_label"), F.col("outcome_label"), F.col("participant"), F.col("home_name"), F.col("away_name"))
+    by_id = sure(F.col("participant_id") == F.col("subject_id"))
+    by_name = holds(F.col("participant"), text.fold(F.coalesce("subject", F.lit(""))))
+    mine = F.when(F.col("subject_id").isNotNull(), by_id).when(F.col("subject").isin("home", "away"), on).when(F.col("subject") != "", by_name).otherwise(True)
+    return texts.withColumns(
         {
+            "__place": F.struct(*order),
+            "__named": sure(offering.is_named(F.col("participant"), F.col("english_label"), F.col("outcome_label"))),
+            "__token": is_wanted(F.col("__score")) | is_wanted(F.col("__shown")),
+            "__label": sure(F.col("__shown") == text.combo(F.col("outcome_wanted"))),
+            "__number": text.to_number(F.col("line_value")),
             "__id": by_id,
-            "__has_id": some(by_id),
-            "__one_id": F.sum(by_id.cast("int")).over(leg) == 1,
-            "__yes": some(F.col("__dir") == "yes"),
-            "__has_named": some(F.col("__named")),
-            "__labelled": some(F.col("__label")),
+            "__mine": sure(mine),
+            "__within": within_odds(F.col("odds"), F.col("odds_min"), F.col("odds_max")),
+            "__turned": F.when(sure((F.col("kind") == "OT_TWO") | (F.coalesce("english_label", "outcome_label") == "2")), -F.col("__line")).otherwise(F.col("__line")),
+            "__price": F.when(F.col("odds_sort") == "low", F.col("odds")).when(F.col("odds_sort") == "high", -F.col("odds")),
         }
     )
-    on = on_side(F.col("subject"), F.col("kind"), F.col("english_label"), F.col("outcome_label"), F.col("participant"), F.col("home_name"), F.col("away_name"))
-    by_name = holds(F.col("participant"), text.fold(F.coalesce("subject", F.lit(""))))
-    first_pool = (
-        F.when(F.col("subject_id").isNotNull(), F.when(F.col("__has_id"), F.col("__id")).otherwise(F.col("__yes")))
-        .when(side, on)
-        .when(F.col("subject").isNotNull() & (F.col("subject") != ""), F.when(F.col("__has_named"), by_name).otherwise(True))
-        .otherwise(True)
-    )
-    df = df.withColumn("__first", F.coalesce(first_pool, F.lit(False))).withColumn("__any_first", some(F.col("__first")))
-    df = df.withColumn("__pool", F.col("__first") & within_odds(F.col("odds"), F.col("odds_min"), F.col("odds_max"))).withColumn("__any", some(F.col("__pool")))
-    alone = F.col("__has_id") & F.col("__one_id") & F.col("line_value").isNull() & (F.col("direction").isNull() | (F.col("direction") == "yes"))
-    outright = alone & some(F.col("__id") & F.col("__dir").isNull())
-    # places within the pool; rows outside come after all of it
-    pool_keys = [*keys, "__pool"]
-    asked_dir = F.coalesce(F.col("__dir") == F.col("direction"), F.lit(False))
-    first_of = lambda flag: F.row_number().over(Window.partitionBy(*pool_keys).orderBy(F.when(flag, 0).otherwise(1), *[F.col(c) for c in order])) == 1
-    df = df.withColumns(
-        {
-            "__outright": outright,
-            "__near": nearest_line(F.col("__line"), F.col("__number"), pool_keys, order),
-            "__has_line": some(F.col("__pool") & F.col("__line").isNotNull()),
-            "__has_dir": some(F.col("__pool") & asked_dir),
-            "__directional": some(F.col("__pool") & F.col("__dir").isNotNull()),
-            "__first_dir": first_of(asked_dir) & asked_dir,
-            "__price": by_price(F.col("odds"), F.col("odds_sort"), pool_keys, order),
-            "__first_yes": first_of((F.col("__dir") == "yes") & ~F.col("__has_named")),
-            "__token_at": F.row_number().over(Window.partitionBy(*keys, "__token").orderBy(*[F.col(c) for c in order])),
-            "__label_at": F.row_number().over(Window.partitionBy(*keys, "__label").orderBy(*[F.col(c) for c in order])),
-            "__has_token": some(F.col("__token")),
+
+
+#: The pools that a leg may turn out to have: the outcomes that are its subject's, or all.
+_POOLS = ("mine", "all")
+
+
+def _summary(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a leg: what holds for any of its outcomes, and the first place of each kind, in either pool.
+
+    Sums, maxima and minima alone, by offer and then by leg, so that most of it happens before rows move and no task holds a leg of very many outcomes. By
+    offer comes first because the two sides of an offer may share the home side's line, which settles how its lines count.
+    """
+    place, yes = F.col("__place"), F.coalesce(F.col("__dir") == "yes", F.lit(False))
+    has = lambda c: (F.max, F.coalesce(c, F.lit(False)))
+    first = lambda flag, what=place: (F.min, F.when(flag, what))
+    told = {
+        "type": first(F.col("offer_type").isNotNull(), F.struct(place.alias("place"), "offer_type")),
+        "n_id": (F.sum, F.col("__id").cast("long")),
+        "says_yes": has(yes),
+        "named": has(F.col("__named")),
+        "token": first(F.col("__token")),
+        "label": first(F.col("__label")),
+        "bare": has(F.col("__id") & F.col("__dir").isNull()),
+    }
+    lines = {}
+    for name in _POOLS:
+        own = F.col("__mine") if name == "mine" else F.lit(True)
+        pool = own & F.col("__within")
+        told |= {
+            f"{name}_any": has(own),
+            f"{name}_first": first(pool),
+            f"{name}_yes": first(pool & yes),
+            f"{name}_asked": first(pool & (F.col("__dir") == F.col("direction"))),
+            f"{name}_turns": has(pool & F.col("__dir").isNotNull()),
+            f"{name}_price": first(pool, F.struct(F.col("__price").isNull().alias("none"), F.col("__price").alias("price"), place.alias("place"))),
         }
+        for kind in ("line", "turned"):
+            line = F.col(f"__{kind}")
+            lines[f"{name}_{kind}"] = first(pool & line.isNotNull(), F.struct(F.abs(line - F.col("__number")).alias("far"), place.alias("place"), line.alias("line")))
+    by_offer = facts.groupBy(*keys, "offer_id").agg(home_lines().alias("s_same"), *[fold(c).alias(f"s_{n}") for n, (fold, c) in (told | lines).items()])
+    near = [F.min(F.when(F.col("s_same"), F.col(f"s_{n}_turned")).otherwise(F.col(f"s_{n}_line"))).alias(f"s_{n}_near") for n in _POOLS]
+    return by_offer.groupBy(*keys).agg(*[fold(f"s_{n}").alias(f"s_{n}") for n, (fold, _) in told.items()], *near)
+
+
+def select_outcomes(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The funnel for many legs at once.
+
+    Outcome columns: offer_id, offer_type, outcome_id, kind, english_label, outcome_label, participant, participant_id, odds, line, home_score,
+    away_score, home_name, away_name (of the outcome's event). Leg columns: line_value (text), outcome_wanted, subject, subject_id, subject_on
+    (home, away or null: the subject's side), odds_min, odds_max, direction, odds_sort, pick_n. ``order`` columns settle ties and tell a leg's
+    outcomes apart; keys aren't null.
+
+    Adds rule, in_pool, is_selected, chosen_line and fallback (subject-absent, odds-absent, line-absent or null).
+    """
+    facts = _facts(outcomes, order)
+    rows = facts.join(_summary(facts, keys), keys)
+    s = lambda name: F.col(f"s_{name}")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    side, has_id = F.col("subject").isin("home", "away"), s("n_id") > 0
+    which = (
+        F.when(F.col("subject_id").isNotNull(), F.when(has_id, "mine").when(s("says_yes"), "all"))
+        .when(side, "mine")
+        .when(F.col("subject") != "", F.when(s("named"), "mine").otherwise("all"))
+        .otherwise("all")
     )
-    line_asked, dir_asked = F.col("__asked"), F.col("direction").isNotNull()
-    field = ~F.col("__directional") & (F.col("direction") != "no")
+    combo = offering.offer_type_names(s("type")["offer_type"]) & F.col("line_value").isNotNull()
+    rows = rows.withColumns({"__which": which, "__combo": combo})
+    of_pool = lambda name: F.when(F.col("__which") == "mine", s(f"mine_{name}")).when(F.col("__which") == "all", s(f"all_{name}"))
+    pool = sure(F.when(F.col("__which") == "mine", F.col("__mine")).when(F.col("__which") == "all", True)) & F.col("__within")
+    rows = rows.withColumns({"__pool": pool, "__low": of_pool("price"), **{f"__{name}": of_pool(name) for name in ("any", "first", "yes", "asked", "turns", "near")}})
+    asked, turned_to = ~F.col("__combo") & F.col("line_value").isNotNull(), F.col("direction").isNotNull()
+    alone = (s("n_id") == 1) & F.col("line_value").isNull() & (F.col("direction").isNull() | (F.col("direction") == "yes"))
     rule = (
-        F.when(F.col("__combo"), F.when(F.col("__has_token"), "token").otherwise("subject-absent"))
-        .when(F.col("__labelled"), "label")
-        .when(F.col("subject_id").isNotNull() & F.col("__outright"), "outright")
-        .when(~F.col("__any_first"), "subject-absent")
-        .when(~F.col("__any"), "odds-absent")
-        .when(line_asked, F.when(F.col("__number").isNotNull() & F.col("__has_line"), "line").otherwise("line-absent"))
-        .when(dir_asked & F.col("__has_dir"), "direction")
-        .when(dir_asked & field, "field")
-        .when(dir_asked, "subject-absent")
+        F.when(F.col("__combo"), F.when(s("token").isNotNull(), "token").otherwise("subject-absent"))
+        .when(s("label").isNotNull(), "label")
+        .when(F.col("subject_id").isNotNull() & alone & s("bare"), "outright")
+        .when(~sure(F.col("__any")), "subject-absent")
+        .when(F.col("__first").isNull(), "odds-absent")
+        .when(asked, F.when(F.col("__number").isNotNull() & F.col("__near").isNotNull(), "line").otherwise("line-absent"))
+        .when(turned_to & F.col("__asked").isNotNull(), "direction")
+        .when(turned_to & ~F.col("__turns") & (F.col("direction") != "no"), "field")
+        .when(turned_to, "subject-absent")
         .otherwise("plain")
     )
-    df = df.withColumn("rule", rule)
-    selected = (
-        F.when(F.col("rule") == "token", F.col("__token") & (F.col("__token_at") == 1))
-        .when(F.col("rule") == "label", F.col("__label") & (F.col("__label_at") == 1))
-        .when(F.col("rule") == "outright", F.col("__id"))
-        .when(F.col("rule") == "line", F.col("__pool") & (F.col("__near") == 1))
-        .when(F.col("rule") == "direction", F.col("__pool") & F.col("__first_dir"))
-        .when(F.col("rule") == "field", F.col("__pool") & (F.col("__price") == 1))
-        .when(F.col("rule") == "plain", F.col("__pool") & (F.col("__first_yes") | F.coalesce(side, F.lit(False))))
-        .otherwise(False)
+    # a leg follows one rule, so one place is all that it takes
+    rows = rows.withColumn("rule", rule)
+    is_rule = lambda *names: F.col("rule").isin(*names)
+    taken = (
+        F.when(is_rule("token"), s("token"))
+        .when(is_rule("label"), s("label"))
+        .when(is_rule("line"), F.col("__near")["place"])
+        .when(is_rule("direction"), F.col("__asked"))
+        .when(is_rule("field"), F.col("__low")["place"])
+        .when(is_rule("plain"), F.when(~s("named"), F.coalesce("__yes", "__first")).otherwise(F.col("__first")))
     )
-    pooled = F.when(F.col("rule").isin("token", "label", "outright"), selected).when(
-        F.col("rule") == "field", F.col("__pool") & (F.col("__price") <= F.coalesce("pick_n", F.lit(2**31 - 1)))
-    ).when(F.col("rule").isin("line", "direction", "plain"), F.col("__pool")).otherwise(False)
-    line = F.when(F.col("rule") == "line", F.col("__line")).otherwise(offering.decimal(F.col("line")))
-    return df.withColumns(
-        {
-            "in_pool": F.coalesce(pooled, F.lit(False)),
-            "is_selected": F.coalesce(selected, F.lit(False)),
-            "chosen_line": F.when(F.coalesce(selected, F.lit(False)), line),
-            "fallback": F.when(F.col("rule").endswith("-absent"), F.col("rule")),
-        }
-    ).select(*outcomes.columns, "rule", "in_pool", "is_selected", "chosen_line", "fallback")
+    selected = F.when(is_rule("outright"), F.col("__id")).when(is_rule("plain") & sure(side), F.col("__pool")).otherwise(sure(F.col("__place") == taken))
+    pooled = F.when(is_rule("token", "label", "outright"), F.col("is_selected")).otherwise(is_rule("line", "direction", "plain", "field") & F.col("__pool"))
+    line = F.when(is_rule("line"), F.col("__near")["line"]).otherwise(F.col("__line"))
+    rows = rows.withColumn("is_selected", selected).withColumns(
+        {"in_pool": pooled, "chosen_line": F.when(F.col("is_selected"), line), "fallback": F.when(F.col("rule").endswith("-absent"), F.col("rule"))}
+    )
+    # only the first few of a field are a matter of order; legs that don't ask for them have no window
+    few = F.col("pick_n").isNotNull() & turned_to & is_rule("field") & F.col("__pool")
+    place = by_price(F.col("odds"), F.col("odds_sort"), keys, order)
+    cut = rows.where(few).withColumn("in_pool", place <= F.col("pick_n"))
+    found = rows.where(~few).unionByName(cut)
+    return found.select(*outcomes.columns, "rule", "in_pool", "is_selected", "chosen_line", "fallback")
 
 
 def trim_field(outcomes: DataFrame, keys: list[str], order: list[str], cap: int = 8) -> DataFrame:

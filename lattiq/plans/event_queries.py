@@ -273,7 +273,7 @@ def agg_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT offer_id, count(CASE WHEN kind IN ('OT_ONE', 'OT_TWO') THEN line END) >= 2 AND min(CASE WHEN kind IN ('OT_ONE', 'OT_TWO') THEN line END) = max(CASE WHEN kind IN ('OT_ONE', 'OT_TWO') THEN line END) AS same FROM (SELECT * REPLACE (line // 20000 AS line) FROM v_outcome) GROUP BY 1", OUTCOMES))
 def agg_same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = outcomes(spark, sf_dir).withColumn("line", F.floor(F.col("line") / 20000))
-    return rows.select("offer_id", F.coalesce(selecting.home_lines([]), F.lit(False)).alias("same")).distinct()
+    return rows.groupBy("offer_id").agg(selecting.home_lines().alias("same"))
 
 
 _FUNNEL = [

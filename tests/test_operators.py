@@ -152,6 +152,25 @@ def test_field_by_price_and_owner_market(spark):
     assert choose(spark, owner)[0] == [2]
 
 
+def test_a_leg_is_no_windows_partition(spark):
+    """Many legs at once, each with its own rule, as one by one; only a field's first few are put in order."""
+    field = [{"offer_id": k % 5, "offer_type": 4, "outcome_id": k, "english_label": f"n{k}", "participant": "x", "odds": 9000 - k % 7 * 1000 if k % 11 else None, "line": k % 4 * 500 or None} for k in range(1, 60)]
+    asked = [{"direction": "yes", "odds_sort": "high", "pick_n": 3}, {"line_value": "1.1"}, {"odds_min": 5.0}, {"direction": "over"}, {"line_value": "zz"}, {"odds_min": 99.0, "odds_max": 100.0}]
+    names = OUTCOME.replace("\n", " ").split(",")
+    rows = [tuple((o | a | {"leg": k}).get(n.split()[0]) for n in names) for k, a in enumerate(asked) for o in field]
+    found = selecting.select_outcomes(spark.createDataFrame(rows, OUTCOME), ["leg"], ["outcome_id"])
+    got = {k: ([], []) for k in range(len(asked))}
+    for r in found.orderBy("outcome_id").collect():
+        got[r.leg][0].extend([r.outcome_id] * r.is_selected)
+        got[r.leg][1].extend([r.outcome_id] * r.in_pool)
+    by_price = sorted(field, key=lambda o: (o["odds"] is None, -(o["odds"] or 0), o["outcome_id"]))
+    assert got[0] == ([by_price[0]["outcome_id"]], sorted(o["outcome_id"] for o in by_price[:3]))
+    for k, a in enumerate(asked[1:], 1):
+        assert got[k] == choose(spark, field, **a)[:2]
+    assert got[1][0] == [2] and got[4] == got[5] == ([], []) or got[5][1] == [o["outcome_id"] for o in field if o["odds"] is None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
 def test_accents_do_not_hide_a_subject(spark):
     row = spark.sql("SELECT array(struct('Kylian Mbappé' AS participant, 5L AS participant_id, 'Yes' AS label)) AS o, 'To score' AS label, 'France - Italy' AS e, 'France' AS h, 'Italy' AS a")
     own = lambda s, label="label": subject.prices_subject(F.col("o"), F.col(label), F.col("e"), F.col("h"), F.col("a"), text.fold(F.lit(s)), F.lit(None).cast("long"))
