@@ -49,14 +49,19 @@ def keep_priced(offers: DataFrame) -> DataFrame:
     return offers.where((folded == "") | priced)
 
 
-def on_side(side: Column, kind: Column, english: Column, label: Column, participant: Column, home: Column, away: Column) -> Column:
-    """Whether an outcome is its own event's home (away) side: by type or label, or by the participant's name."""
+def typed_side(side: Column, kind: Column, english: Column, label: Column) -> Column:
+    """Whether an outcome is the home (away) side by its type, else by its label."""
     silent = kind.isNull() | kind.isin("", "OT_UNTYPED")
     shown = F.coalesce(english, label)
     fixed = lambda t, number: F.coalesce((kind == t) | (silent & (shown == number)), F.lit(False))
+    return F.when(side == "home", fixed("OT_ONE", "1")).when(side == "away", fixed("OT_TWO", "2")).otherwise(False)
+
+
+def on_side(side: Column, kind: Column, english: Column, label: Column, participant: Column, home: Column, away: Column) -> Column:
+    """Whether an outcome is its own event's home (away) side: by type or label, or by the participant's name."""
     team = fold(F.coalesce(F.when(side == "home", home).when(side == "away", away), F.lit("")))
     named = (team != "") & is_named(participant, english, label) & holds(participant, team)
-    return F.when(side == "home", fixed("OT_ONE", "1")).when(side == "away", fixed("OT_TWO", "2")).otherwise(False) | named
+    return typed_side(side, kind, english, label) | named
 
 
 def outcome_is_subjects(participant: Column, participant_id: Column, subject_id: Column, subject: Column) -> Column:

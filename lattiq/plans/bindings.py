@@ -102,7 +102,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10 + F.col("l_linenumber")) * 10000 + F.col("l_suppkey")).alias("outcome_id"),
         kind.alias("kind"),
         F.when(flag == "A", "Over").when(flag == "R", "Under").when(open_item, wins).otherwise("2").alias("english_label"),
-        F.lower(F.col("l_shipdate").cast("string")).alias("outcome_label"),
+        F.col("l_shipdate").cast("string").alias("outcome_label"),
         F.when(open_item, F.col("s_name")).alias("participant"),
         F.col("l_suppkey").alias("participant_id"),
         F.when(odds % 17 != 0, odds).alias("odds"),

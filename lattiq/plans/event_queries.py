@@ -294,7 +294,7 @@ _FUNNEL_SQL = values(_FUNNEL, "f(leg, label, line_value, outcome_wanted, subject
 
 def funnel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legs above with the outcomes of their market, one leg for each event."""
-    legs = spark.createDataFrame(_FUNNEL, _FUNNEL_SCHEMA)
+    legs = selecting.wishes(spark.createDataFrame(_FUNNEL, _FUNNEL_SCHEMA))
     names = events(spark, sf_dir).select("event_id", "home_name", "away_name")
     return outcomes(spark, sf_dir).join(F.broadcast(legs), "label").join(names, "event_id")
 

@@ -242,7 +242,8 @@ def resolve_stages(
     )
     teams = events.select("event_id", "home_name", "away_name", F.try_element_at("members", F.lit(1)).alias("__home"), F.try_element_at("members", F.lit(2)).alias("__away"))
     main_offer = is_main(F.col("tags")) & F.col("criterion_id").isNotNull()
-    rows = offered.join(chosen, [*GROUP, "label"]).where(~F.col("only_main") | main_offer).drop("only_main").join(specs, LEG).join(teams, "event_id")
+    wanted = selecting.wishes(chosen.join(specs, LEG))
+    rows = offered.join(wanted, [*GROUP, "label"]).where(~F.col("only_main") | main_offer).drop("only_main").join(teams, "event_id")
     side = F.when(F.col("subject_id") == F.col("__home"), "home").when(F.col("subject_id") == F.col("__away"), "away")
     found = selecting.select_outcomes(rows.withColumn("subject_on", side).drop("__home", "__away"), [*LEG, "label"], ["ord", "outcome_id"])
     found = stage(found)
@@ -432,7 +433,7 @@ def next_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     asked = sample_plans(spark).withColumn("line_value", F.col("line_num").cast("string")).drop("line_num")
     asked = asked.withColumns({"outcome_wanted": none("string"), "subject": none("string"), "subject_id": none("long"), "subject_on": none("string"), "odds_max": none("double"), "direction": none("string"), "odds_sort": none("string"), "pick_n": none("int")})
-    rows = kept.join(F.broadcast(asked), LEG).join(bindings.outcomes(spark, sf_dir), ["event_id", "label"])
+    rows = kept.join(F.broadcast(selecting.wishes(asked)), LEG).join(bindings.outcomes(spark, sf_dir), ["event_id", "label"])
     found = selecting.select_outcomes(rows.withColumn("offer_type", F.lit(11)), LEG, ["outcome_id"])
     return found.groupBy(*LEG, "label").agg(
         F.count("*").alias("outcomes"),
