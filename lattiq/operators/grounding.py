@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import text
 from lattiq.operators.matching import covers, holding_all
-from lattiq.sources.written import stage
+from lattiq.sources.written import stage, whole
 
 #: Candidates of a text; covers from which a name holds (almost) all or enough of it; how many times larger a rival's roster must be.
 TOP_K = 5
@@ -96,11 +96,11 @@ def ground_competitions(texts: DataFrame, groups: DataFrame, rosters: DataFrame,
     inside = None if allowed is None else allowed.select("context", "id").distinct().withColumn("inside", F.lit(True))
 
     def pool_of(asked: DataFrame, least: float) -> DataFrame:
-        pool = covers(asked, keys, groups, least=least).join(facts, "id").join(asked, keys)
+        pool = covers(asked, keys, groups, least=least).join(whole(facts), "id").join(asked, keys)
         pool = pool.where(F.col("real").isNull() | (F.col("own_branch") == F.col("branch")))
         if inside is not None:
             pool = pool.join(inside, ["context", "id"], "left").where(~F.coalesce("bound", F.lit(False)) | F.coalesce("inside", F.lit(False))).drop("inside")
-        return pool.join(size, "id", "left").withColumns({"size": F.coalesce("size", F.lit(0)), "full": F.col("cover") >= FULL_COVER, "score": F.col("cover")})
+        return pool.join(whole(size), "id", "left").withColumns({"size": F.coalesce("size", F.lit(0)), "full": F.col("cover") >= FULL_COVER, "score": F.col("cover")})
 
     # names of SOME_COVER decide; only a text that has some, but none in full and fewer than are shown, has its list filled with lesser ones
     cut = stage(cut)
@@ -142,7 +142,7 @@ def ground_teams(texts: DataFrame, teams: DataFrame, markers: Column) -> DataFra
     mark = text.first_marker(F.col("text"), markers)
     variant = reduce(lambda o, k: F.when(mark == k, VARIANTS[k]).otherwise(o), VARIANTS, F.lit(DEFAULT_VARIANT))
     by_text = Window.partitionBy("text")
-    exact = own.withColumn("wanted", variant).join(teams.select("id", "variant", text.fold(F.col("name")).alias("key")), "key")
+    exact = own.withColumn("wanted", variant).join(whole(teams.select("id", "variant", text.fold(F.col("name")).alias("key"))), "key")
     exact = exact.withColumn("fits", F.coalesce(F.col("variant") == F.col("wanted"), F.lit(False)))
     exact = exact.withColumn("any_fit", F.max(F.col("fits").cast("int")).over(by_text) == 1).where(~F.col("any_fit") | F.col("fits"))
     exact = exact.withColumns({"score": F.lit(1.0), "place": F.row_number().over(by_text.orderBy("id")), "n": F.count("*").over(by_text)})

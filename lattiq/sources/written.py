@@ -27,6 +27,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """A table that grows with the catalog, as a side of a join that must not be broadcast: the planner goes by the size of compressed files, and what it broadcasts passes the driver at several times that."""
+    return df.hint("merge")
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
