@@ -191,7 +191,7 @@ def ground_players(texts: DataFrame, players: DataFrame, scopes: DataFrame | Non
 def allow_set(found: DataFrame, entities: DataFrame, context: str = "context") -> DataFrame:
     """(context, id): the competitions of all candidates. found(context, candidates), entities(id, competition_ids)."""
     each = found.select(context, F.explode("candidates").alias("c")).select(context, F.col("c.id").alias("__id"))
-    joined = each.join(entities.select(F.col("id").alias("__id"), "competition_ids"), "__id")
+    joined = each.join(whole(entities.select(F.col("id").alias("__id"), "competition_ids")), "__id")
     return joined.select(context, F.explode("competition_ids").alias("id")).distinct()
 
 

@@ -40,9 +40,12 @@ def _case(column, pairs: list[tuple], other=None):
     return out
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, start, state, level, group_id, recall_group, home_id, away_id, home_name, away_name, event_name, tags, teams."""
-    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+Side = Callable[[DataFrame], DataFrame]
+
+
+def events(spark: SparkSession, sf_dir: str, side: Side = lambda table: table) -> DataFrame:
+    """event_id, start, state, level, group_id, recall_group, home_id, away_id, home_name, away_name, event_name, tags, teams. ``side`` may hint how the orders meet their customers."""
+    orders, customers = read(spark, sf_dir, "orders"), side(read(spark, sf_dir, "customer"))
     k = F.col("o_orderkey")
     away = (F.col("o_custkey") + 7) % 100
     pad = lambda c: F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))
@@ -82,9 +85,9 @@ EVENTS = """v_event AS (SELECT *, home_name || ' - ' || away_name AS event_name,
 _TYPES = ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE"]
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each outcome of an offer; an event's line items of one part type make an offer."""
-    items, parts, suppliers = (read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+def outcomes(spark: SparkSession, sf_dir: str, side: Side = lambda table: table) -> DataFrame:
+    """One row for each outcome of an offer; an event's line items of one part type make an offer. ``side`` may hint how the items meet their parts and suppliers."""
+    items, parts, suppliers = read(spark, sf_dir, "lineitem"), *(side(read(spark, sf_dir, t)) for t in ("part", "supplier"))
     flag, code = F.col("l_returnflag"), F.array_position(F.array(*map(F.lit, _TYPES)), F.col("p_type")).cast("long")
     open_item = (flag == "N") & (F.col("l_linestatus") == "O")
     kind = F.when(flag == "A", "OT_OVER").when(flag == "R", "OT_UNDER").when(open_item, "OT_UNTYPED").otherwise("OT_TWO")

@@ -13,7 +13,7 @@ from lattiq.functions.offering import bet_phrase, is_main
 from lattiq.operators import assemble, combos, fetch, grounding, menu, planner, replay, scope, selecting, subject
 from lattiq.plans import bindings
 from lattiq.sources.plans import read_plans, unreadable
-from lattiq.sources.written import stage
+from lattiq.sources.written import stage, whole
 
 LEG = ["query_id", "leg_idx"]
 #: Legs of a query that ask the same of the same events share a menu.
@@ -338,7 +338,10 @@ def sample_queries(spark: SparkSession) -> DataFrame:
 
 
 def table_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """(catalog, events, outcomes) of the test tables: nations are competitions, customers teams, suppliers players of the customer of their key."""
+    """(catalog, events, outcomes) of the test tables: nations are competitions, customers teams, suppliers players of the customer of their key.
+
+    Events and outcomes are read by many stages, each of which would send the tables that they are joined to through the driver again.
+    """
     nation, customer, supplier = (bindings.read(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
     group = lambda c: (F.col(c) + 1000).cast("long")
     none = spark.createDataFrame([], "key string, value string")
@@ -353,8 +356,8 @@ def table_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
         "region_aliases": none,
         "competition_aliases": none,
     }
-    known = bindings.events(spark, sf_dir).withColumns({"members": F.array("home_id", "away_id").cast(_IDS), "teams": F.col("teams").cast(_IDS)})
-    return catalog, known, bindings.outcomes(spark, sf_dir).withColumn("ord", F.col("outcome_id"))
+    known = bindings.events(spark, sf_dir, whole).withColumns({"members": F.array("home_id", "away_id").cast(_IDS), "teams": F.col("teams").cast(_IDS)})
+    return catalog, known, bindings.outcomes(spark, sf_dir, whole).withColumn("ord", F.col("outcome_id"))
 
 
 def table_editions(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lattiq.operators import matching
-from lattiq.plans import bindings
+from lattiq.plans import bindings, pipeline
 from lattiq.sources.written import whole
 from tests.conftest import DATA
 
@@ -24,3 +24,8 @@ def test_names_are_not_broadcast(spark):
     assert len(broadcasts(matching.meet(wanted, held, hot, ["context"]))) == 2
     plan = whole(names).join(texts.withColumn("name", F.col("wording")), "name")
     assert not broadcasts(plan)
+
+
+def test_tables_of_the_pipeline_are_not_broadcast(spark):
+    _, known, offered = pipeline.table_inputs(spark, DATA)
+    assert not broadcasts(known) and not broadcasts(offered)
