@@ -19,6 +19,9 @@ from lattiq.sources.written import stage
 
 #: What a cut request of a route is refined to.
 FINER = {"group": "batch", "batch": "event", "event": "typed"}
+#: Counted rows of groups that are asked for up to which they are broadcast.
+BROADCAST_ROWS = 10_000
+_OFFER = ["offer_id", "event_id", "group_id", "offer_type"]
 _TASK = ["task_id", "query_id", "route", "group_id", "participant_id", "event_id", "offer_type"]
 
 
@@ -45,63 +48,129 @@ def first_tasks(inputs: DataFrame, size: int) -> DataFrame:
     return _tasks(named, "batch", "batch").unionByName(_tasks(people, "participant")).unionByName(_tasks(groups, "group", "group_id"))
 
 
-def answer(tasks: DataFrame, offers: DataFrame, members: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(rows(task_id, query_id, offer_id, event_id), log(task_id, query_id, route, total, returned)) of requests: each gets its first ``cap`` offers by id.
+def reachable(tasks: DataFrame, offers: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of offers that a request of the first round, or any that takes its place, may get: by their own group, or by an event that is named, listed for a group or a participant's."""
+    routes = _routes(tasks)
+    asked = lambda route, key: tasks.where(F.col("route") == route).select(key).distinct()
+    ids = [asked("batch", "event_id")]
+    if "group" in routes:
+        groups = _few(asked("group", "group_id"))
+        ids.append(events.select("event_id", "group_id").join(groups, "group_id", "left_semi").select("event_id"))
+    if "participant" in routes:
+        ids.append(members.join(asked("participant", "participant_id"), "participant_id", "left_semi").select("event_id"))
+    wanted = reduce(DataFrame.unionByName, ids).distinct().withColumn("__event", F.lit(True))
+    near, fits = offers.select(*_OFFER).join(wanted, "event_id", "left"), F.col("__event")
+    if "group" in routes:
+        near, fits = near.join(groups.withColumn("__group", F.lit(True)), "group_id", "left"), fits | F.col("__group")
+    return near.where(fits).select(*_OFFER)
+
+
+def _routes(tasks: DataFrame) -> set[str]:
+    """The routes that occur."""
+    return {r.route for r in tasks.select("route").distinct().collect()}
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Marked for a broadcast if its counted rows are few; rows are read from what is written."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _held(tasks: DataFrame, routes: set[str], offers: DataFrame, members: DataFrame) -> DataFrame:
+    """(task_id, query_id, route, offer_id, event_id): all that there is for each request of the routes."""
+    asked, found = tasks.withColumnRenamed("offer_type", "only"), []
+    own = ["task_id", "query_id", "route"]
+    if "group" in routes:
+        groups = asked.where("route = 'group'").select(*own, "group_id")
+        found.append(_few(groups).join(offers, "group_id"))
+    if routes & {"batch", "event", "typed"}:
+        events = asked.where("route IN ('batch', 'event', 'typed')").select(*own, "event_id", "only")
+        found.append(events.join(offers, "event_id").where("only IS NULL OR only = offer_type"))
+    if "participant" in routes:
+        people = asked.where("route = 'participant'").select(*own, "participant_id").join(members, "participant_id").select(*own, "event_id").distinct()
+        found.append(people.join(offers, "event_id"))
+    return reduce(DataFrame.unionByName, [x.select(*own, "offer_id", "event_id") for x in found])
+
+
+def count_answers(tasks: DataFrame, routes: set[str], offers: DataFrame, members: DataFrame, cap: int) -> DataFrame:
+    """log(task_id, query_id, route, total, returned) of requests, of which each gets ``cap`` offers at most.
+
+    offers(offer_id, event_id, group_id, offer_type), members(event_id, participant_id). Offers are counted before rows move, so that a group that has most
+    of them isn't gathered.
+    """
+    own = ["task_id", "query_id", "route"]
+    every = _held(tasks, routes, offers, members).select(*own, F.lit(1).alias("n")).unionByName(tasks.select(*own, F.lit(0).alias("n")))
+    return every.groupBy(*own).agg(F.sum("n").alias("total")).withColumn("returned", F.least("total", F.lit(cap).cast("long")))
+
+
+def answer(tasks: DataFrame, routes: set[str], offers: DataFrame, members: DataFrame, cap: int | None) -> DataFrame:
+    """rows(task_id, query_id, offer_id, event_id) of requests: each gets its first ``cap`` offers by id; all if cap is None, for requests that are known to hold no more.
 
-    offers(offer_id, event_id, group_id, offer_type), members(event_id, participant_id). The cap holds within a task before rows move, so that a group
-    that has most of the offers isn't gathered.
+    offers and members as in count_answers(). The cap holds within a task before rows move.
     """
-    asked = tasks.withColumnRenamed("offer_type", "only")
-    by_group = asked.where("route = 'group'").select("task_id", "query_id", "group_id").join(offers, "group_id")
-    events = asked.where("route IN ('batch', 'event', 'typed')").select("task_id", "query_id", "event_id", "only")
-    by_event = events.join(offers, "event_id").where("only IS NULL OR only = offer_type")
-    people = asked.where("route = 'participant'").select("task_id", "query_id", "participant_id").join(members, "participant_id").select("task_id", "query_id", "event_id").distinct()
-    by_people = people.join(offers, "event_id")
-    every = reduce(DataFrame.unionByName, [x.select("task_id", "query_id", "offer_id", "event_id") for x in (by_group, by_event, by_people)])
+    every = _held(tasks, routes, offers, members).drop("route")
+    if cap is None:
+        return every
     place = F.row_number().over(Window.partitionBy("task_id").orderBy("offer_id"))
-    rows = every.withColumn("place", place).where(F.col("place") <= cap).drop("place")
-    counted = every.groupBy("task_id").agg(F.count("*").alias("total"))
-    log = tasks.select("task_id", "query_id", "route").distinct().join(counted, "task_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    return rows, log.withColumn("returned", F.least("total", F.lit(cap)))
+    return every.withColumn("place", place).where(F.col("place") <= cap).drop("place")
 
 
-def finer_tasks(cut: DataFrame, tasks: DataFrame, inputs: DataFrame, offers: DataFrame, events: DataFrame, size: int, most_events: int | None) -> tuple[DataFrame, DataFrame]:
-    """(the requests that take the place of cut(task_id, route), query_id of those that ``most_events`` cuts short)."""
+def finer_tasks(cut: DataFrame, routes: set[str], tasks: DataFrame, inputs: DataFrame, offers: DataFrame, events: DataFrame, size: int, most_events: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(the requests that take the place of cut(task_id), which are of the routes; query_id of those that ``most_events`` cuts short, None if it can't)."""
     own = tasks.join(cut.select("task_id"), "task_id", "left_semi")
-    none = F.lit(None).cast("timestamp_ntz")
-    groups = own.where("route = 'group'").select("query_id", "group_id").join(inputs.select("query_id", "levels", "play_state"), "query_id").withColumns({"window_start": none, "window_end": none})
-    fanned = planner.fan_out(groups, events, typed=size == planner.BATCH_TYPED, most_events=most_events)
-    single = own.where("route = 'batch'").select("query_id", "event_id")
-    kinds = own.where("route = 'event'").select("query_id", "event_id").join(offers.select("event_id", "offer_type").distinct(), "event_id")
-    every = [_tasks(fanned, "batch", "group_id", "batch"), _tasks(single, "event", "event_id"), _tasks(kinds, "typed", "event_id", "offer_type")]
-    return reduce(DataFrame.unionByName, every), fanned.where("capped").select("query_id").distinct()
+    every, short = [], None
+    if "group" in routes:
+        none = F.lit(None).cast("timestamp_ntz")
+        groups = own.where("route = 'group'").select("query_id", "group_id").join(inputs.select("query_id", "levels", "play_state"), "query_id").withColumns({"window_start": none, "window_end": none})
+        fanned = planner.fan_out(_few(groups), events, typed=size == planner.BATCH_TYPED, most_events=most_events)
+        every.append(_tasks(fanned, "batch", "group_id", "batch"))
+        if most_events is not None:
+            short = fanned.where("capped").select("query_id").distinct()
+    if "batch" in routes:
+        every.append(_tasks(own.where("route = 'batch'").select("query_id", "event_id"), "event", "event_id"))
+    if "event" in routes:
+        kinds = own.where("route = 'event'").select("query_id", "event_id").join(offers.select("event_id", "offer_type"), "event_id")
+        every.append(_tasks(kinds, "typed", "event_id", "offer_type"))
+    return reduce(DataFrame.unionByName, every), short
 
 
 def fetch(inputs: DataFrame, offers: DataFrame, events: DataFrame, members: DataFrame, cap: int, most_events: int | None = None, typed: bool = False) -> dict[str, DataFrame]:
     """offers(query_id, offer_id, event_id), each once, and log(round, task_id, query_id, route, total, returned, refined, failed) of all requests.
 
     inputs as of planner.recall_inputs() with event_ids; events(event_id, group_id, level, state, start) lists the groups' events. A group that ``most_events`` cuts short
-    shows in the log as a request by fan-out that returned less than there is.
+    shows in the log as a request by fan-out that returned less than there is. Offers are read once, for those that requests may reach; what a refined request returned isn't made.
     """
     size = planner.BATCH_TYPED if typed else planner.BATCH_UNTYPED
     tasks = stage(first_tasks(inputs, size))
+    near = stage(reachable(tasks, offers, events, members))
     found, logs = [], []
+    routes = _routes(tasks)
     for step in range(len(FINER) + 1):
-        rows, log = map(stage, answer(tasks, offers, members, cap))
-        finer = log.withColumn("refined", truncated(F.col("total"), F.col("returned")) & F.col("route").isin(*FINER))
-        logs.append(finer.withColumn("round", F.lit(step + 1)))
-        cut = stage(finer.where("refined").select("task_id", "route"))
-        found.append(rows.join(cut.select("task_id"), "task_id", "left_anti"))
-        if cut.isEmpty():
+        if not routes:
             break
-        more, short = finer_tasks(cut, tasks, inputs, offers, events, size, most_events)
-        if most_events is not None:
+        is_cut = truncated(F.col("total"), F.col("returned"))
+        log = stage(count_answers(tasks, routes, near, members, cap).withColumns({"refined": is_cut & F.col("route").isin(*FINER), "cut": is_cut}))
+        logs.append(log.drop("cut").withColumn("round", F.lit(step + 1)))
+        seen = log.groupBy("route").agg(F.bool_or("refined").alias("refined"), F.bool_or(~F.col("cut")).alias("whole"), F.bool_or(F.col("cut") & ~F.col("refined")).alias("short")).collect()
+        for kept, state, most in (("whole", "NOT cut", None), ("short", "cut AND NOT refined", cap)):
+            of = {r.route for r in seen if r[kept]}
+            if of:
+                own = tasks.join(log.where(state).select("task_id"), "task_id", "left_semi")
+                found.append(answer(own, of, near, members, most))
+        cut = {r.route for r in seen if r.refined}
+        if not cut:
+            break
+        more, short = finer_tasks(log.where("refined"), cut, tasks, inputs, near, events, size, most_events)
+        if short is not None:
             left_out = short.select(F.concat_ws("|", "query_id", F.lit("left out")).alias("task_id"), "query_id", F.lit("fanout").alias("route"), F.lit(1).cast("long").alias("total"), F.lit(0).cast("long").alias("returned"), F.lit(False).alias("refined"), F.lit(step + 2).alias("round"))
-            logs.append(left_out)
+            logs.append(stage(left_out))
         tasks = stage(more)
-    every = reduce(DataFrame.unionByName, found).select("query_id", "offer_id", "event_id").distinct()
+        routes = _routes(tasks)
+    none = tasks.limit(0)
+    found = found or [none.withColumn("offer_id", F.lit(None).cast("long"))]
+    every = reduce(DataFrame.unionByName, [x.select("query_id", "offer_id", "event_id") for x in found]).distinct()
+    logs = logs or [none.select("task_id", "query_id", "route", *[F.lit(None).cast(k).alias(c) for c, k in (("total", "long"), ("returned", "long"), ("refined", "boolean"), ("round", "int"))])]
     log = reduce(DataFrame.unionByName, logs).withColumn("failed", F.lit(False))
-    return {"offers": stage(every), "log": stage(log.select("round", "task_id", "query_id", "route", "total", "returned", "refined", "failed"))}
+    return {"offers": stage(every), "log": log.select("round", "task_id", "query_id", "route", "total", "returned", "refined", "failed")}
 
 
 def flags(log: DataFrame) -> DataFrame:

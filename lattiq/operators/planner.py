@@ -102,9 +102,9 @@ def fan_out(groups: DataFrame, events: DataFrame, typed: bool = False, most_even
     level = F.col("level").isNull() | (F.size("levels") == 0) | F.array_contains("levels", F.col("level"))
     kept = rows.where(level & right_state(F.col("state"), F.col("play_state")) & within(F.col("start"), F.col("window_start"), F.col("window_end")))
     own = Window.partitionBy("query_id", "group_id")
-    placed = kept.withColumns({"__at": F.row_number().over(own.orderBy("event_id")), "__n": F.count("*").over(own)})
+    placed = kept.withColumn("__at", F.row_number().over(own.orderBy("event_id")))
     if most_events is not None:
-        placed = placed.where(F.col("__at") <= most_events)
+        placed = placed.withColumn("__n", F.count("*").over(own)).where(F.col("__at") <= most_events)
     size = BATCH_TYPED if typed else BATCH_UNTYPED
     capped = F.lit(False) if most_events is None else F.col("__n") > most_events
     return placed.select("query_id", "group_id", "event_id", F.floor((F.col("__at") - 1) / size).cast("int").alias("batch"), capped.alias("capped"))

@@ -61,3 +61,33 @@ def test_tournament_windows(spark):
     seen = {r.competition_id: (str(r.tournament_start), str(r.window_start)) for r in found}
     assert seen[1] == ("2026-06-11 00:00:00", "2026-06-12 18:00:00") and seen[2][0] == "2026-01-01 00:00:00" and seen[4][0] == "2026-05-30 00:00:00"
     assert seen[3] == seen[None] == ("None", "None") and not any(r.time_unresolved for r in found)
+
+
+@pytest.mark.parametrize("cap", [100, 7, 2])
+def test_offers_are_read_once(spark, source, cap):
+    """However many rounds there are, and only for what they may reach."""
+    offers, events, members = source
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(e):
+        reads.add(1)
+        return e
+
+    counted = offers.withColumn("event_id", F.udf(count, "long").asNondeterministic()("event_id"))
+    asked = spark.createDataFrame([("q", [], [8], [1, 2], [], None), ("named", [12], [], [], [], None)], INPUT)
+    found = fetch.fetch(asked, counted, events, members, cap)
+    assert found["offers"].count() > 0 and found["log"].count() > 0
+    assert reads.value == 17
+
+
+def test_offers_beside_the_list_of_events(spark, source):
+    """An answer by group goes by the offers' own group, a batch by the listed events; an offer that is there twice counts twice in totals."""
+    offers, events, members = source
+    more = spark.createDataFrame([(3100, 31, 1, 0), (4100, 41, 9, 0), (2100, 21, 2, 0)], offers.schema)
+    listed = spark.createDataFrame([(41, 1, None, None), (21, 1, None, None)], "event_id long, group_id long, level string, state string")
+    events = events.unionByName(listed.withColumn("start", F.lit(None).cast("timestamp_ntz")))
+    asked = spark.createDataFrame([("q", [], [], [1], [], None), ("two", [], [], [2], [], None)], INPUT)
+    for cap, wanted in ((100, {11, 12, 13, 31}), (7, {11, 12, 13, 21, 41})):
+        found = fetch.fetch(asked, offers.unionByName(more), events, members, cap)
+        assert {r.event_id for r in found["offers"].where("query_id = 'q'").collect()} == wanted
+        assert [(r.total, r.returned) for r in found["log"].where("query_id = 'two'").collect()] == [(2, 2)]
