@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from lattiq.functions.offering import truncated
 from lattiq.operators import planner
-from lattiq.sources.written import stage
+from lattiq.sources.written import few, stage
 
 #: What a cut request of a route is refined to.
 FINER = {"group": "batch", "batch": "event", "event": "typed"}
-#: Counted rows of groups that are asked for up to which they are broadcast.
-BROADCAST_ROWS = 10_000
 _OFFER = ["offer_id", "event_id", "group_id", "offer_type"]
 _TASK = ["task_id", "query_id", "route", "group_id", "participant_id", "event_id", "offer_type"]
 
@@ -48,13 +46,29 @@ def first_tasks(inputs: DataFrame, size: int) -> DataFrame:
     return _tasks(named, "batch", "batch").unionByName(_tasks(people, "participant")).unionByName(_tasks(groups, "group", "group_id"))
 
 
+def reachable_events(inputs: DataFrame, events: DataFrame) -> DataFrame:
+    """event_id, each once, of the events that planner.recall() or fetch() may return offers of: named ones, a participant's, or a group's.
+
+    inputs(query_id, event_ids, participant_ids, group_ids), events(event_id, group_id, members).
+    """
+    said, asked = F.coalesce(F.size("event_ids"), F.lit(0)) > 0, []
+    for way, ids, fits in (("event", "event_ids", said), ("participant", "participant_ids", ~said), ("group", "group_ids", ~said)):
+        asked.append(inputs.where(fits).select(F.lit(way).alias("way"), F.explode(F.col(ids).cast("array<bigint>")).alias("id")))
+    asked = stage(reduce(DataFrame.unionByName, asked).distinct())
+    key = lambda way, x: F.struct(F.lit(way).alias("way"), x.cast("long").alias("id"))
+    people = F.transform(F.coalesce("members", F.array().cast("array<bigint>")), lambda m: key("participant", m))
+    keys = F.concat(F.array(key("event", F.col("event_id")), key("group", F.col("group_id"))), people)
+    found = events.select("event_id", F.explode(keys).alias("key")).select("event_id", "key.*")
+    return found.join(few(asked), ["way", "id"], "left_semi").select("event_id").distinct()
+
+
 def reachable(tasks: DataFrame, offers: DataFrame, events: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of offers that a request of the first round, or any that takes its place, may get: by their own group, or by an event that is named, listed for a group or a participant's."""
     routes = _routes(tasks)
     asked = lambda route, key: tasks.where(F.col("route") == route).select(key).distinct()
     ids = [asked("batch", "event_id")]
     if "group" in routes:
-        groups = _few(asked("group", "group_id"))
+        groups = few(asked("group", "group_id"))
         ids.append(events.select("event_id", "group_id").join(groups, "group_id", "left_semi").select("event_id"))
     if "participant" in routes:
         ids.append(members.join(asked("participant", "participant_id"), "participant_id", "left_semi").select("event_id"))
@@ -70,18 +84,13 @@ def _routes(tasks: DataFrame) -> set[str]:
     return {r.route for r in tasks.select("route").distinct().collect()}
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Marked for a broadcast if its counted rows are few; rows are read from what is written."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _held(tasks: DataFrame, routes: set[str], offers: DataFrame, members: DataFrame) -> DataFrame:
     """(task_id, query_id, route, offer_id, event_id): all that there is for each request of the routes."""
     asked, found = tasks.withColumnRenamed("offer_type", "only"), []
     own = ["task_id", "query_id", "route"]
     if "group" in routes:
         groups = asked.where("route = 'group'").select(*own, "group_id")
-        found.append(_few(groups).join(offers, "group_id"))
+        found.append(few(groups).join(offers, "group_id"))
     if routes & {"batch", "event", "typed"}:
         events = asked.where("route IN ('batch', 'event', 'typed')").select(*own, "event_id", "only")
         found.append(events.join(offers, "event_id").where("only IS NULL OR only = offer_type"))
@@ -121,7 +130,7 @@ def finer_tasks(cut: DataFrame, routes: set[str], tasks: DataFrame, inputs: Data
     if "group" in routes:
         none = F.lit(None).cast("timestamp_ntz")
         groups = own.where("route = 'group'").select("query_id", "group_id").join(inputs.select("query_id", "levels", "play_state"), "query_id").withColumns({"window_start": none, "window_end": none})
-        fanned = planner.fan_out(_few(groups), events, typed=size == planner.BATCH_TYPED, most_events=most_events)
+        fanned = planner.fan_out(few(groups), events, typed=size == planner.BATCH_TYPED, most_events=most_events)
         every.append(_tasks(fanned, "batch", "group_id", "batch"))
         if most_events is not None:
             short = fanned.where("capped").select("query_id").distinct()

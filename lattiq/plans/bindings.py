@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattiq.sources.written import whole
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,9 +45,14 @@ def _case(column, pairs: list[tuple], other=None):
 Side = Callable[[DataFrame], DataFrame]
 
 
-def events(spark: SparkSession, sf_dir: str, side: Side = lambda table: table) -> DataFrame:
-    """event_id, start, state, level, group_id, recall_group, home_id, away_id, home_name, away_name, event_name, tags, teams. ``side`` may hint how the orders meet their customers."""
-    orders, customers = read(spark, sf_dir, "orders"), side(read(spark, sf_dir, "customer"))
+def _of_events(table: DataFrame, key: str, ids: DataFrame | None) -> DataFrame:
+    """The rows of a table whose key is one of ids(event_id), all without ids: they are dropped before anything is joined, as the planner leaves a semi join where it stands."""
+    return table if ids is None else table.join(whole(ids.select(F.col("event_id").alias(key))), key, "left_semi")
+
+
+def events(spark: SparkSession, sf_dir: str, side: Side = lambda table: table, ids: DataFrame | None = None) -> DataFrame:
+    """event_id, start, state, level, group_id, recall_group, home_id, away_id, home_name, away_name, event_name, tags, teams. ``side`` may hint how the orders meet their customers; with ids(event_id) only those."""
+    orders, customers = _of_events(read(spark, sf_dir, "orders"), "o_orderkey", ids), side(read(spark, sf_dir, "customer"))
     k = F.col("o_orderkey")
     away = (F.col("o_custkey") + 7) % 100
     pad = lambda c: F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))
@@ -85,9 +92,9 @@ EVENTS = """v_event AS (SELECT *, home_name || ' - ' || away_name AS event_name,
 _TYPES = ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE"]
 
 
-def outcomes(spark: SparkSession, sf_dir: str, side: Side = lambda table: table) -> DataFrame:
-    """One row for each outcome of an offer; an event's line items of one part type make an offer. ``side`` may hint how the items meet their parts and suppliers."""
-    items, parts, suppliers = read(spark, sf_dir, "lineitem"), *(side(read(spark, sf_dir, t)) for t in ("part", "supplier"))
+def outcomes(spark: SparkSession, sf_dir: str, side: Side = lambda table: table, ids: DataFrame | None = None) -> DataFrame:
+    """One row for each outcome of an offer; an event's line items of one part type make an offer. ``side`` may hint how the items meet their parts and suppliers; with ids(event_id) only these events'."""
+    items, parts, suppliers = _of_events(read(spark, sf_dir, "lineitem"), "l_orderkey", ids), *(side(read(spark, sf_dir, t)) for t in ("part", "supplier"))
     flag, code = F.col("l_returnflag"), F.array_position(F.array(*map(F.lit, _TYPES)), F.col("p_type")).cast("long")
     open_item = (flag == "N") & (F.col("l_linestatus") == "O")
     kind = F.when(flag == "A", "OT_OVER").when(flag == "R", "OT_UNDER").when(open_item, "OT_UNTYPED").otherwise("OT_TWO")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from lattiq.functions.offering import bet_phrase, is_main
 from lattiq.operators import assemble, combos, fetch, grounding, menu, planner, replay, scope, selecting, subject
 from lattiq.plans import bindings
 from lattiq.sources.plans import read_plans, unreadable
-from lattiq.sources.written import stage, whole
+from lattiq.sources.written import few, stage, whole
 
 LEG = ["query_id", "leg_idx"]
 #: Legs of a query that ask the same of the same events share a menu.
@@ -141,6 +141,7 @@ def resolve_stages(
     cap: int | None = None,
     pinned: DataFrame | None = None,
     editions: DataFrame | None = None,
+    of_events: tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
 ) -> Iterator[tuple[str, dict[str, DataFrame]]]:
     """(stage, tables so far), each as soon as its rows are written; after ``done``, ``envelopes`` holds one answer for each query of plans.
 
@@ -148,7 +149,8 @@ def resolve_stages(
     outcomes as in select_outcomes() with event_id, offer_id, label, criterion_id, tags and ord; coupons as in _combined();
     fetches as in planner.fetch_flags(), if the data came from requests that may be cut or fail; individual: whether a sport is one of single
     players; cap: the most offers that an answer of the source holds, beyond which fetch.fetch() asks on; pinned(query_id, event_id): fixtures that a
-    query names itself; editions(competition_id, starts, ends) as in with_starts(). Recorded decisions are looked up by replay.market_key() and replay.entity_key().
+    query names itself; editions(competition_id, starts, ends) as in with_starts(); of_events: how to read the rows of events and of outcomes for given event_ids, from
+    a source that can leave out the others before it joins. Recorded decisions are looked up by replay.market_key() and replay.entity_key().
 
     A plan that can't be read, or holds a leg that no plan may, gets the clarification ``invalid_plan``; one that names nothing
     ``incomplete``; else one of a sport that isn't known ``unsupported_sport``.
@@ -181,8 +183,6 @@ def resolve_stages(
     bound = stage(planner.signature(bound, ["own_name", "own_side", "subject_id", "leg_level", "competition_id", "stage", "play_state", *timing], ["team_ids"]))
     tables["legs"] = bound
     yield "routing", tables
-    members = events.select("event_id", F.explode("members").alias("participant_id")).distinct()
-    listed = outcomes.select("offer_id", "event_id").distinct().join(events.select("event_id", "group_id"), "event_id")
     wide = bound.where("leg_level = 'competition'").select("query_id", F.explode("team_ids").alias("owner_id")).distinct()
     squads = planner.squads(catalog["rosters"].join(wide.select("owner_id").distinct(), "owner_id", "left_semi"))
     extra = wide.join(squads, "owner_id").groupBy("query_id").agg(F.collect_set("player_id").alias("__squad"))
@@ -192,23 +192,30 @@ def resolve_stages(
     if pinned is not None:
         inputs = inputs.join(pinned.groupBy("query_id").agg(F.array_sort(F.collect_set("event_id")).alias("__named")), "query_id", "left")
         named = F.coalesce("__named", named)
-    inputs = inputs.withColumn("event_ids", named)
+    inputs = stage(inputs.withColumn("event_ids", named))
+    # the tables of events and outcomes are read here, and written for what any query may reach: all that follows reads that
+    ids = fetch.reachable_events(inputs, events)
+    near = stage(events.join(whole(ids), "event_id", "left_semi") if of_events is None else of_events[0](ids))
+    ids = near.select("event_id")
+    outcomes = stage(outcomes.join(whole(ids), "event_id", "left_semi") if of_events is None else of_events[1](ids))
+    members = near.select("event_id", F.explode("members").alias("participant_id")).distinct()
+    groups_of = near.select("event_id", "group_id")
     if cap is None:
-        fetched = planner.recall(inputs, listed, members)
+        fetched = planner.recall(inputs, outcomes.select("offer_id", "event_id").distinct().join(groups_of, "event_id"), members)
     else:
-        typed = outcomes.select("offer_id", "event_id", F.col("offer_type")).distinct().join(events.select("event_id", "group_id"), "event_id")
-        answers_of = fetch.fetch(inputs, typed, events, members, cap)
+        typed = outcomes.select("offer_id", "event_id", F.col("offer_type")).distinct().join(groups_of, "event_id")
+        answers_of = fetch.fetch(inputs, typed, near, members, cap)
         fetched, fetches = answers_of["offers"], fetch.flags(answers_of["log"])
         tables["fetches"] = answers_of["log"]
     by_query = stage(fetched.select("query_id", "event_id").distinct())
     asks = planner.first_of(bound, GROUP, ["leg_idx"]).select(*GROUP, "leg_level", "competition_id", "play_state", "team_ids", "own_name", "own_side", "subject_id", *timing)
     asks = stage(asks)
-    pairs = asks.drop("own_name", "own_side", "subject_id").join(by_query, "query_id").join(events, "event_id")
+    pairs = asks.drop("own_name", "own_side", "subject_id").join(by_query, "query_id").join(near, "event_id")
     kept = stage(scope.scope_events(pairs, GROUP).select(*GROUP, "event_id"))
     subjects = asks.select(*GROUP, F.col("own_name").alias("subject_name"), F.col("own_side").alias("subject_side"), "subject_id")
     named = F.struct("participant", "participant_id", F.coalesce("english_label", "outcome_label").alias("label"))
     per_offer = outcomes.join(kept.select("event_id").distinct(), "event_id", "left_semi").groupBy("offer_id", "event_id", "label").agg(F.collect_list(named).alias("outcomes"))
-    names = events.select("event_id", "event_name", "home_name", "away_name")
+    names = near.select("event_id", "event_name", "home_name", "away_name")
     priced = subject.keep_priced(kept.join(per_offer, "event_id").join(names, "event_id").join(subjects, GROUP)).select(*GROUP, "offer_id", "event_id", "label")
     if cap is not None:
         priced = priced.join(fetched.select("query_id", "offer_id"), ["query_id", "offer_id"], "left_semi")
@@ -240,9 +247,9 @@ def resolve_stages(
         "odds_sort",
         F.col("count").alias("pick_n"),
     )
-    teams = events.select("event_id", "home_name", "away_name", F.try_element_at("members", F.lit(1)).alias("__home"), F.try_element_at("members", F.lit(2)).alias("__away"))
+    teams = near.select("event_id", "home_name", "away_name", F.try_element_at("members", F.lit(1)).alias("__home"), F.try_element_at("members", F.lit(2)).alias("__away"))
     main_offer = is_main(F.col("tags")) & F.col("criterion_id").isNotNull()
-    wanted = selecting.wishes(chosen.join(specs, LEG))
+    wanted = few(stage(selecting.wishes(chosen.join(specs, LEG))))
     rows = offered.join(wanted, [*GROUP, "label"]).where(~F.col("only_main") | main_offer).drop("only_main").join(teams, "event_id")
     side = F.when(F.col("subject_id") == F.col("__home"), "home").when(F.col("subject_id") == F.col("__away"), "away")
     found = selecting.select_outcomes(rows.withColumn("subject_on", side).drop("__home", "__away"), [*LEG, "label"], ["ord", "outcome_id"])
@@ -250,10 +257,10 @@ def resolve_stages(
     tables["selection"] = found
     pool = found.where("in_pool")
     facts = pool.select("query_id", "leg_idx", "outcome_id", "is_selected", "offer_id", "event_id", F.struct("label", "criterion_id", "tags").alias("offer"), F.struct("english_label", "participant", "odds", "line").alias("outcome"))
-    placed = facts.join(events.select("event_id", F.struct("event_name", "start", "state").alias("event")), "event_id")
+    placed = facts.join(near.select("event_id", F.struct("event_name", "start", "state").alias("event")), "event_id")
     related = stage(picks.select(*LEG, "leg_group", F.posexplode("related").alias("rank", "label")))
-    near = offered.join(related.select(*LEG, "leg_group", "label"), [*GROUP, "label"]).join(pool.select(*LEG, "event_id").distinct(), [*LEG, "event_id"], "left_semi")
-    trimmed = stage(selecting.trim_field(near.join(specs.select(*LEG, "subject", "subject_id"), LEG), [*LEG, "offer_id"], ["ord", "outcome_id"]))
+    beside = offered.join(few(related.select(*LEG, "leg_group", "label")), [*GROUP, "label"]).join(pool.select(*LEG, "event_id").distinct(), [*LEG, "event_id"], "left_semi")
+    trimmed = stage(selecting.trim_field(beside.join(specs.select(*LEG, "subject", "subject_id"), LEG), [*LEG, "offer_id"], ["ord", "outcome_id"]))
     listed_once = trimmed.select(*LEG, "label", "offer_id").distinct()
     suggested = assemble.suggestions(related.drop("leg_group"), listed_once, pool.select("query_id", "offer_id").distinct()).select(*LEG, "rank", "label", "offer_id")
     shaped = F.array_sort(F.collect_list(F.struct("ord", "outcome_id", F.struct("english_label", "participant", "odds", "line").alias("outcome"))))
@@ -337,10 +344,20 @@ def sample_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, plan string")
 
 
+def _table_events(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """The test tables' events as resolve_stages() takes them; with ids(event_id) only those."""
+    return bindings.events(spark, sf_dir, whole, ids).withColumns({"members": F.array("home_id", "away_id").cast(_IDS), "teams": F.col("teams").cast(_IDS)})
+
+
+def _table_outcomes(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Their outcomes; with ids(event_id) only these events'."""
+    return bindings.outcomes(spark, sf_dir, whole, ids).withColumn("ord", F.col("outcome_id"))
+
+
 def table_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """(catalog, events, outcomes) of the test tables: nations are competitions, customers teams, suppliers players of the customer of their key.
 
-    Events and outcomes are read by many stages, each of which would send the tables that they are joined to through the driver again.
+    Events and outcomes meet large tables, which would pass the driver if they were broadcast.
     """
     nation, customer, supplier = (bindings.read(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
     group = lambda c: (F.col(c) + 1000).cast("long")
@@ -356,8 +373,7 @@ def table_inputs(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame]
         "region_aliases": none,
         "competition_aliases": none,
     }
-    known = bindings.events(spark, sf_dir, whole).withColumns({"members": F.array("home_id", "away_id").cast(_IDS), "teams": F.col("teams").cast(_IDS)})
-    return catalog, known, bindings.outcomes(spark, sf_dir, whole).withColumn("ord", F.col("outcome_id"))
+    return catalog, _table_events(spark, sf_dir), _table_outcomes(spark, sf_dir)
 
 
 def table_editions(events: DataFrame) -> DataFrame:
@@ -374,7 +390,8 @@ def answer_samples(spark: SparkSession, sf_dir: str, cap: int | None = None, wit
     sports, now = spark.createDataFrame([("football",)], "sport string"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     markers = F.create_map(F.lit("u21"), F.lit("u21"))
     plans = sample_queries(spark).where(~F.col("query_id").isin(*without)) if without else sample_queries(spark)
-    return resolve_stages(spark, plans, catalog, known, offered, markets, entities, sports, now, markers, cap=cap, editions=table_editions(known))
+    of_events = (lambda ids: _table_events(spark, sf_dir, ids), lambda ids: _table_outcomes(spark, sf_dir, ids))
+    return resolve_stages(spark, plans, catalog, known, offered, markets, entities, sports, now, markers, cap=cap, editions=table_editions(known), of_events=of_events)
 
 
 def answers(spark: SparkSession, sf_dir: str, cap: int | None = None, without: tuple[str, ...] = ()) -> DataFrame:

@@ -32,6 +32,15 @@ def whole(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Counted rows up to which few() has a table broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast if its counted rows are few; rows are read from what is written."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
